@@ -147,68 +147,78 @@ def plan(patterns: list[tuple[tuple, int]], weights: tuple[int, ...] = WEIGHTS,
     return Plan(sizes, targets, taken)
 
 
-def mix(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sources_col: Column | None = None,
-    weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 7, carry: bool = False, max_patterns: int = 200_000,
+def _dealt(
+    docs: DataFrame, *, id_col: str, text_col: str, sources_col: Column | None, weights: tuple[int, ...], most: int, seed: int, carry: bool, max_patterns: int,
 ) -> DataFrame:
-    """How often each document is taken so that the sources meet their targets.
-
-    `sources_col` is an array of the sources that a document belongs to; by default its
-    one column `source`. Returns id, size, source_size and target (of its first source),
-    taken (size times repeats) and repeats; with `carry` the input's other columns too.
-
-    Sizes are words between white space; null and empty texts have size 0 and are never
-    taken. Null is a source of its own, last in order. A pattern of which q whole passes
-    and a part are wanted gives each document q times, and once more to those that come
-    first by hash as long as they fit, and to the largest other one that fits then. Rows
-    with the same id are taken alike. A table with no tokens takes nothing. More than `max_patterns`
-    patterns raise an error: their sums go to the driver.
-    """
+    """Rows with __size, __repeats, source_size and target; with `carry` the input's columns, else the id alone."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     sources = sources_col if sources_col is not None else F.array("source")
     own = F.sort_array(F.array_distinct(sources), asc=True)
-    out = [id_col, "size", "source_size", "target", "taken", "repeats"]
-    more = [c for c in docs.columns if c not in out] if carry else []
-    # 52 bits of a hash over id and seed; texts tell rows with the same id apart.
+    # 52 bits of a hash over seed and id, and of them the range that the first 12 are.
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
-    named = docs.select(*([id_col] + more), own.alias("__own"), n_tokens(F.col(text_col)).alias("size"), draw.alias("__draw")).withColumn("__range", F.shiftright("__draw", 40).cast("int"))
-    light = scratch.keep(named.select(id_col, "__own", "size", "__draw", "__range"), "rows")
+    marks = [own.alias("__own"), n_tokens(F.col(text_col)).alias("__size"), draw.alias("__draw"), F.shiftright(draw, 40).cast("int").alias("__range")]
+    light = scratch.keep(docs.select(id_col, *marks), "rows")
 
-    sums = light.groupBy("__own", "__range").agg(F.sum("size").alias("__sum"))
-    sums = scratch.keep(sums, "sums")
+    sums = scratch.keep(light.groupBy("__own", "__range").agg(F.sum("__size").alias("__sum")), "sums")
     rows = sums.groupBy("__own").agg(F.sum("__sum").alias("n")).limit(max_patterns + 1).collect()
     if len(rows) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
-    patterns = sorted(((tuple(r["__own"]), int(r["n"])) for r in rows), key=lambda x: [(s is None, s or "") for s in x[0]])
+    patterns = sorted(((tuple(r["__own"] or ()), int(r["n"])) for r in rows), key=lambda x: [(s is None, s or "") for s in x[0]])
     made = plan(patterns, weights, most)
 
-    def first(own: tuple):
-        return own[0] if own else None
-
     # One row for each pattern, max_patterns at most.
-    info = spark.createDataFrame(
-        [(list(own), made.sizes.get(first(own), 0) if own else 0, made.targets.get(first(own), 0.0) if own else 0.0, made.taken.get(own, 0) // n if n else 0, made.taken.get(own, 0) % n if n else 0) for own, n in patterns],
-        "__own array<string>, source_size long, target double, __whole int, __part long",
-    )
+    def line(own: tuple, n: int) -> tuple:
+        got = made.taken.get(own, 0)
+        return list(own), made.sizes[own[0]] if own else 0, made.targets[own[0]] if own else 0.0, got // n if n else 0, got % n if n else 0
+
+    info = spark.createDataFrame([line(own, n) for own, n in patterns], "__own array<string>, source_size long, target double, __whole int, __part long")
     # The hash range in which the wanted part of a pattern ends.
     before = Window.partitionBy("__own").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     ends = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).join(info.select("__own", "__part"), "__own")
     ends = ends.where((F.col("__before") < F.col("__part")) & (F.col("__before") + F.col("__sum") >= F.col("__part"))).groupBy("__own").agg(F.min(F.struct("__range", "__before")).alias("e")).select("__own", F.col("e.__range").alias("__end"), F.col("e.__before").alias("__before"))
     info = scratch.keep(info.join(ends, "__own", "left"), "plan")
     # Inside that range documents are ordered one by one; identical rows are alike.
-    inside = Window.partitionBy("__own").orderBy("__draw", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = light.join(info.where("__part > 0").select("__own", "__end", "__before", "__part"), "__own").where("__range = __end AND size > 0").withColumn("__ahead", F.col("__before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    last = edge.where(F.col("__ahead") + F.col("size") <= F.col("__part")).groupBy("__own").agg(F.max("__draw").alias("__cut"), F.max(F.col("__ahead") + F.col("size")).alias("__sum"))
-    info = info.join(last, "__own", "left").select("*", (F.col("__part") - F.coalesce("__sum", "__before", F.lit(0))).alias("__rest"))
-    info = scratch.keep(info, "cuts")
-    taken = (F.col("__part") > 0) & ((F.col("__range") < F.col("__end")) | ((F.col("__range") == F.col("__end")) & (F.col("__draw") <= F.col("__cut"))))
-    taken = F.coalesce(taken, F.lit(False))
+    inside = Window.partitionBy("__own").orderBy("__draw", id_col, "__size").rowsBetween(Window.unboundedPreceding, -1)
+    edge = light.join(info.where("__part > 0").select("__own", "__end", "__before", "__part"), "__own").where("__range = __end AND __size > 0").withColumn("__ahead", F.col("__before") + F.coalesce(F.sum("__size").over(inside), F.lit(0)))
+    last = edge.where(F.col("__ahead") + F.col("__size") <= F.col("__part")).groupBy("__own").agg(F.max("__draw").alias("__cut"), F.max(F.col("__ahead") + F.col("__size")).alias("__sum"))
+    info = scratch.keep(info.join(last, "__own", "left").select("*", (F.col("__part") - F.coalesce("__sum", "__before", F.lit(0))).alias("__rest")), "cuts")
+    taken = F.coalesce((F.col("__part") > 0) & ((F.col("__range") < F.col("__end")) | ((F.col("__range") == F.col("__end")) & (F.col("__draw") <= F.col("__cut")))), F.lit(False))
     # What is left goes to the largest document that fits, the first by hash among those.
-    fits = light.join(info.where("__rest > 0").drop("source_size", "target"), "__own").where((F.col("size") > 0) & (F.col("size") <= F.col("__rest")) & ~taken)
-    fill = fits.groupBy("__own").agg(F.min(F.struct(-F.col("size"), "__draw")).alias("f")).select("__own", F.col("f.__draw").alias("__fill"))
+    fits = light.join(info.where("__rest > 0").drop("source_size", "target"), "__own").where((F.col("__size") > 0) & (F.col("__size") <= F.col("__rest")) & ~taken)
+    fill = fits.groupBy("__own").agg(F.min(F.struct(-F.col("__size"), "__draw")).alias("f")).select("__own", F.col("f.__draw").alias("__fill"))
     info = scratch.keep(info.join(fill, "__own", "left"), "fills")
-    extra = (taken | F.coalesce((F.col("__draw") == F.col("__fill")) & (F.col("size") <= F.col("__rest")), F.lit(False))).cast("int")
-    repeats = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("__whole") + extra)
-    full = named if carry else light
-    return full.join(info, "__own").select(id_col, "size", "source_size", "target", (F.col("size") * repeats).cast("long").alias("taken"), repeats.alias("repeats"), *more)
+    extra = (taken | F.coalesce((F.col("__draw") == F.col("__fill")) & (F.col("__size") <= F.col("__rest")), F.lit(False))).cast("int")
+    repeats = F.when(F.col("__size") == 0, F.lit(0)).otherwise(F.col("__whole") + extra)
+    full = docs.select("*", *marks) if carry else light
+    return full.join(info.withColumnsRenamed({"source_size": "__source_size", "target": "__target"}), "__own").withColumn("__repeats", repeats)
+
+
+def mix(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sources_col: Column | None = None,
+    weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 7, max_patterns: int = 200_000,
+) -> DataFrame:
+    """How often each document is taken so that the sources meet their targets.
+
+    `sources_col` is an array of the sources that a document belongs to; by default its
+    one column `source`. Returns id, size, source_size and target (of its first source),
+    taken (size times repeats) and repeats.
+
+    Sizes are words between white space; null and empty texts have size 0 and are never
+    taken. Null is a source of its own, last in order. A pattern of which q whole passes
+    and a part are wanted gives each document q times, and once more to those that come
+    first by hash as long as they fit, and to the largest other one that fits then. Rows
+    with the same id are taken alike. A table with no tokens takes nothing. More than
+    `max_patterns` patterns raise an error: their sums go to the driver.
+    """
+    dealt = _dealt(docs, id_col=id_col, text_col=text_col, sources_col=sources_col, weights=weights, most=most, seed=seed, carry=False, max_patterns=max_patterns)
+    return dealt.select(
+        id_col, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
+        (F.col("__size") * F.col("__repeats")).cast("long").alias("taken"), F.col("__repeats").alias("repeats"),
+    )
+
+
+def take(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sources_col: Column | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 7, max_patterns: int = 200_000) -> DataFrame:
+    """The mix itself: each row of docs as often as `mix` takes it, all columns as they are."""
+    dealt = _dealt(docs, id_col=id_col, text_col=text_col, sources_col=sources_col, weights=weights, most=most, seed=seed, carry=True, max_patterns=max_patterns)
+    return dealt.where("__repeats > 0").select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__repeats"))).alias("__copy")).drop("__copy")
