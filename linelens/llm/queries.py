@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, mixing, preferences, sharding, simhash, tokens, toxicity
+from . import decontam, kneser_ney, licenses, mixing, preferences, sharding, simhash, tokens, toxicity
 from .common import table
 
 N_SHARDS = 40
@@ -46,6 +46,10 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
     "op8_tokens": op8_tokens,
+    "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE: dict[str, str] = {
