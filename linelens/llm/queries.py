@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, kneser_ney, licenses, mixing, preferences, sharding, simhash, tokens, toxicity
+from . import decontam, images, kneser_ney, licenses, mixing, preferences, sharding, simhash, tokens, toxicity
 from .common import table
 
 N_SHARDS = 40
@@ -42,6 +42,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.copies(images.images_from_vectors(table(spark, sf_dir, "embeddings")))
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_licenses": op4_licenses,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
+    "op7_image_copies": op7_image_copies,
     "op8_tokens": op8_tokens,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
