@@ -348,7 +348,8 @@ def fit(
             hits = [sorted({place[f] for w in own for f in features(w) if f in place}) for own in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(pa.int32()))], ["y", "hits"])
 
-    rows = words.mapInArrow(to_rows, "y int, hits array<int>").orderBy("y", "hits").toArrow().to_pylist()
+    # max_train_rows rows at most; sorted, so that sums come out the same.
+    rows = sorted(words.mapInArrow(to_rows, "y int, hits array<int>").toArrow().to_pylist(), key=lambda r: (r["y"], r["hits"]))
     x, y = np.zeros((len(rows), len(names)), np.float32), np.zeros(len(rows))
     for i, r in enumerate(rows):
         x[i, r["hits"]] = 1
