@@ -1,0 +1,33 @@
+"""Lines and n-gram counts of texts as they come, in small batches.
+
+Each batch is written under its number, so that a batch that runs again replaces what
+it wrote: every text is counted once. A later build merges the batches.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import functions as F
+
+from ..operators import lines as L
+from ..operators import postings as P
+
+
+def ingest(corpus: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Start to write lines and counts of a streaming corpus (file_id, content) under path."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        lines = L.lines_of_text(df)
+        lines.write.mode("overwrite").parquet(f"{path}/lines/batch={number}")
+        P.ngram_counts(lines).write.mode("overwrite").parquet(f"{path}/ngram_counts/batch={number}")
+
+    return corpus.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def merged_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/lines")
+
+
+def merged_counts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/ngram_counts").groupBy("ngram").agg(F.sum("count").alias("count"))
