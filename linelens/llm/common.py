@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import delete, shared_dir
+
 #: Bytes of text that a Python worker turns into words at a time.
 BLOCK_BYTES = 4 << 20
 #: ASCII capitals to small letters, all other bytes as they are.
@@ -22,21 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+def packed(df: DataFrame) -> Column:
+    """All columns as one, so that none can clash with a name of ours."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row")
+
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and
-    the master is local, a temporary folder stands in for it.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="linelens-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+def unpacked(names: list[str]) -> list[Column]:
+    return [F.col("__row").getField(c).alias(c) for c in names]
 
 
 class Scratch:
@@ -58,9 +49,7 @@ class Scratch:
 
     def drop(self, kept: DataFrame) -> None:
         """Delete a table that no later step reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(kept._scratch_path)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete(self.spark, kept._scratch_path)
 
 
 def raw(array: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
@@ -87,12 +76,6 @@ def blocks(texts: list[bytes | None], limit: int = BLOCK_BYTES) -> Iterator[tupl
         yield start, len(texts)
 
 
-def arrow_type(spark_type) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(spark_type)
-
-
 def content_key(text: Column) -> Column:
     """32 bytes that stand for a text; null and empty texts have keys of their own."""
     return F.when(text.isNull(), F.lit(b"")).otherwise(F.unhex(F.sha2(text.cast("binary"), 256)))

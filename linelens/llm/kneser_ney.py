@@ -184,7 +184,7 @@ def quality(
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     ids = scratch.keep(labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct(), "trusted")
-    model = train(known(docs, ids, id_col=id_col), scratch, text_col=text_col)
+    model = train(known(docs.select(id_col, text_col), ids, id_col=id_col), scratch, text_col=text_col)
     scored = scratch.keep(score(docs, model, id_col=id_col, text_col=text_col, lang_col=lang_col), "scores")
     loss = -F.col("log_prob") / F.col("n_symbols")
     trusted = known(scored.where("n_symbols > 0"), ids, id_col=id_col)

@@ -17,6 +17,7 @@ HINTS = ("licen", "copyright", "permission", "warrant", "redistribut", "rights r
 
 #: Identifier and pattern of known sentences; the first that matches counts.
 SENTENCES = (
+    ("apache_header", "under the apache license,? (v|version )?2\\.0.* you may not use this (file|work) except in compliance with the license"),
     ("apache_use", "you may not use this (file|work) except in compliance with the license"),
     ("apache_copy", "you may obtain a copy of the license at"),
     ("apache_as_is", "software distributed under the license is distributed on an as is basis"),
@@ -66,6 +67,7 @@ SENTENCES = (
 RULES = (
     ("BSD-3-Clause", ("bsd_intro", "bsd_source", "bsd_binary", "bsd_name", "bsd_as_is")),
     ("BSD-2-Clause", ("bsd_intro", "bsd_source", "bsd_binary", "bsd_as_is")),
+    ("Apache-2.0", ("apache_header", "apache_copy", "apache_as_is", "apache_limits")),
     ("Apache-2.0", ("ref_apache_2", "apache_use", "apache_copy", "apache_as_is", "apache_limits")),
     ("Apache-2.0", ("apache_use", "apache_copy", "apache_as_is", "apache_limits")),
     ("GPL-3.0-or-later", ("gpl_redistribute_3_later", "gpl_hope", "gpl_details", "gpl_received")),
@@ -74,6 +76,7 @@ RULES = (
     ("MIT", ("mit_grant", "mit_notice", "mit_as_is")),
     ("ISC", ("isc_grant", "isc_as_is")),
     ("MPL-2.0", ("mpl_subject", "mpl_copy")),
+    ("Apache-2.0", ("apache_header",)),
     ("GPL-3.0-or-later", ("gpl_redistribute_3_later",)),
     ("GPL-2.0-or-later", ("gpl_redistribute_2_later",)),
     ("LGPL-or-later", ("lgpl_redistribute_later",)),

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, packed, unpacked
 
 WEIGHTS, MOST_REPEATS = (1, 2, 3), 3
 #: Ranges of the seeded hash by which sums are taken before single documents are ordered.
@@ -150,7 +150,7 @@ def plan(patterns: list[tuple[tuple, int]], weights: tuple[int, ...] = WEIGHTS,
 def _dealt(
     docs: DataFrame, *, id_col: str, text_col: str, sources_col: Column | None, weights: tuple[int, ...], most: int, seed: int, carry: bool, max_patterns: int,
 ) -> DataFrame:
-    """Rows with __size, __repeats, source_size and target; with `carry` the input's columns, else the id alone."""
+    """Rows with __size, __repeats, source_size and target; with `carry` the input's columns as __row, else the id."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     sources = sources_col if sources_col is not None else F.array("source")
@@ -190,7 +190,7 @@ def _dealt(
     info = scratch.keep(info.join(fill, "__own", "left"), "fills")
     extra = (taken | F.coalesce((F.col("__draw") == F.col("__fill")) & (F.col("__size") <= F.col("__rest")), F.lit(False))).cast("int")
     repeats = F.when(F.col("__size") == 0, F.lit(0)).otherwise(F.col("__whole") + extra)
-    full = docs.select("*", *marks) if carry else light
+    full = docs.select(packed(docs), *marks) if carry else light
     return full.join(info.withColumnsRenamed({"source_size": "__source_size", "target": "__target"}), "__own").withColumn("__repeats", repeats)
 
 
@@ -221,4 +221,4 @@ def mix(
 def take(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sources_col: Column | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 7, max_patterns: int = 200_000) -> DataFrame:
     """The mix itself: each row of docs as often as `mix` takes it, all columns as they are."""
     dealt = _dealt(docs, id_col=id_col, text_col=text_col, sources_col=sources_col, weights=weights, most=most, seed=seed, carry=True, max_patterns=max_patterns)
-    return dealt.where("__repeats > 0").select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__repeats"))).alias("__copy")).drop("__copy")
+    return dealt.where("__repeats > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("__repeats"))).alias("__copy")).select(*unpacked(docs.columns))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, content_key
+from .common import Scratch, content_key, packed, unpacked
 
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 16
@@ -152,7 +152,7 @@ def assign_shards(
     ahead = Window.partitionBy("__shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt(light).groupBy("__shard", "__block").agg(F.count(F.lit(1)).alias("__n")).select("__shard", "__block", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"))
     more = [c for c in docs.columns if c not in out] if carry else []
-    full = docs.select(*named, *more) if carry else light
+    full = docs.select(*named, packed(docs)) if carry else light
     inside = Window.partitionBy("__shard", "__block").orderBy(id_col, "text_crc32", "size")
     return (
         dealt(full)
@@ -160,6 +160,6 @@ def assign_shards(
         .join(starts, ["__shard", "__block"])
         .select(
             id_col, "size", "text_crc32", F.lit("bytes").alias("law"), F.col("__shard").alias("shard"),
-            (F.col("__start") + F.col("__rn") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *more,
+            (F.col("__start") + F.col("__rn") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *unpacked(more),
         )
     )

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, raw
+from .common import LOWER, Scratch, packed, raw, unpacked
 
 WORDS, SEED, MOST = 4, 42, 4
 #: First bit and width of each segment.
@@ -101,11 +101,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct()
         after = scratch.keep(small, "small")
-        state = after.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b") / 1024), F.lit(0.0)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
+        state = after.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
         scratch.drop(now)
         scratch.drop(large)
         now = after
-        if seen is not None and (state[0], state[2]) == (seen[0], seen[2]):
+        if state == seen:
             return now.select(F.col("a").alias("u"), F.col("b").alias("root"))
         seen = state
 
@@ -128,13 +128,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def labelled(prints: DataFrame, scratch: Scratch, *, id_col: str, most: int = MOST) -> DataFrame:
-    """(__fp, __component) of every distinct fingerprint of (id, __fp)."""
+    """(__fp, __root, __component) of every distinct fingerprint of (id, __fp): its component's first fingerprint and smallest id."""
     firsts = scratch.keep(prints.groupBy("__fp").agg(F.min(id_col).alias("__first")), "firsts")
     roots = components(links(firsts.select("__fp"), most=most), scratch)
     linked = roots.select(F.col("u").alias("__fp"), "root").union(roots.select(F.col("root").alias("__fp"), "root").distinct())
     named = linked.join(firsts, "__fp")
     smallest = named.groupBy("root").agg(F.min("__first").alias("__component"))
-    return scratch.keep(firsts.join(linked.join(smallest, "root").select("__fp", "__component"), "__fp", "left").select("__fp", F.coalesce("__component", "__first").alias("__component")), "labels")
+    return scratch.keep(firsts.join(linked.join(smallest, "root").select("__fp", "root", "__component"), "__fp", "left").select("__fp", F.coalesce("root", "__fp").alias("__root"), F.when(F.col("root").isNull(), F.col("__first")).otherwise(F.col("__component")).alias("__component")), "labels")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
@@ -146,17 +146,16 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "dedup")
     prints = scratch.keep(fingerprints(docs, id_col=id_col, text_col=text_col), "prints")
     labels = labelled(prints, scratch, id_col=id_col, most=most)
-    heads = prints.join(labels, "__fp").where(F.col(id_col).eqNullSafe(F.col("__component"))).groupBy(id_col).agg(F.count(F.lit(1)).alias("__n"))
-    heads = scratch.keep(heads.select(F.col(id_col).alias("__id"), "__n"), "heads")
-    once = docs.join(heads.where("__n = 1 AND __id IS NOT NULL"), F.col(id_col) == F.col("__id"), "left_semi")
-    again = heads.where("__n > 1 OR __id IS NULL")
+    heads = prints.join(labels, "__fp").where(F.col(id_col).eqNullSafe(F.col("__component"))).groupBy(F.col(id_col).alias("__head")).agg(F.count(F.lit(1)).alias("__n"))
+    heads = scratch.keep(heads, "heads")
+    rows = docs.select(F.col(id_col).alias("__id"), packed(docs))
+    once = rows.join(heads.where("__n = 1 AND __head IS NOT NULL"), F.col("__id") == F.col("__head"), "left_semi").select(*unpacked(docs.columns))
+    again = heads.where("__n > 1 OR __head IS NULL")
     if again.isEmpty():
         return once
-    # Ids that lead more than one row: those rows are told apart by their fingerprints.
-    import uuid
-
-    mark = f"__row_{uuid.uuid4().hex[:8]}"
-    some = scratch.keep(docs.join(again, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").withColumn(mark, F.expr("uuid()")), "again")
-    picked = fingerprints(some.select(mark, text_col), id_col=mark, text_col=text_col).join(some.select(mark, id_col), mark).join(labels, "__fp").where(F.col(id_col).eqNullSafe(F.col("__component"))).groupBy("__component", "__fp").agg(F.min(mark).alias(mark))
-    roots = picked.groupBy("__component").agg(F.min(mark).alias(mark))
-    return once.unionByName(some.join(roots, mark, "left_semi").drop(mark))
+    # Ids that lead more than one row: their rows get marks of their own, and one row of each component stays.
+    some = scratch.keep(rows.join(again, F.col("__id").eqNullSafe(F.col("__head")), "left_semi").withColumn("__mark", F.expr("uuid()")), "again")
+    marked = fingerprints(some.select("__mark", F.col("__row").getField(text_col).alias("__text")), id_col="__mark", text_col="__text")
+    led = marked.join(some.select("__mark", "__id"), "__mark").join(labels, "__fp").where(F.col("__id").eqNullSafe(F.col("__component")))
+    picked = led.groupBy("__root").agg(F.min(F.struct("__fp", "__mark")).alias("p")).select(F.col("p.__mark").alias("__picked"))
+    return once.unionByName(some.join(picked, F.col("__mark") == F.col("__picked"), "left_semi").select(*unpacked(docs.columns)))

@@ -312,7 +312,8 @@ def fit(
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 200), pa.array(found, pa.list_(pa.string()))], ["y", "words"])
 
     # The sample has max_train_rows rows at most.
-    chosen = docs.join(F.broadcast(sample), F.col(id_col) == F.col("__id")).select("__y", text_col)
+    own = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
+    chosen = own.join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select("__y", "__text")
     words = scratch.keep(chosen.mapInArrow(to_words, "y int, words array<string>"), "words")
     sizes = {r["y"]: r["n"] for r in words.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)

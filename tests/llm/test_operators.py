@@ -1,0 +1,571 @@
+"""Each operator against brute force on small tables, with nulls, empty and long texts, ties and repeats."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from linelens.llm import decontam, images, kneser_ney, licenses, mixing, preferences, sharding, simhash, tokens, toxicity
+from linelens.llm.common import Scratch, blocks
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __key string, size string, shard string"
+
+
+def words(rng, n):
+    return [rng.choice("alpha beta gamma delta épsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho".split()) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Documents with all kinds of odd cases and clashing column names."""
+    rng = random.Random(3)
+    out = []
+    for i in range(120):
+        text = " ".join(words(rng, rng.randrange(1, 60)))
+        out.append((i, text, "en", rng.choice(["a", "b", "c"]), len(text)))
+    base = " ".join(words(rng, 200))
+    out += [(200 + k, base, "en", "a", len(base)) for k in range(30)]
+    out += [(300 + k, base + " " + " ".join(words(rng, 1 + k % 3)), "fr", "b", 1) for k in range(30)]
+    out += [(400, None, "en", "a", None), (401, "", "de", "a", 0), (402, " \n\t ", None, None, 4), (403, None, None, None, None), (404, "one", "en", "c", 3)]
+    out += [(405, " ".join(words(rng, 30_000)), "en", "c", 1), (None, "without an id at all", "en", "c", 1), (406, "x" * 50_000, "en", "c", 1)]
+    out += [(5, out[5][1], "en", "a", 1), (7, "another text under an id", "en", "b", 1)]
+    return [(*r, "k", "s", "h") for r in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_blocks():
+    texts = [b"a" * n for n in (3, 3, 10, 0, 1)] + [None]
+    assert list(blocks(texts, 5)) == [(0, 1), (1, 2), (2, 3), (3, 6)]
+    assert list(blocks([], 5)) == []
+
+
+# 2
+
+
+def test_difference_keeps_sums():
+    rng = np.random.default_rng(1)
+    weights = rng.integers(0, 1000, 300)
+    vectors = np.zeros((300, 7), np.int64)
+    vectors[:, 0] = weights
+    place, sums = sharding.difference(vectors)
+    assert [weights[place[:, 0] == k].sum() for k in range(7)] == sums.tolist()
+    assert sums.max() - sums.min() <= 5
+    # A known case: 8 7 6 5 4 in two parts differ by two under differencing.
+    two = np.zeros((5, 2), np.int64)
+    two[:, 0] = [8, 7, 6, 5, 4]
+    assert sorted(sharding.difference(two)[1].tolist()) == [14, 16]
+
+
+@pytest.mark.parametrize("options", [{}, {"bucket_groups": 10, "fan_in": 3, "block_rows": 2}])
+def test_shards(docs, rows, options):
+    got = sharding.assign_shards(docs, 5, **options).collect()
+    assert len(got) == len(rows)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["size"])
+    want = sorted(((i, len(t.encode()) + 16 if t is not None else 16, zlib.crc32(t.encode()) if t is not None else None) for i, t, *_ in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    assert [(r["doc_id"], r["size"], r["text_crc32"]) for r in sorted(got, key=key)] == want
+    by_text, by_shard = {}, {}
+    for r in got:
+        by_text.setdefault((r["size"], r["text_crc32"]), set()).add(r["shard"])
+        by_shard.setdefault(r["shard"], []).append(r)
+    assert all(len(s) == 1 for s in by_text.values())
+    for s, own in by_shard.items():
+        assert 0 <= s < 5 and sorted(r["slot"] for r in own) == list(range(len(own)))
+    assert {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
+    again = sharding.assign_shards(docs.repartition(7), 5, **options).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
+
+
+def test_shards_carry_and_empty(docs, none):
+    got = sharding.assign_shards(docs, 3, carry=True)
+    assert {"text", "lang", "source", "n_chars"} <= set(got.columns) and len(set(got.columns)) == len(got.columns)
+    assert all(r["text"] is None or len(r["text"].encode()) + 16 == r["size"] for r in got.collect())
+    assert sharding.assign_shards(none, 3).count() == 0
+
+
+def test_shards_balance(spark):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, "x" * rng.randrange(2000) + str(i)) for i in range(2000)], "doc_id long, text string")
+    got = sharding.assign_shards(df, 40).groupBy("shard").agg(F.sum("size").alias("s")).collect()
+    sizes = [r["s"] for r in got]
+    assert len(sizes) == 40 and max(sizes) - min(sizes) < 0.001 * sum(sizes) / 40
+
+
+# 3
+
+
+def brute_fingerprint(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    shingles = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(prints, most=4):
+    x = np.array(prints, np.uint64)
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= most
+    label = np.arange(len(x))
+    while True:
+        new = np.array([label[near[i]].min() for i in range(len(x))])
+        if (new == label).all():
+            return label
+        label = new
+
+
+@pytest.mark.parametrize("text", ["", None, " \t", "One", "one two THREE", "a b c d e f", "É A b\x0bc\x0cd é", "x" * 5000 + " y z w v"])
+def test_fingerprint(text):
+    assert simhash.fingerprint(text.encode() if text is not None else None) == brute_fingerprint(text)
+
+
+def test_near_duplicates(docs, rows):
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()))
+    prints = [brute_fingerprint(r[1]) for r in rows]
+    label = brute_components(prints)
+    firsts = {c: min((rows[i][0] for i in np.flatnonzero(label == c) if rows[i][0] is not None), default=None) for c in set(label)}
+    want = sorted((r[0] is None, r[0] or 0, f"{p:016x}", firsts[c]) for r, p, c in zip(rows, prints, label))
+    assert got == want
+
+
+def test_links_are_complete(spark):
+    rng = random.Random(1)
+    base = [rng.getrandbits(64) for _ in range(150)]
+    prints = set(base)
+    for b in base:
+        for k in range(1, 7):
+            x = b
+            for bit in rng.sample(range(64), k):
+                x ^= 1 << bit
+            prints.add(x)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(p,) for p in signed], "__fp long")
+    got = [(r["a"], r["b"]) for r in simhash.links(df).collect()]
+    want = {(min(a, b), max(a, b)) for i, a in enumerate(signed) for b in signed[:i] if bin((a ^ b) & (2**64 - 1)).count("1") <= 4}
+    assert set(got) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "random"])
+def test_components(spark, shape):
+    rng = random.Random(2)
+    edges = {"path": [(i, i + 1) for i in range(60)], "star": [(0, i) for i in range(1, 50)], "random": [tuple(sorted(rng.sample(range(200), 2))) for _ in range(120)]}[shape]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = {r["u"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
+    assert all(got.get(x, x) == find(x) for x in parent)
+
+
+def test_deduplicate(docs, rows, none):
+    got = simhash.deduplicate(docs)
+    assert got.columns == docs.columns
+    label = brute_components([brute_fingerprint(r[1]) for r in rows])
+    kept = got.collect()
+    assert len(kept) == len(set(label))
+    assert sorted(brute_fingerprint(r["text"]) for r in kept) != [] and {r["doc_id"] for r in kept} >= {200}
+    assert simhash.deduplicate(none).count() == 0 and simhash.near_duplicates(none).count() == 0
+
+
+# 5
+
+
+def brute_contamination(texts, items):
+    low = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(low))
+    windows = {}
+    for name, text in items:
+        w = split(text)
+        n = min(13, len(w))
+        for i in range(len(w) - n + 1 if w else 0):
+            windows.setdefault(tuple(w[i : i + n]), set()).add(name)
+    out = []
+    for t in texts:
+        w, hit, names = split(t), set(), set()
+        for n in {len(k) for k in windows}:
+            for i in range(len(w) - n + 1):
+                if (got := windows.get(tuple(w[i : i + n]))) is not None:
+                    names |= got
+                    hit |= set(range(i, i + n))
+        out.append((len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def items(spark, rows):
+    long = rows[150][1].split()
+    texts = [(1, " ".join(long[5:40])), (2, " ".join(long[30:60]).upper()), (10, "pi rho"), (11, None), (12, " . "), (13, "never seen words here"), (1, "zeta, eta; theta-iota"), (None, "mu nu xi")]
+    return spark.createDataFrame(texts, "item_id long, text string")
+
+
+def test_contamination(docs, rows, items):
+    named = [("" if r["item_id"] is None else str(r["item_id"]), r["text"]) for r in items.collect()]
+    want = sorted(((r[0] is None, r[0] or 0, *w) for r, w in zip(rows, brute_contamination([r[1] for r in rows], named))))
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, *tuple(r)[1:]) for r in decontam.contamination(docs, items).collect()))
+    assert got == want
+    clean = decontam.decontaminate(docs, items)
+    assert clean.columns == docs.columns and clean.count() == sum(not w[-1] for w in want)
+
+
+def test_item_blocks(docs, items):
+    many = decontam.item_blocks(items, block_bytes=40)
+    one = decontam.item_blocks(items)
+    texts = [r["text"].encode() if r["text"] is not None else None for r in docs.collect()]
+    assert len(many) > 2 and decontam.judge(texts, many) == decontam.judge(texts, one)
+
+
+def test_contamination_empty(docs, none, items, spark):
+    assert decontam.contamination(none, items).count() == 0
+    got = decontam.contamination(docs, items.limit(0)).collect()
+    assert not any(r["contaminated"] or r["n_hit"] or r["n_items"] for r in got)
+
+
+def test_longest_matches(spark):
+    w = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(w[:30])), (2, "x " + " ".join(w[5:50])), (3, "w1 w2 w3")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(w)), (8, "w2 w3")], "item_id long, text string")
+    got = {(r["item"], r["item_word"]): (r["n_words"], r["doc_id"], r["doc_word"]) for r in decontam.longest_matches(docs, items).collect()}
+    assert got["7", 0] == (30, 1, 0) and got["7", 5] == (45, 2, 1) and got["7", 37] == (13, 2, 33)
+    assert ("7", 38) not in got and got["8", 0][0] == 2
+
+
+# 6
+
+
+def test_quotas():
+    assert mixing.quotas([("a", 100), ("b", 100), ("c", 100)]) == {"a": 50.0, "b": 100.0, "c": 150.0}
+    got = mixing.quotas([("a", 1000), ("b", 1), ("c", 50)])
+    assert got["b"] == 3.0 and got["c"] == 150.0 and abs(sum(got.values()) - 1051) < 1e-9
+    assert mixing.quotas([]) == {} and mixing.quotas([("a", 0)]) == {"a": 0.0}
+
+
+def test_flow_prefers_fresh_tokens():
+    # One pattern in both sources, one in each; quotas can be met without repeats.
+    flow = mixing.route([10, 10, 10], [[0, 1], [0], [1]], [15, 15])
+    assert sum(flow.values()) == 30 and all(sum(n for (p, _), n in flow.items() if p == q) == 10 for q in range(3))
+    # Not enough: the second pass is shared before any third one.
+    flow = mixing.route([10, 10], [[0], [0]], [40])
+    assert flow == {(0, 0): 20, (1, 0): 20}
+    assert mixing.route([10], [[0]], [100]) == {(0, 0): 30}
+
+
+def test_flow_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(30):
+        supply = [rng.randrange(4) for _ in range(3)]
+        members = [rng.sample(range(2), rng.randrange(1, 3)) for _ in range(3)]
+        quota = [rng.randrange(8) for _ in range(2)]
+        flow = mixing.route(supply, members, quota)
+        used = [sum(n for (p, _), n in flow.items() if p == q) for q in range(3)]
+        price = lambda u: sum(sum((r + 1) ** 2 * min(max(x - r * s, 0), s) for r in range(3)) for x, s in zip(u, supply))
+        best = None
+        import itertools
+
+        for split in itertools.product(*[[(a, b) for a in range(3 * s + 1) for b in range(3 * s + 1 - a) if (a == 0 or 0 in m) and (b == 0 or 1 in m)] for s, m in zip(supply, members)]):
+            got = [sum(x[k] for x in split) for k in (0, 1)]
+            if got[0] <= quota[0] and got[1] <= quota[1]:
+                score = (-sum(got), price([sum(x) for x in split]))
+                best = score if best is None else min(best, score)
+        assert (-sum(used), price(used)) == best
+
+
+def test_mix(docs, rows, none):
+    got = mixing.mix(docs).collect()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"]) for r in got) == sorted((r[0] is None, r[0] or 0, size(r[1])) for r in rows)
+    totals = {}
+    for r in rows:
+        totals[r[3]] = totals.get(r[3], 0) + size(r[1])
+    order = sorted(totals, key=lambda s: (s is None, s or ""))
+    targets = mixing.quotas([(s, totals[s]) for s in order])
+    assert {(r["source_size"], r["target"]) for r in got} == {(totals[s], targets[s]) for s in order}
+    assert all(0 <= r["taken"] <= 3 * r["size"] and r["taken"] == r["size"] * r["repeats"] for r in got)
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix(docs.repartition(5)).collect()), key=repr)
+    kept = mixing.take(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r["repeats"] for r in got)
+    assert mixing.mix(none).count() == 0 and mixing.take(none).count() == 0
+
+
+def test_mix_near_targets(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, " ".join("w" * rng.randrange(1, 80)), rng.choice("aaaabc")) for i in range(3000)], "doc_id long, text string, source string")
+    got = mixing.mix(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("k"), F.first("target").alias("t")).collect()
+    assert all(abs(r["k"] - r["t"]) <= 0.01 * r["t"] + 2 for r in got)
+
+
+def test_mix_overlapping(spark):
+    df = spark.createDataFrame([(i, "w w w w w", ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b"]) for i in range(300)], "doc_id long, text string, s array<string>")
+    got = mixing.mix(df, sources_col=F.col("s"), weights=(1, 1)).collect()
+    # Both sources want 1000 of the 1500 different tokens: 500 come twice at most.
+    assert sum(r["taken"] for r in got) == 2000 and max(r["repeats"] for r in got) == 2
+
+
+# 8
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    public = pytest.importorskip("public_tokenizers")
+    return public.path("byte_bpe_50k.json")
+
+
+def test_tokens(docs, rows, none, tokenizer):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in tokens.token_counts(docs, tokenizer).collect())
+    count = lambda t: len(tok.encode(t or "", add_special_tokens=False).ids)
+    assert got == sorted((r[0] is None, r[0] or 0, len((r[1] or "").encode()), count(r[1]), count(r[1]) > 512) for r in rows)
+    assert tokens.token_counts(none, tokenizer).count() == 0
+
+
+def test_tokens_odd_texts(tokenizer):
+    from tokenizers import Tokenizer
+
+    tok, shortcut = Tokenizer.from_file(tokenizer), tokens.prove(tokenizer)
+    counter = tokens.Counter(shortcut)
+    rng = random.Random(1)
+    bits = ["<|endoftext|>", " ", "\n", "'s", "'ll", "word", " the", "12", "é", "漢", "🙂", "\u0085", " ", "\x1c", "\x00", "!!", "   ", "​", "\r\n"]
+    for _ in range(4000):
+        text = "".join(rng.choice([*bits, chr(rng.randrange(32, 0x3000)), rng.choice(shortcut.odd), chr(rng.randrange(0x10000, 0x1FFFF))]) for _ in range(rng.randrange(10)))
+        assert counter.count(text) == len(tok.encode(text, add_special_tokens=False).ids), repr(text)
+
+
+# 10
+
+
+@pytest.fixture(scope="module")
+def toxic(spark):
+    rng = random.Random(11)
+    clean = "the river and stone with morning light over quiet water while people walk along idle paths to market towns".split()
+    bad = ["idiot", "moron", "scum", "stupid"]
+    rows, labels = [], []
+    for i in range(1500):
+        w = [rng.choice(clean) for _ in range(40)]
+        y = i % 6 == 0
+        if y:
+            w[rng.randrange(40)] = rng.choice(bad)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(y)))
+    labels += [(None, 1), (3, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_toxicity(toxic, spark):
+    docs, labels = toxic
+    model = toxicity.fit(docs, labels)
+    score = model.scorer()
+    for text in ["you idiot", "such an 1d10t here", "an i d i o t walks", "i.d.i.o.t", "idiooooot!", "$cum", "m0r0n", "stu​pid", "the m 0 r o n"]:
+        assert score(text.encode()) >= 0.5, text
+    for text in ["", None, "the river and stone", "room 101 at 10:30", "quiet water, light!", "a b c d", "1 2 3 4"]:
+        assert score(text.encode() if text is not None else None) < 0.5, text
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert len(got) == 1500
+    for i, r in got.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+    wrong = sum(r["predicted"] != int(i % 6 == 0) for i, r in got.items() if r["held_out"])
+    assert wrong == 0
+    kept = model.keep(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(not r["predicted"] for r in got.values())
+
+
+def test_toxicity_odd_tables(docs, rows, none, spark):
+    nothing = spark.createDataFrame([], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, nothing).collect()
+    assert len(got) == len(rows) and {r["predicted"] for r in got} == {0}
+    assert toxicity.toxicity(none, nothing).count() == 0
+
+
+def test_held_out_labels_are_not_read(toxic, spark):
+    docs, labels = toxic
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert toxicity.fit(docs, labels).weights == toxicity.fit(docs, turned).weights
+
+
+def test_language_model_sums_to_one():
+    logp = toxicity.language_model(np.array([5, 70, 33000]), np.array([3, 1, 2]))
+    assert np.allclose(np.exp(logp).sum(1), 1, atol=1e-4)
+
+
+# 9
+
+
+def test_kneser_ney_against_brute_force(spark, monkeypatch):
+    texts = ["abab ac", "abc abd", "b a c", "aab"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = kneser_ney.train(df, Scratch(spark, "kn"))
+    logp = model.dense().reshape(-1, kneser_ney.V)
+    assert np.allclose(np.exp(logp).sum(1), 1, atol=1e-4)
+    table = kneser_ney.symbol_table()
+    V, order = kneser_ney.V, kneser_ney.ORDER
+    counts = [{} for _ in range(order)]
+    for t in texts:
+        s = [0] * (order - 1) + [int(table[ord(c)]) for c in t]
+        for i in range(order - 1, len(s)):
+            g = tuple(s[i - order + 1 : i + 1])
+            counts[-1][g] = counts[-1].get(g, 0) + 1
+    for k in range(order - 2, -1, -1):
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+
+    def d(k):
+        n = [sum(v == j for v in counts[k].values()) for j in (1, 2, 3, 4)]
+        if not n[0] or not n[1]:
+            return 0.5, 1.0, 1.5
+        y = n[0] / (n[0] + 2 * n[1])
+        return tuple(min(max(j - (j + 1) * y * n[j] / n[j - 1], 0.05), j - 0.05) if n[j - 1] else j / 2 for j in (1, 2, 3))
+
+    def p(g):
+        if not g:
+            return 1 / V
+        k = len(g) - 1
+        own = {x: c for x, c in counts[k].items() if x[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        off = lambda c: d(k)[min(c, 3) - 1]
+        total = sum(own.values())
+        return (own.get(g, 0) - off(own[g]) if g in own else 0) / total + sum(map(off, own.values())) / total * p(g[1:])
+
+    for g in [(0, 0, 0, 3), (3, 4, 3, 4), (0, 3, 4, 5), (9, 9, 9, 9), (4, 1, 3, 5), (3, 3, 4, 40)]:
+        code = ((g[0] * V + g[1]) * V + g[2]) * V + g[3]
+        assert abs(np.exp(logp.reshape(-1)[code]) - p(g)) < 1e-5, g
+
+
+def test_quality(docs, rows, none, spark):
+    labels = spark.createDataFrame([(i, 1) for i in range(100)] + [(110, 0), (None, 1)], "doc_id long, quality int")
+    junk = spark.createDataFrame([(900, "%%% ### $$$ @@@ |||| ~~~", "en"), (901, "QZXJ QQXZ JJKK ZZXX", "xx")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in kneser_ney.quality(docs.select("doc_id", "text", "lang").union(junk), labels).collect()}
+    assert not got[900]["keep"] and not got[901]["keep"] and got[901]["threshold"] is not None
+    assert sum(got[i]["keep"] for i in range(100)) >= 98
+    for i in (400, 401, 403):
+        assert got[i]["perplexity"] is None and not got[i]["keep"]
+    nothing = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r["keep"] for r in kneser_ney.quality(docs.where("n_chars > 0"), nothing).collect()} == {True}
+    assert kneser_ney.quality(none, nothing).count() == 0
+
+
+# 4
+
+
+def test_licenses(spark):
+    mit = """/* Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal in it. The above
+ * copyright notice and this permission notice shall be included in all copies. THE SOFTWARE IS PROVIDED
+ * "AS IS", WITHOUT WARRANTY OF ANY KIND. */"""
+    apache = "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."
+    texts = [
+        (1, mit, "MIT", "mit_grant,mit_notice,mit_as_is"), (2, None, "", ""), (3, "", "", ""), (4, "Released under the MIT License.", "MIT", "ref_mit"),
+        (5, "Text.\nLicensed under CC BY-NC 4.0.\nAll rights reserved.", "All-Rights-Reserved,CC-BY-NC-4.0", "ref_cc_by_nc_4,all_rights"),
+        (6, apache, "Apache-2.0", None), (7, "A licence of my own.", "", "unknown"), (8, "0cc0f", "", ""), (9, "word " * 50_000 + "Released under the MIT License.", "MIT", "ref_mit"),
+        (10, "GNU Lesser General Public License v2.1", "LGPL-2.1", "ref_lgpl_2_1"), (4, "Released under the MIT License.", "MIT", "ref_mit"),
+    ]
+    df = spark.createDataFrame([(i, t, "x") for i, t, *_ in texts], "doc_id long, text string, licenses string")
+    got = sorted(((r["doc_id"], r["licenses"], r["sentence_ids"]) for r in licenses.scan_licenses(df).collect()), key=lambda x: x[0])
+    for (i, _, names, ids), (j, have, seen) in zip(sorted(texts, key=lambda x: x[0]), got):
+        assert (i, names) == (j, have) and (ids is None or ids == seen)
+    assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_rules_are_ordered(spark):
+    def match(*ids):
+        return spark.range(1).select(licenses.match_rules(F.array(*map(F.lit, ids))).alias("x")).first()["x"]
+
+    assert match("bsd_intro", "bsd_source", "bsd_binary", "bsd_name", "bsd_as_is") == ["BSD-3-Clause"]
+    assert match("bsd_intro", "bsd_source", "bsd_binary", "bsd_as_is") == ["BSD-2-Clause"]
+    assert match("bsd_intro", "copyright", "bsd_source", "bsd_binary", "bsd_as_is") == ["BSD-2-Clause"]
+    assert match("bsd_source", "bsd_intro") == [] and match("ref_mit", "ref_gpl_2", "ref_mit") == ["GPL-2.0", "MIT"]
+
+
+# 1
+
+
+def test_preferences(spark):
+    turns = [
+        (1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (2, 1, "assistant", "no <|end|>"), (3, 0, "user", "hi"), (3, 1, "assistant", "no <|end|>"),
+        (4, 0, "user", "hi"), (5, 1, None, None), (5, 0, "user", "other"), (None, 0, "user", "hi"), (6, 0, None, None), (6, 0, None, None),
+    ]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("chosen", F.lit("clash"))
+    got = {r["conv_id"]: r for r in preferences.preferences(df).collect()}
+    assert {k: (r["rejected_id"], r["status"], r["n_prompt_turns"]) for k, r in got.items()} == {1: (2, "pair", 1), 2: (3, "identical", 2), 3: (4, "prefix", 1), 4: (None, "single", 0), 5: (None, "single", 0), 6: (None, "single", 0)}
+    r = got[1]
+    assert r["prompt"] == "<|user|>\nhi<|end|>\n" and r["chosen"] == "<|assistant|>\nyes<|end|>\n"
+    assert r["rejected"] == "<|assistant|>\nno <\\|end|><|end|>\n"
+    (span,) = r["rejected_spans"]
+    assert r["rejected"][span["start"] : span["start"] + span["length"]] == "no <\\|end|><|end|>\n"
+    assert got[4]["rejected"] is None and got[2]["chosen"] == "" and got[2]["chosen_spans"] == []
+    assert preferences.preferences(df.limit(0)).count() == 0
+
+
+def test_preferences_in_cells(spark):
+    turns = [(i, t, "user" if t == 0 else "assistant", "same" if t == 0 else f"answer {i}") for i in range(50) for t in (0, 1)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = preferences.preferences(df, cell=10).collect()
+    assert len(got) == 50 and sum(r["status"] == "pair" for r in got) == 45 and {r["n_prompt_turns"] for r in got if r["status"] == "pair"} == {1}
+
+
+# 7
+
+
+def picture(rng, n=64):
+    return np.clip(128 + 40 * images.blur(rng.normal(size=(1, n, n)).astype(np.float32) * 3)[0], 0, 255).astype(np.uint8)
+
+
+def test_image_copies(spark):
+    rng = np.random.RandomState(3)
+    rows, group = [], {}
+
+    def add(i, image, g):
+        rows.append((i, image.shape[1], image.shape[0], image.tobytes()))
+        group[i] = g
+
+    for k in range(30):
+        p = picture(rng)
+        add(10 * k, p, 10 * k)
+        add(10 * k + 1, p[4:60, 6:62], 10 * k)
+        add(10 * k + 2, np.clip(p.astype(float) * 0.8 + 20, 0, 255).astype(np.uint8), 10 * k)
+        add(10 * k + 3, p, 10 * k)
+        add(10 * k + 4, np.rot90(p).copy(), 10 * k)
+    hot = picture(rng)
+    for j in range(60):  # many edits of one image
+        add(1000 + j, np.clip(hot.astype(float) + rng.normal(0, 2, hot.shape), 0, 255).astype(np.uint8), 1000)
+    rows += [(2000, 64, 64, None), (2001, 10, 10, b"xx"), (2002, 8, 8, bytes(64)), (2003, 64, 64, bytes(4096)), (2004, 64, 64, bytes(4096)), (None, 64, 64, bytes(4096)), (0, 64, 64, rows[0][3])]
+    df = spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary").withColumn("class_id", F.lit("clash"))
+    got = [(r["image_id"], r["class_id"], r["n_points"]) for r in images.copies(df).collect()]
+    assert len(got) == len(rows)
+    classes = {i: c for i, c, _ in got if i is not None}
+    wrong = [i for i, c in classes.items() if i in group and c != group[i] and c in group and group[c] != group[i]]
+    assert not wrong
+    right = sum(classes[i] == group[i] for i in group)
+    assert right >= 0.95 * len(group), right / len(group)
+    assert classes[2000] == 2000 and classes[2001] == 2001 and classes[2004] == 2003 and [c for i, c, _ in got if i is None] == [None]
+    assert images.copies(df.limit(0)).count() == 0
+
+
+def test_hamming_tables_find_all_close_pairs(spark):
+    """Descriptors of at most three differing bits always share a part."""
+    rng = random.Random(2)
+    for _ in range(200):
+        x = [rng.getrandbits(64), rng.getrandbits(64)]
+        y = list(x)
+        for bit in rng.sample(range(128), 3):
+            y[bit // 64] ^= 1 << bit % 64
+        part = lambda v: [(v[k // 2] >> 32 * (1 - k % 2)) & 0xFFFFFFFF for k in range(4)]
+        assert any(a == b for a, b in zip(part(x), part(y)))
