@@ -16,9 +16,11 @@ def as_bytes(c: Column) -> Column:
 def trigrams(line: Column, size: int = SIZE) -> Column:
     """Distinct windows of `size` bytes; shorter lines have none."""
     b, n = as_bytes(line), F.octet_length(line)
-    # The guard matters: sequence(1, 0) counts down.
-    windows = F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.substring(b, i, F.lit(size)))
-    return F.when(n >= size, F.array_distinct(windows)).otherwise(F.array().cast("array<binary>"))
+    # The guard matters: sequence(1, 0) counts down. Spark hashes strings for a distinct,
+    # but compares binaries pair by pair; the casts keep the bytes as they are.
+    windows = F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.substring(b, i, F.lit(size)).cast("string"))
+    distinct = F.transform(F.array_distinct(windows), lambda x: x.cast("binary"))
+    return F.when(n >= size, distinct).otherwise(F.array().cast("array<binary>"))
 
 
 def query_trigrams(query: str | bytes, size: int = SIZE) -> list[bytes]:

@@ -28,6 +28,8 @@ WORDS, SEED, MOST = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Shingles hashed at a time.
 CHUNK = 1 << 16
+#: Rows of two numbers up to which a table is sent to all tasks (about 16 MB).
+BROADCAST_ROWS = 500_000
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -90,24 +92,28 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     the shared folder.
     """
     now = scratch.keep(edges.select("a", "b"), "edges")
-    seen = None
+    state = None
     while True:
+        before, state = state, now.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
+        if state == before:
+            return now.select(F.col("a").alias("u"), F.col("b").alias("root"))
+        # A row for each node: with few edges the smallest neighbours go to all tasks, and hubs aren't shuffled.
+        few = 2 * state[0] <= BROADCAST_ROWS
+
+        def least_of(pairs: DataFrame, few: bool = few) -> DataFrame:
+            least = pairs.groupBy("a").agg(F.min("b").alias("m"))
+            return F.broadcast(least) if few else least
+
         # Large star: each larger neighbour of u goes to the smallest of u and its neighbours.
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.where("b > a").join(least_of(both), "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a != b").distinct()
         # Small star: u and its smaller neighbours go to the smallest of them; here a > b always.
         large = scratch.keep(large, "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct()
+        small = large.join(least_of(large), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct()
         after = scratch.keep(small, "small")
-        state = after.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
         scratch.drop(now)
         scratch.drop(large)
         now = after
-        if state == seen:
-            return now.select(F.col("a").alias("u"), F.col("b").alias("root"))
-        seen = state
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:

@@ -10,6 +10,7 @@ bytes are never found.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -19,10 +20,13 @@ from ..functions.ngrams import as_bytes, query_trigrams, trigrams
 from ..operators import postings as P
 from ..operators import results as R
 from ..schema import SearchRequest
+from ..storage import shared_dir
 from .index import Index
 
 #: n-grams whose lists are joined, and the share of all lines from which on a scan is taken.
 RAREST, SCAN_SHARE = 3, 0.1
+#: Files up to which the first lines are tried by themselves.
+MOST_PROBED = 10_000
 
 
 @dataclass(frozen=True)
@@ -71,9 +75,29 @@ def matching_lines(index: Index, query: str, *, plan: Plan | None = None, short_
     return lines.join(ids, "line_id", "left_semi").where(holds)
 
 
-def search_matches(index: Index, request: SearchRequest, **options) -> DataFrame:
+def _first_range(index: Index, hits: DataFrame, files_wanted: int) -> DataFrame:
+    """Only the first lines, if they already have more files with hits than are wanted.
+
+    Lines are in the order of file ids, so what lies behind can't be among the first
+    files; of the files found the last may go on behind the range, hence one more is
+    asked for. Ranges grow by a factor of 16.
+    """
+    high = index.manifest.lines_per_shard
+    while high < index.manifest.n_lines and files_wanted < MOST_PROBED:
+        some = hits.where(F.col("line_id") < high)
+        if some.select("file_id").distinct().limit(files_wanted + 1).count() > files_wanted:
+            return some
+        high *= 16
+    return hits
+
+
+def search_matches(index: Index, request: SearchRequest, *, plan: Plan | None = None, short_lines: bool = False) -> DataFrame:
     """The matches that a request's limits leave."""
-    return R.limit_matches(matching_lines(index, request.query, **options), limit=request.limit, within_file=request.within_file_limit, offset=request.offset)
+    plan = plan or make_plan(index, request.query)
+    hits = matching_lines(index, request.query, plan=plan, short_lines=short_lines)
+    if plan.kind in ("scan", "fragment"):
+        hits = _first_range(index, hits, request.offset + request.limit)
+    return R.limit_matches(hits, limit=request.limit, within_file=request.within_file_limit, offset=request.offset)
 
 
 def search(index: Index, request: SearchRequest | str, *, around: int = 1, **options) -> DataFrame:
@@ -96,31 +120,49 @@ def search_nested(index: Index, request: SearchRequest | str, *, around: int = 1
 
 
 def search_many(index: Index, queries: DataFrame, *, limit: int = 100, within_file: int = 10, offset: int = 0, rarest: int = RAREST) -> DataFrame:
-    """A batch of (query_id, query) in one job: (query_id, query, line_id, file_id, file_line, line).
+    """A batch of (query_id, query): (query_id, query, line_id, file_id, file_line, line).
 
     Every query's n-grams are ranked by their counts, the rarest joined with the
-    postings, and lines that have all of them tested. No list of a frequent n-gram is
-    read unless a query has nothing rarer.
+    postings, and lines that have all of them tested. The first shard is searched
+    first: queries that find more files there than they want are done, and only the
+    others go through all shards, so that no list of a frequent n-gram is read whole.
     """
-    size = index.manifest.ngram_size
     queries = queries.where(F.col("query").isNotNull()).select("query_id", "query")
+    limits = {"limit": limit, "within_file": within_file, "offset": offset, "by": ("query_id",)}
+    if index.manifest.n_shards <= 1 or offset + limit >= MOST_PROBED:
+        return R.limit_matches(_batch(index, queries, rarest, None), **limits)
+    path = f"{shared_dir(index.spark)}/linelens/batch-{uuid.uuid4().hex}"
+    # At most one more file than wanted is kept, so that this table follows the queries, not the corpus.
+    more = {**limits, "limit": offset + limit + 1, "offset": 0}
+    R.limit_matches(_batch(index, queries, rarest, 1), **more).write.parquet(path)
+    first = index.spark.read.parquet(path)
+    done = first.groupBy("query_id").agg(F.countDistinct("file_id").alias("n")).where(F.col("n") > offset + limit).select("query_id")
+    rest = _batch(index, queries.join(done, "query_id", "left_anti"), rarest, None)
+    return R.limit_matches(first.join(done, "query_id", "left_semi"), **limits).unionByName(R.limit_matches(rest, **limits))
+
+
+def _batch(index: Index, queries: DataFrame, rarest: int, shards: int | None) -> DataFrame:
+    """All matches of a batch, in the first `shards` shards or in all."""
+    size = index.manifest.ngram_size
+    postings, lines = index.postings, index.lines.select("line_id", "file_id", "file_line", "line")
+    if shards is not None:
+        postings, lines = postings.where(F.col("shard") < shards), lines.where(F.col("line_id") < shards * index.manifest.lines_per_shard)
     long = queries.where(F.octet_length("query") >= size)
     grams = long.select("query_id", F.explode(trigrams(F.col("query"), size)).alias("ngram"))
     # Left join, so that a missing n-gram ends its query.
     known = grams.join(index.ngram_counts, "ngram", "left")
     by_query = Window.partitionBy("query_id")
-    ranked = known.withColumns({"__missing": F.max(F.col("count").isNull().cast("int")).over(by_query), "__r": F.row_number().over(by_query.orderBy("count", "ngram"))})
-    chosen = ranked.where((F.col("__missing") == 0) & (F.col("__r") <= rarest)).select("query_id", "ngram")
-    wanted = chosen.groupBy("query_id").agg(F.count(F.lit(1)).alias("__k"))
-    hits = chosen.join(index.postings, "ngram").groupBy("query_id", "shard").agg(F.collect_list("line_ids").alias("l")).join(wanted, "query_id").where(F.size("l") == F.col("__k"))
+    ranked = known.withColumns({"__missing": F.max(F.col("count").isNull().cast("int")).over(by_query), "__r": F.row_number().over(by_query.orderBy("count", "ngram")), "__k": F.least(F.count(F.lit(1)).over(by_query), F.lit(rarest))})
+    chosen = ranked.where((F.col("__missing") == 0) & (F.col("__r") <= rarest)).select("query_id", "ngram", "__k")
+    hits = chosen.join(postings, "ngram").groupBy("query_id", "shard", "__k").agg(F.collect_list("line_ids").alias("l")).where(F.size("l") == F.col("__k"))
     both = F.aggregate(F.slice("l", F.lit(2), F.size("l")), F.col("l")[0], lambda acc, x: F.array_intersect(acc, x))
     candidates = hits.select("query_id", F.explode(both).alias("line_id"))
 
+    # Fragments are few and short: a query of under n bytes has at most 256 ** (n - 1) forms.
     short = queries.where(F.octet_length("query") < size)
-    containing = index.ngram_counts.select("ngram").join(F.broadcast(short) if short.limit(10_001).count() <= 10_000 else short, F.contains("ngram", as_bytes(F.col("query"))))
-    more = containing.select("query_id", "ngram").join(index.postings, "ngram").select("query_id", F.explode("line_ids").alias("line_id")).distinct()
+    forms = short.select("query").distinct()
+    containing = index.ngram_counts.select("ngram").join(F.broadcast(forms) if forms.limit(10_001).count() <= 10_000 else forms, F.contains("ngram", as_bytes(F.col("query"))))
+    more = containing.join(postings, "ngram").select("query", F.explode("line_ids").alias("line_id")).distinct().join(short, "query").select("query_id", "line_id")
 
-    lines = index.lines.select("line_id", "file_id", "file_line", "line")
     found = candidates.unionByName(more).join(lines, "line_id").join(queries, "query_id").where(F.contains("line", F.col("query")))
-    kept = R.limit_matches(found, limit=limit, within_file=within_file, offset=offset, by=("query_id",))
-    return kept.select("query_id", "query", "line_id", "file_id", "file_line", "line")
+    return found.select("query_id", "query", "line_id", "file_id", "file_line", "line")

@@ -41,5 +41,11 @@ def benchmark(df: DataFrame) -> DataFrame:
 ADAPTERS = {"documents": documents, "pages": pages, "conversations": conversations, "benchmark": benchmark}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a table that comes in fewer partitions than there are cores; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return ADAPTERS[name](table(spark, sf_dir, name))
+    return ADAPTERS[name](spread(table(spark, sf_dir, name)))
