@@ -23,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     build.add_argument("--db-path", required=True)
     build.add_argument("--preserve", action="store_true", help="don't replace an index")
     build.add_argument("--ngram-size", type=int, default=3)
-    build.add_argument("--shard-lines", type=int, default=1 << 18)
+    build.add_argument("--shard-lines", type=int, default=1 << 15)
     find = sub.add_parser("search", help="search an index")
     find.add_argument("query")
     find.add_argument("--db-path", required=True)

@@ -45,10 +45,18 @@ def _offsets(lines: DataFrame, size=None) -> DataFrame:
     return lines.withColumn("file_offset", F.coalesce(F.sum(size + 1).over(before), F.lit(0)).cast("bigint"))
 
 
-def with_line_ids(lines: DataFrame, *, block: int = 1 << 16) -> DataFrame:
-    """Add line_id, dense from 0 in the order of (file_id, file_line), by prefix sums of the files' counts."""
-    counts = lines.groupBy("file_id").agg(F.count(F.lit(1)).alias("__n"))
-    firsts = running_start(counts, "file_id", F.col("__n"), "__first", block=block).select("file_id", "__first")
+def counts_of_text(corpus: DataFrame) -> DataFrame:
+    """(file_id, n): lines of each file, without taking them apart."""
+    return corpus.where(F.col("content").isNotNull()).select("file_id", F.size(F.split("content", "\n", -1)).alias("n"))
+
+
+def with_line_ids(lines: DataFrame, counts: DataFrame | None = None, *, block: int = 1 << 16) -> DataFrame:
+    """Add line_id, dense from 0 in the order of (file_id, file_line), by prefix sums of the files' counts.
+
+    `counts` (file_id, n) spares counting the lines.
+    """
+    counts = counts if counts is not None else lines.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    firsts = running_start(counts, "file_id", F.col("n"), "__first", block=block).select("file_id", "__first")
     return lines.join(firsts, "file_id").withColumn("line_id", F.col("__first") + F.col("file_line") - 1).drop("__first")
 
 

@@ -12,15 +12,15 @@ def limit_matches(matches: DataFrame, *, limit: int, within_file: int, offset: i
     Keeps `limit` files behind `offset` (for each value of `by`, if given) and the first
     `within_file` lines of each.
     """
-    if by:
-        files = matches.select(*by, "file_id").distinct()
-        ranked = files.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("file_id")))
-        kept = ranked.where((F.col("__r") > offset) & (F.col("__r") <= offset + limit)).drop("__r")
-    else:
-        # A global rank would bring all rows to one task; this keeps the best of each.
-        kept = matches.select("file_id").distinct().orderBy("file_id").offset(offset).limit(limit)
-    some = matches.join(kept, [*by, "file_id"], "left_semi")
     first = Window.partitionBy(*by, "file_id").orderBy("file_line")
+    if by:
+        # Lines first, which leaves a few of each file; then files, of which each task hands on the first ones.
+        some = matches.withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= within_file)
+        ranked = some.withColumn("__r", F.dense_rank().over(Window.partitionBy(*by).orderBy("file_id"))).where(F.col("__r") <= offset + limit)
+        return ranked.where(F.col("__r") > offset).drop("__rn", "__r")
+    # A global rank would bring all rows to one task; this keeps the best of each.
+    kept = matches.select("file_id").distinct().orderBy("file_id").offset(offset).limit(limit)
+    some = matches.join(kept, "file_id", "left_semi")
     return some.withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= within_file).drop("__rn")
 
 

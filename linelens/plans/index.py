@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +25,22 @@ class Index:
     path: str
     manifest: Manifest
 
+    cached: dict[str, DataFrame] = field(default_factory=dict)
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.cached.get(name) or self.spark.read.parquet(f"{self.path}/{name}")
+
+    def warm(self) -> Index:
+        """Hold the tables in the executors' memory, or on their disks, for many searches."""
+        for name in TABLES:
+            self.cached[name] = self.table(name).cache()
+            self.cached[name].count()
+        return self
+
+    def cool(self) -> None:
+        for df in self.cached.values():
+            df.unpersist()
+        self.cached.clear()
 
     @property
     def files(self) -> DataFrame:
@@ -64,17 +78,17 @@ def _prepare(spark: SparkSession, path: str, preserve: bool) -> None:
         delete(spark, path)
 
 
-def build_index(corpus: DataFrame, path: str, *, vestibule: str = "", preserve: bool = False, lines_per_shard: int = 1 << 18, size: int = SIZE) -> Index:
+def build_index(corpus: DataFrame, path: str, *, vestibule: str = "", preserve: bool = False, lines_per_shard: int = P.LINES_PER_SHARD, size: int = SIZE) -> Index:
     """Index a corpus of (file_id, directory, filename, lang, content string).
 
     An index that is there is replaced, unless `preserve` is set.
     """
     _prepare(corpus.sparkSession, path, preserve)
     files = corpus.select("file_id", "directory", "filename", "lang", F.lit(None).cast("timestamp").alias("time_indexed"), F.lit(None).cast("timestamp").alias("time_archive"))
-    return _write(corpus.sparkSession, files, L.lines_of_text(corpus), path, vestibule, lines_per_shard, size)
+    return _write(corpus.sparkSession, files, L.with_line_ids(L.lines_of_text(corpus), L.counts_of_text(corpus)), path, vestibule, lines_per_shard, size)
 
 
-def build_tree_index(spark: SparkSession, roots: str | list[str], path: str, *, preserve: bool = False, lines_per_shard: int = 1 << 18, size: int = SIZE) -> Index:
+def build_tree_index(spark: SparkSession, roots: str | list[str], path: str, *, preserve: bool = False, lines_per_shard: int = P.LINES_PER_SHARD, size: int = SIZE) -> Index:
     """Index source trees: files are numbered in the order of (canonical path, root, name)."""
     _prepare(spark, path, preserve)
     scratch = f"{shared_dir(spark)}/linelens/tree-{uuid.uuid4().hex}"
@@ -86,18 +100,19 @@ def build_tree_index(spark: SparkSession, roots: str | list[str], path: str, *,
     found = L.number_files(read_tree(spark, roots), keep)
     files = found.select("file_id", "directory", "filename", "lang", F.lit(None).cast("timestamp").alias("time_indexed"), F.lit(None).cast("timestamp").alias("time_archive"))
     try:
-        return _write(spark, files, L.lines_of_bytes(found), path, roots if isinstance(roots, str) else roots[0], lines_per_shard, size)
+        return _write(spark, files, L.with_line_ids(L.lines_of_bytes(found)), path, roots if isinstance(roots, str) else roots[0], lines_per_shard, size)
     finally:
         delete(spark, scratch)
 
 
 def _write(spark: SparkSession, files: DataFrame, lines: DataFrame, path: str, vestibule: str, lines_per_shard: int, size: int) -> Index:
     files.write.parquet(f"{path}/files")
-    # Sorted by id, so that a lookup reads few row groups.
-    L.with_line_ids(lines).select("line_id", "file_id", "file_offset", "file_line", "phys_line", "line").repartitionByRange("line_id").sortWithinPartitions("line_id").write.parquet(f"{path}/lines")
+    # Dealt out by shard and sorted by id, so that a lookup reads few row groups.
+    shard = F.floor(F.col("line_id") / lines_per_shard)
+    lines.select("line_id", "file_id", "file_offset", "file_line", "phys_line", "line").repartition(shard).sortWithinPartitions("line_id").write.parquet(f"{path}/lines")
     lines = spark.read.parquet(f"{path}/lines")
-    found = P.postings(lines, lines_per_shard=lines_per_shard, size=size)
-    found.repartitionByRange("ngram", "shard").sortWithinPartitions("ngram", "shard").write.parquet(f"{path}/postings")
+    # Small row groups: a query reads those of its n-grams alone.
+    P.build_postings(lines, lines_per_shard=lines_per_shard, size=size).sortWithinPartitions("ngram", "shard").write.option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
     found = spark.read.parquet(f"{path}/postings")
     P.counts_of_postings(found).repartitionByRange("ngram").sortWithinPartitions("ngram").write.parquet(f"{path}/ngram_counts")
     L.file_start_lines(lines).write.parquet(f"{path}/file_start_lines")

@@ -13,7 +13,8 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ngrams import as_bytes, query_trigrams, trigrams
@@ -27,6 +28,9 @@ from .index import Index
 RAREST, SCAN_SHARE = 3, 0.1
 #: Files up to which the first lines are tried by themselves.
 MOST_PROBED = 10_000
+IDS = ("line_id", "file_id", "file_line")
+#: Queries up to which a batch is planned on the driver, and lines of a shard for each file wanted from which on a query is frequent.
+MOST_PLANNED, FREQUENT = 10_000, 4
 
 
 @dataclass(frozen=True)
@@ -123,46 +127,97 @@ def search_many(index: Index, queries: DataFrame, *, limit: int = 100, within_fi
     """A batch of (query_id, query): (query_id, query, line_id, file_id, file_line, line).
 
     Every query's n-grams are ranked by their counts, the rarest joined with the
-    postings, and lines that have all of them tested. The first shard is searched
-    first: queries that find more files there than they want are done, and only the
-    others go through all shards, so that no list of a frequent n-gram is read whole.
+    postings, and lines that have all of them tested. Queries that are frequent are
+    tried on the first shard: those that find more files there than they want are done,
+    so that no list of a frequent n-gram is read whole; the others go through all shards.
+    A batch of up to MOST_PLANNED queries is planned on the driver, a larger one in a join.
     """
     queries = queries.where(F.col("query").isNotNull()).select("query_id", "query")
-    limits = {"limit": limit, "within_file": within_file, "offset": offset, "by": ("query_id",)}
-    if index.manifest.n_shards <= 1 or offset + limit >= MOST_PROBED:
-        return R.limit_matches(_batch(index, queries, rarest, None), **limits)
+    wanted = offset + limit
+    limits = {"within_file": within_file, "by": ("query_id",)}
+    every = index.manifest.n_shards
+    some = queries.limit(MOST_PLANNED + 1).collect()
+    if len(some) <= MOST_PLANNED:
+        queries = _local(index.spark, [tuple(r) for r in some], query_id=pa.int64(), query=pa.string())
+        chosen, short, frequent = _planned(index, [tuple(r) for r in some], rarest, wanted)
+    else:
+        chosen, short, frequent = _joined(index, queries, rarest), queries.where(F.octet_length("query") < index.manifest.ngram_size), queries.select("query_id")
+
+    def full(kept: DataFrame) -> DataFrame:
+        # Lines' texts come last, for what is left.
+        return kept.join(index.lines.select("line_id", "line"), "line_id").join(queries, "query_id").select("query_id", "query", *IDS, "line")
+
+    if every <= 1 or wanted >= MOST_PROBED:
+        return full(R.limit_matches(_batch(index, queries, chosen, short), limit=limit, offset=offset, **limits))
+
     path = f"{shared_dir(index.spark)}/linelens/batch-{uuid.uuid4().hex}"
-    # At most one more file than wanted is kept, so that this table follows the queries, not the corpus.
-    more = {**limits, "limit": offset + limit + 1, "offset": 0}
-    R.limit_matches(_batch(index, queries, rarest, 1), **more).write.parquet(path)
+    # One more file than wanted is kept at most, so that this table follows the queries, not the corpus.
+    # Frequent queries and short ones in the first shard, the others in all; in one shard short ones are looked for in the lines themselves.
+    reach = chosen.join(frequent.withColumn("__shards", F.lit(1)), "query_id", "left").withColumn("__shards", F.coalesce("__shards", F.lit(every)))
+    tried = _batch(index, queries, reach, None)
+    lines = index.lines.select("line_id", "file_id", "file_line", "line").where(F.col("line_id") < index.manifest.lines_per_shard)
+    scanned = lines.where(F.octet_length("line") >= index.manifest.ngram_size).join(short, F.contains("line", F.col("query"))).select("query_id", *IDS)
+    R.limit_matches(tried.unionByName(scanned), limit=wanted + 1, **limits).write.parquet(path)
     first = index.spark.read.parquet(path)
-    done = first.groupBy("query_id").agg(F.countDistinct("file_id").alias("n")).where(F.col("n") > offset + limit).select("query_id")
-    rest = _batch(index, queries.join(done, "query_id", "left_anti"), rarest, None)
-    return R.limit_matches(first.join(done, "query_id", "left_semi"), **limits).unionByName(R.limit_matches(rest, **limits))
-
-
-def _batch(index: Index, queries: DataFrame, rarest: int, shards: int | None) -> DataFrame:
-    """All matches of a batch, in the first `shards` shards or in all."""
+    filled = first.groupBy("query_id").agg(F.countDistinct("file_id").alias("n")).where(F.col("n") > wanted).select("query_id")
+    unfilled = frequent.join(filled, "query_id", "left_anti")
+    done = R.limit_matches(first.join(unfilled, "query_id", "left_anti"), limit=limit, offset=offset, **limits)
+    if unfilled.isEmpty():
+        return full(done)
+    rest = _batch(index, queries, chosen.join(unfilled, "query_id", "left_semi"), short.join(unfilled, "query_id", "left_semi"))
+    return full(done.unionByName(R.limit_matches(rest, limit=limit, offset=offset, **limits)))
+
+
+def _planned(index: Index, rows: list[tuple], rarest: int, wanted: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chosen, short, frequent) of a batch, planned on the driver from the counts of its n-grams."""
+    size, spark = index.manifest.ngram_size, index.spark
+    grams = {i: query_trigrams(q, size) for i, q in rows}
+    own = _local(spark, [(g,) for g in {g for gs in grams.values() for g in gs}], ngram=pa.binary())
+    # A row for each different n-gram of the batch.
+    counts = {bytes(r["ngram"]): r["count"] for r in index.ngram_counts.join(F.broadcast(own), "ngram").collect()}
+    chosen, frequent = [], []
+    for i, gs in grams.items():
+        if not gs:
+            frequent.append((i,))
+        elif all(g in counts for g in gs):
+            order = sorted(gs, key=lambda g: (counts[g], g))[:rarest]
+            chosen += [(i, g, len(order)) for g in order]
+            if counts[order[0]] >= FREQUENT * max(1, wanted) * index.manifest.n_shards:
+                frequent.append((i,))
+    short = [(i, q) for i, q in rows if not grams[i]]
+    return _local(spark, chosen, query_id=pa.int64(), ngram=pa.binary(), __k=pa.int64()), _local(spark, short, query_id=pa.int64(), query=pa.string()), _local(spark, frequent, query_id=pa.int64())
+
+
+def _local(spark: SparkSession, rows: list[tuple], **columns: pa.DataType) -> DataFrame:
+    """Rows that stand in the plan itself, so that Spark knows their size."""
+    data = list(zip(*rows)) if rows else [[] for _ in columns]
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(data, columns.values())], names=list(columns)))
+
+
+def _joined(index: Index, queries: DataFrame, rarest: int) -> DataFrame:
+    """chosen of a batch of any size: (query_id, ngram, __k)."""
     size = index.manifest.ngram_size
-    postings, lines = index.postings, index.lines.select("line_id", "file_id", "file_line", "line")
-    if shards is not None:
-        postings, lines = postings.where(F.col("shard") < shards), lines.where(F.col("line_id") < shards * index.manifest.lines_per_shard)
-    long = queries.where(F.octet_length("query") >= size)
-    grams = long.select("query_id", F.explode(trigrams(F.col("query"), size)).alias("ngram"))
+    grams = queries.where(F.octet_length("query") >= size).select("query_id", F.explode(trigrams(F.col("query"), size)).alias("ngram"))
     # Left join, so that a missing n-gram ends its query.
     known = grams.join(index.ngram_counts, "ngram", "left")
     by_query = Window.partitionBy("query_id")
     ranked = known.withColumns({"__missing": F.max(F.col("count").isNull().cast("int")).over(by_query), "__r": F.row_number().over(by_query.orderBy("count", "ngram")), "__k": F.least(F.count(F.lit(1)).over(by_query), F.lit(rarest))})
-    chosen = ranked.where((F.col("__missing") == 0) & (F.col("__r") <= rarest)).select("query_id", "ngram", "__k")
-    hits = chosen.join(postings, "ngram").groupBy("query_id", "shard", "__k").agg(F.collect_list("line_ids").alias("l")).where(F.size("l") == F.col("__k"))
-    both = F.aggregate(F.slice("l", F.lit(2), F.size("l")), F.col("l")[0], lambda acc, x: F.array_intersect(acc, x))
-    candidates = hits.select("query_id", F.explode(both).alias("line_id"))
+    return ranked.where((F.col("__missing") == 0) & (F.col("__r") <= rarest)).select("query_id", "ngram", "__k")
 
-    # Fragments are few and short: a query of under n bytes has at most 256 ** (n - 1) forms.
-    short = queries.where(F.octet_length("query") < size)
-    forms = short.select("query").distinct()
-    containing = index.ngram_counts.select("ngram").join(F.broadcast(forms) if forms.limit(10_001).count() <= 10_000 else forms, F.contains("ngram", as_bytes(F.col("query"))))
-    more = containing.join(postings, "ngram").select("query", F.explode("line_ids").alias("line_id")).distinct().join(short, "query").select("query_id", "line_id")
 
-    found = candidates.unionByName(more).join(lines, "line_id").join(queries, "query_id").where(F.contains("line", F.col("query")))
-    return found.select("query_id", "query", "line_id", "file_id", "file_line", "line")
+def _batch(index: Index, queries: DataFrame, chosen: DataFrame, short: DataFrame | None) -> DataFrame:
+    """All matches of chosen n-grams, in the first __shards shards if that is told, and of short queries."""
+    postings, lines = index.postings, index.lines.select("line_id", "file_id", "file_line", "line")
+    listed = chosen.join(postings, "ngram")
+    if "__shards" in chosen.columns:
+        listed = listed.where(F.col("shard") < F.col("__shards"))
+    hits = listed.groupBy("query_id", "shard", "__k").agg(F.collect_list("line_ids").alias("l")).where(F.size("l") == F.col("__k"))
+    both = F.aggregate(F.slice("l", F.lit(2), F.size("l")), F.col("l")[0], lambda acc, x: F.array_intersect(acc, x))
+    candidates = hits.select("query_id", F.explode(both).alias("line_id"))
+    if short is not None:
+        # Fragments have few forms: 256 ** (n - 1) at most for n-grams of n bytes.
+        containing = index.ngram_counts.select("ngram").join(short.select("query").distinct(), F.contains("ngram", as_bytes(F.col("query"))))
+        more = containing.join(postings, "ngram").select("query", F.explode("line_ids").alias("line_id")).distinct().join(short, "query").select("query_id", "line_id")
+        candidates = candidates.unionByName(more)
+    found = candidates.join(lines, "line_id").join(queries, "query_id").where(F.contains("line", F.col("query")))
+    return found.select("query_id", *IDS)

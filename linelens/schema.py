@@ -13,7 +13,7 @@ def _struct(ddl: str) -> T.StructType:
 
 FILES = "file_id bigint, directory string, filename string, lang string, time_indexed timestamp, time_archive timestamp"
 LINES = "line_id bigint, file_id bigint, file_offset bigint, file_line bigint, phys_line bigint, line string"
-POSTINGS = "shard bigint, ngram binary, line_ids array<bigint>"
+POSTINGS = "shard bigint, ngram binary, n bigint, line_ids array<bigint>"
 NGRAM_COUNTS = "ngram binary, count bigint"
 START_LINES = "file_id bigint, first_line bigint"
 QUERIES = "query_id bigint, query string"

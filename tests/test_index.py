@@ -81,6 +81,13 @@ def test_empty_query(index):
     assert found(matching_lines(index, "ab", short_lines=True)) == [7, 8]
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 4])
+def test_postings_by_shard_equal_the_aggregate(index, size):
+    row = lambda r: (r["shard"], bytes(r["ngram"]), r["n"], r["line_ids"])
+    one = sorted(map(row, P.postings(index.lines, lines_per_shard=4, size=size).collect()))
+    assert one and one == sorted(map(row, P.build_postings(index.lines, lines_per_shard=4, size=size).collect()))
+
+
 def test_false_positive_candidate(spark, tmp_path):
     corpus = spark.createDataFrame([(0, "d", "f", "", "file_index = 1;\nindes_codex ndex inde\n")], "file_id long, directory string, filename string, lang string, content string")
     built = build_index(corpus, str(tmp_path / "i"))
@@ -155,7 +162,7 @@ def big(spark, tmp_path_factory):
     return build_index(corpus, str(tmp_path_factory.mktemp("db") / "big"), lines_per_shard=50), rows
 
 
-def test_index_equals_scan(big):
+def test_index_equals_scan(big, monkeypatch):
     """No path may lose a line that a plain test finds."""
     index, rows = big
     rng = random.Random(9)
@@ -181,6 +188,10 @@ def test_index_equals_scan(big):
         many.setdefault(r["query_id"], set()).add(r["line_id"])
     for i, q in enumerate(queries[:10]):
         assert many.get(i, set()) == set(found(search_matches(index, SearchRequest(q, 3, 2)))), q
+    monkeypatch.setattr("linelens.plans.search.MOST_PLANNED", 1)
+    key = lambda df: sorted((r["query_id"], r["line_id"]) for r in df.collect())
+    assert key(search_many(index, batch, limit=3, within_file=2)) == key(got)
+    assert key(search_many(index, batch, limit=2, within_file=2, offset=1)) != []
 
 
 def test_empty_corpus(spark, tmp_path):
