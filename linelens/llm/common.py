@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +13,8 @@ from ..storage import delete, shared_dir
 
 #: Bytes of text that a Python worker turns into words at a time.
 BLOCK_BYTES = 4 << 20
+#: Bytes of an Arrow batch for a Python worker.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: ASCII capitals to small letters, all other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -63,6 +65,16 @@ def raw(array: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return array.to_pylist()
 
 
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow in batches of a few MB, so that long texts don't pile up in the workers.
+
+    The bound is a setting of the session; one that is set already stays.
+    """
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def blocks(texts: list[bytes | None], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of a list of texts of about `limit` bytes each; a longer text is alone."""
     start = size = 0

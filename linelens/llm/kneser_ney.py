@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, raw
+from .common import Scratch, blocks, map_batches, raw
 
 V, ORDER = 64, 4
 #: Symbols: 0 start, 1 white space, 2 line end, 3-28 a-z, 29 capital, 30 digit, 31 other letter, 32 other, then these.
@@ -83,7 +83,7 @@ def count_ngrams(texts: DataFrame, *, text_col: str = "text") -> DataFrame:
         found = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(sums[found].astype(np.int64))], ["g", "n"])
 
-    return texts.select(text_col).mapInArrow(run, "g int, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return map_batches(texts.select(text_col), run, "g int, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -159,7 +159,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], [id_col, lang_col, "n_symbols", "log_prob"])
 
     kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, lang_col)}
-    return docs.select(id_col, lang_col, text_col).mapInArrow(run, f"`{id_col}` {kinds[id_col]}, `{lang_col}` {kinds[lang_col]}, n_symbols long, log_prob double")
+    return map_batches(docs.select(id_col, lang_col, text_col), run, f"`{id_col}` {kinds[id_col]}, `{lang_col}` {kinds[lang_col]}, n_symbols long, log_prob double")
 
 
 def known(docs: DataFrame, ids: DataFrame, *, id_col: str, most: int = 1_000_000) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, raw
+from .common import Scratch, blocks, map_batches, raw
 
 #: Characters and the letters that they may stand for.
 LEET = {
@@ -80,7 +80,7 @@ def count_ngrams(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         found = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(sums[found])], ["code", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return map_batches(docs.select(text_col), run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def language_model(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -244,7 +244,7 @@ class Model:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([score(x) for x in raw(batch.column(1))], pa.float64())], [id_col, "score"])
 
         kind = docs.schema[id_col].dataType.simpleString()
-        return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+        return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, score double")
 
     def keep(self, docs: DataFrame, *, text_col: str = "text", below: float = 0.5) -> DataFrame:
         """The rows of docs with a score under `below`, all columns as they are."""
@@ -255,7 +255,7 @@ class Model:
             for batch in batches:
                 yield batch.filter(pa.array([score(x) < below for x in raw(batch.column(at))], pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        return map_batches(docs, run, docs.schema)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, *, penalty: float = 0.02, steps: int = 30) -> tuple[np.ndarray, float]:
@@ -314,7 +314,7 @@ def fit(
     # The sample has max_train_rows rows at most.
     own = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
     chosen = own.join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select("__y", "__text")
-    words = scratch.keep(chosen.mapInArrow(to_words, "y int, words array<string>"), "words")
+    words = scratch.keep(map_batches(chosen, to_words, "y int, words array<string>"), "words")
     sizes = {r["y"]: r["n"] for r in words.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)
     share = min(max(n_bad / (n_bad + n_good + 1), 1e-6), 1 - 1e-6)
@@ -337,7 +337,7 @@ def fit(
         yield rows(counts)
 
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
-    ranked = words.mapInArrow(tally, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).withColumn("odds", odds)
+    ranked = map_batches(words, tally, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).withColumn("odds", odds)
     top = ranked.where((F.col("bad") >= least_rows) & (F.col("odds") >= least_odds)).orderBy(F.desc(F.col("bad") * F.col("odds")), "feature").limit(max_features)
     names = [r["feature"] for r in top.select("feature").collect()]
     if not names:
@@ -350,7 +350,7 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(pa.int32()))], ["y", "hits"])
 
     # max_train_rows rows at most; sorted, so that sums come out the same.
-    rows = sorted(words.mapInArrow(to_rows, "y int, hits array<int>").toArrow().to_pylist(), key=lambda r: (r["y"], r["hits"]))
+    rows = sorted(map_batches(words, to_rows, "y int, hits array<int>").toArrow().to_pylist(), key=lambda r: (r["y"], r["hits"]))
     x, y = np.zeros((len(rows), len(names)), np.float32), np.zeros(len(rows))
     for i, r in enumerate(rows):
         x[i, r["hits"]] = 1
