@@ -21,11 +21,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, packed, raw, unpacked
+from .common import LOWER, Scratch, map_batches, packed, raw, unpacked
 
 WORDS, SEED, MOST = 4, 42, 4
 #: First bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Borders of the pieces of the bits outside a segment, and fingerprints from which on they lengthen the keys.
+PIECES, MANY = (0, 9, 18, 27, 35, 43), 1 << 26
 #: Shingles hashed at a time.
 CHUNK = 1 << 16
 #: Rows of two numbers up to which a table is sent to all tasks (about 16 MB).
@@ -60,7 +62,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], [id_col, "__fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, __fp long")
+    return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, __fp long")
 
 
 def _home(x: Column) -> Column:
@@ -71,17 +73,41 @@ def _home(x: Column) -> Column:
     return F.when(F.bit_count(low[0]) <= 1, at[0]).when(F.bit_count(low[1]) <= 1, at[1]).otherwise(at[2])
 
 
-def links(prints: DataFrame, *, most: int = MOST) -> DataFrame:
-    """Pairs (a, b), a < b, of the distinct fingerprints (column __fp) that link."""
+def links(prints: DataFrame, *, most: int = MOST, anchored: bool = False) -> DataFrame:
+    """Pairs (a, b), a < b, of the distinct fingerprints (column __fp) that link.
+
+    With very many fingerprints a variant's key of some 20 bits meets too many others.
+    `anchored` keys are longer by one of five pieces of the other two segments: of the
+    at most four bits that differ there, one piece has none. There are five times as many
+    keys, each of which meets about 400 times fewer others; the pairs are the same.
+    """
+    if anchored and most > 4:
+        raise ValueError("five pieces have an equal one for at most four differing bits")
     shift = F.expr("CASE WHEN __at < 22 THEN 0 WHEN __at < 43 THEN 22 ELSE 43 END")
-    mask = F.expr(f"CASE WHEN __at < 22 THEN {(1 << 22) - 1}L ELSE {(1 << 21) - 1}L END")
+    width = F.expr("CASE WHEN __at < 22 THEN 22 ELSE 21 END")
     at = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("__at")
-    part = F.expr("shiftrightunsigned(__fp, __shift) & __mask & ~shiftleft(1L, __at - __shift)")
-    variants = prints.select("__fp", at).select("__fp", "__at", shift.alias("__shift"), mask.alias("__mask")).select("__fp", "__at", (F.shiftleft(F.col("__at").cast("long"), 22) + part).alias("__key"))
-    a, b = variants.alias("a"), variants.select(F.col("__fp").alias("__other"), F.col("__key").alias("__other_key")).alias("b")
+    part = F.expr("shiftrightunsigned(__fp, __shift) & (shiftleft(1L, __width) - 1) & ~shiftleft(1L, __at - __shift)")
+    variants = prints.select("__fp", at).select("__fp", "__at", shift.alias("__shift"), width.alias("__width")).select("__fp", "__at", "__shift", "__width", (F.shiftleft(F.col("__at").cast("long"), 22) + part).alias("__key"))
+
+    def piece(x: str, j: int) -> Column:
+        """One of the pieces of the bits outside the segment, which stand above it after a rotation."""
+        rest = f"shiftrightunsigned(shiftrightunsigned({x}, __shift) | shiftleft({x}, 64 - __shift), __width)"
+        return F.expr(f"shiftrightunsigned({rest}, {PIECES[j]}) & {(1 << PIECES[j + 1] - PIECES[j]) - 1}L")
+
+    kept = ["__fp", "__at", "__key"]
+    if anchored:
+        pieces = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), piece("__fp", j).alias("v")) for j in range(5)))).alias("__p")
+        variants = variants.select(*kept, "__shift", "__width", pieces).withColumn("__key", (F.col("__key") * 8 + F.col("__p.j")) * 512 + F.col("__p.v")).withColumn("__piece", F.col("__p.j"))
+        kept = [*kept, "__shift", "__width", "__piece"]
+    a, b = variants.select(*kept).alias("a"), variants.select(F.col("__fp").alias("__other"), F.col("__key").alias("__other_key")).alias("b")
     differ = F.col("__fp").bitwiseXOR(F.col("__other"))
-    found = a.join(b, (F.col("__key") == F.col("__other_key")) & (F.col("__fp") < F.col("__other")) & (F.bit_count(differ) <= most) & (_home(differ) == F.col("__at")))
-    return found.select(F.col("__fp").alias("a"), F.col("__other").alias("b"))
+    condition = (F.col("__key") == F.col("__other_key")) & (F.col("__fp") < F.col("__other")) & (F.bit_count(differ) <= most) & (_home(differ) == F.col("__at"))
+    if anchored:
+        first = F.lit(4)
+        for j in (3, 2, 1, 0):
+            first = F.when(piece("(__fp ^ __other)", j) == 0, F.lit(j)).otherwise(first)
+        condition = condition & (first == F.col("__piece"))
+    return a.join(b, condition).select(F.col("__fp").alias("a"), F.col("__other").alias("b"))
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -136,7 +162,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def labelled(prints: DataFrame, scratch: Scratch, *, id_col: str, most: int = MOST) -> DataFrame:
     """(__fp, __root, __component) of every distinct fingerprint of (id, __fp): its component's first fingerprint and smallest id."""
     firsts = scratch.keep(prints.groupBy("__fp").agg(F.min(id_col).alias("__first")), "firsts")
-    roots = components(links(firsts.select("__fp"), most=most), scratch)
+    # The longer keys pay for themselves with many fingerprints; the links are the same.
+    roots = components(links(firsts.select("__fp"), most=most, anchored=most <= 4 and firsts.count() >= MANY), scratch)
     linked = roots.select(F.col("u").alias("__fp"), "root").union(roots.select(F.col("root").alias("__fp"), "root").distinct())
     named = linked.join(firsts, "__fp")
     smallest = named.groupBy("root").agg(F.min("__first").alias("__component"))
