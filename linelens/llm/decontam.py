@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, raw
+from .common import blocks, map_batches, raw
 
 WINDOW, PARTS = 13, 20
 #: Words: 0-9, a-z after lower-casing A-Z, and all bytes from 0x80 on; the rest parts them.
@@ -248,7 +248,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -259,7 +259,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
         for batch in batches:
             yield batch.filter(pa.array([not is_contaminated(n, hit) for n, hit, _ in judge(raw(batch.column(at)), indexes, window)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def longest_matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -286,7 +286,7 @@ def longest_matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id"
                     )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(id_col, text_col).mapInArrow(run, f"item string, item_word long, n_words long, `{id_col}` {kind}, doc_word long")
+    found = map_batches(docs.select(id_col, text_col), run, f"item string, item_word long, n_words long, `{id_col}` {kind}, doc_word long")
     best = F.min(F.struct((-F.col("n_words")).alias("less"), F.col(id_col).alias("id"), F.col("doc_word").alias("word"))).alias("best")
     return found.groupBy("item", "item_word").agg(best).select("item", "item_word", (-F.col("best.less")).alias("n_words"), F.col("best.id").alias(id_col), F.col("best.word").alias("doc_word"))
 
@@ -322,3 +322,19 @@ def _longest(texts: list[bytes | None], items: Items, window: int):
                 text = np.searchsorted(starts, places[long], "right") - 1
                 out.append((items.named[own[ok]][long], pos[ok][long], size[long], text, places[long] - starts[text]))
     return [np.concatenate(x) for x in zip(*out)] if out else None
+
+
+def oracle(docs: str = "documents", items: str = "benchmark") -> str:
+    """`contamination` in DuckDB's SQL, which compares all windows."""
+    capitals, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{capitals}', '{small}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM {docs}),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {words} AS w FROM {items}),
+iw AS (SELECT DISTINCT item, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM (SELECT *, least({WINDOW}, len(w)) AS n FROM i WHERE len(w) > 0))),
+dw AS (SELECT rid, p, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+m AS (SELECT rid, p, n, item FROM dw JOIN iw USING (n, s)),
+h AS (SELECT rid, count(DISTINCT q) AS hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM m) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM m) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(hit, 0) > 0 AND {PARTS} * coalesce(hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)"""

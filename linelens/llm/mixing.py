@@ -222,3 +222,25 @@ def take(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     """The mix itself: each row of docs as often as `mix` takes it, all columns as they are."""
     dealt = _dealt(docs, id_col=id_col, text_col=text_col, sources_col=sources_col, weights=weights, most=most, seed=seed, carry=True, max_patterns=max_patterns)
     return dealt.where("__repeats > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("__repeats"))).alias("__copy")).select(*unpacked(docs.columns))
+
+
+def oracle(docs: str = "documents", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 7) -> str:
+    """`mix` in DuckDB's SQL, for documents of one source each: a source is a pattern, and the flow fills its quota."""
+    cases = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+  ('0x' || substr(md5('{seed}|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS draw FROM {docs}),
+s AS (SELECT source, sum(size)::BIGINT AS n, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} {cases} END AS w FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY n / w, w, source NULLS LAST) AS k, (SELECT sum(n) FROM s) AS total, (SELECT sum(w) FROM s) AS heft FROM s),
+p AS (SELECT *, total - {most} * coalesce(sum(n) OVER b, 0) AS left_, heft - coalesce(sum(w) OVER b, 0) AS heft_ FROM o WINDOW b AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+q AS (SELECT *, bool_and({most} * n * heft_ < left_ * w) OVER (ORDER BY k) AS stopped FROM p),
+r AS (SELECT (total - {most} * coalesce((SELECT sum(n) FROM q WHERE stopped), 0))::DOUBLE / nullif(heft - coalesce((SELECT sum(w) FROM q WHERE stopped), 0), 0)::DOUBLE AS rate FROM q LIMIT 1),
+t AS (SELECT source, n, CASE WHEN stopped THEN ({most} * n)::DOUBLE ELSE coalesce((SELECT rate FROM r), 0) * w END AS target FROM q),
+f AS (SELECT *, least(round_even(target, 0)::BIGINT, {most} * n) AS flow FROM t),
+g AS (SELECT source, n, target, CASE WHEN n > 0 THEN flow // n ELSE 0 END AS whole, CASE WHEN n > 0 THEN flow % n ELSE 0 END AS part FROM f),
+c AS (SELECT d.*, n, target, whole, part, sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+k AS (SELECT *, part > 0 AND draw <= coalesce(max(CASE WHEN upto <= part AND size > 0 THEN draw END) OVER (PARTITION BY source), -1) AS taken FROM c),
+e AS (SELECT *, part - coalesce(sum(CASE WHEN taken THEN size END) OVER (PARTITION BY source), 0) AS rest FROM k),
+x AS (SELECT source, arg_min(draw, (-size, draw)) AS fill FROM e WHERE NOT taken AND size > 0 AND size <= rest GROUP BY source)
+SELECT doc_id, size, n AS source_size, target, (size * reps)::BIGINT AS taken, reps::INTEGER AS repeats FROM (
+  SELECT e.*, CASE WHEN size = 0 THEN 0 ELSE whole + (taken OR coalesce(draw = fill AND size <= rest, false))::INTEGER END AS reps FROM e LEFT JOIN x ON e.source IS NOT DISTINCT FROM x.source)"""

@@ -73,4 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_preferences": preferences.oracle(),
     "op4_licenses": licenses.oracle(),
+    "op5_decontamination": decontam.oracle(),
+    "op6_mixing": mixing.oracle(),
 }
