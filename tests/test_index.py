@@ -247,3 +247,25 @@ def test_streaming(spark, tmp_path):
     assert merged_lines(spark, str(tmp_path / "out")).count() == 12
     counts = {bytes(r["ngram"]): r["count"] for r in merged_counts(spark, str(tmp_path / "out")).collect()}
     assert counts[b"foo"] == 6 and counts[b"lin"] == 6
+
+
+def test_service(index):
+    from linelens.plans.service import Forbidden, Missing, Service
+
+    service = Service(index)
+    got = service.search("foo", limit=1)
+    assert got["num_results"] == 4 and not got["overflow"]
+    assert [[x["line_num"] for x in g] for g in got["results"][1]["groups"]] == [[2, 3, 4, 5, 6]]
+    assert "<strong>foo</strong>" in service.search("foo", highlight=True)["results"][0]["groups"][0][0]["line_text"]
+    with pytest.raises(Forbidden):
+        service.search("foo", limit=101)
+    answer = service.call({"request_num": 7, "search_query": {"query": "foo", "limit": 1}})
+    assert answer["request_num"] == 7 and [r["filename"] for r in answer["search_response"]["results"]] == ["a.c"]
+    with pytest.raises(Forbidden):
+        service.call({"request_num": 1})
+    assert service.raw_file("b.py").encode() == FILES["b.py"]
+    with pytest.raises(Missing):
+        service.raw_file("none")
+    for bad in ("/etc/passwd", "../x"):
+        with pytest.raises(Forbidden):
+            service.raw_file(bad)
