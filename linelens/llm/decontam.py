@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, map_batches, raw
+from .common import Sent, blocks, map_batches, raw
 
 WINDOW, PARTS = 13, 20
 #: Words: 0-9, a-z after lower-casing A-Z, and all bytes from 0x80 on; the rest parts them.
@@ -195,11 +195,11 @@ def item_blocks(items: DataFrame, *, item_col: str = "item_id", text_col: str =
     for r in items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.col(text_col).cast("binary")).toLocalIterator():
         n = len(r[1]) if r[1] is not None else 0
         if rows and size + n > block_bytes:
-            out.append(spark.sparkContext.broadcast(index_items(rows, window)))
+            out.append(Sent(spark, index_items(rows, window)))
             rows, size = [], 0
         rows.append((r[0], bytes(r[1]) if r[1] is not None else None))
         size += n
-    return [*out, spark.sparkContext.broadcast(index_items(rows, window))]
+    return [*out, Sent(spark, index_items(rows, window))]
 
 
 def judge(texts: list[bytes | None], indexes: list, window: int = WINDOW) -> list[tuple[int, int, set[str]]]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, map_batches, raw
+from .common import Scratch, Sent, blocks, map_batches, raw
 
 V, ORDER = 64, 4
 #: Symbols: 0 start, 1 white space, 2 line end, 3-28 a-z, 29 capital, 30 digit, 31 other letter, 32 other, then these.
@@ -145,7 +145,7 @@ def train(texts: DataFrame, scratch: Scratch, *, text_col: str = "text") -> Mode
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang, n_symbols, log_prob) of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, logp = symbol_table(), None

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, raw
+from .common import Sent, map_batches, raw
 
 #: The pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -133,7 +133,7 @@ def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     the tokenizer takes them by default. Null and empty texts have no bytes and no
     tokens. Repeated rows give a row each; an empty table gives none.
     """
-    shortcut = docs.sparkSession.sparkContext.broadcast(prove(path))
+    shortcut = Sent(docs.sparkSession, prove(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(shortcut.value)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, map_batches, raw
+from .common import Scratch, Sent, blocks, map_batches, raw
 
 #: Characters and the letters that they may stand for.
 LEET = {
@@ -236,7 +236,7 @@ class Model:
 
     def scores(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, score) of every row."""
-        model = docs.sparkSession.sparkContext.broadcast(self)
+        model = Sent(docs.sparkSession, self)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             score = model.value.scorer()
@@ -248,7 +248,7 @@ class Model:
 
     def keep(self, docs: DataFrame, *, text_col: str = "text", below: float = 0.5) -> DataFrame:
         """The rows of docs with a score under `below`, all columns as they are."""
-        model, at = docs.sparkSession.sparkContext.broadcast(self), docs.columns.index(text_col)
+        model, at = Sent(docs.sparkSession, self), docs.columns.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             score = model.value.scorer()
@@ -301,7 +301,7 @@ def fit(
 
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
     sample = scratch.keep(known.orderBy(F.xxhash64("__id"), "__id").limit(max_train_rows), "sample")
-    decoder_table = spark.sparkContext.broadcast(logp)
+    decoder_table = Sent(spark, logp)
 
     def to_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, memo = Decoder(decoder_table.value), {}
