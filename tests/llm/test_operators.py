@@ -570,3 +570,19 @@ def test_hamming_tables_find_all_close_pairs():
             y[bit // 64] ^= 1 << bit % 64
         parts = lambda v: (v[0] >> 21, (v[0] & (1 << 21) - 1) << 22 | v[1] >> 42, v[1] & (1 << 42) - 1)
         assert any(a == b for a, b in zip(parts(x), parts(y)))
+
+
+@pytest.mark.parametrize("shard_rows", [2_000_000, 600])
+def test_close_pairs_are_complete(spark, shard_rows):
+    """All pairs of at most 16 differing bits are found, each once, but for those of one class."""
+    rng = random.Random(5)
+    prints = [rng.getrandbits(128) for _ in range(60)]
+    for p in list(prints):
+        for n in rng.sample(range(20), 6):
+            prints.append(p ^ sum(1 << b for b in rng.sample(range(128), n)))
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    rows = [(i, 0, 0.0, 0.0, 0, 0, signed(p >> 64), signed(p & (1 << 64) - 1), i - i % 2) for i, p in enumerate(prints)]
+    df = spark.createDataFrame(rows, images.POINTS + ", __class long")
+    got = sorted((r["a"], r["b"]) for r in images.close_pairs(df, shard_rows=shard_rows).collect())
+    close = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 16
+    assert got == [(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if i // 2 != j // 2 and close(i, j)]
