@@ -15,7 +15,7 @@ from .common import Scratch
 #: Rendering of a turn: a header with its role, its text, and an end mark.
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 TRAINED = "assistant"
-#: Alternatives of one opening are paired in cells of about so many.
+#: Alternatives of a frequent opening are paired in runs of about so many.
 CELL = 5_000
 TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 
@@ -83,21 +83,43 @@ def conversations_of(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: s
     return turns.where(F.col(conv_col).isNotNull()).groupBy(conv_col).agg(F.sort_array(F.collect_list(one)).alias("__turns"))
 
 
-def pair_by_opening(talks: DataFrame, scratch: Scratch, *, conv_col: str = "conv_id", cell: int = CELL) -> DataFrame:
-    """(conversation, __rejected): each one's next alternative with the same opening turn.
-
-    Alternatives of a frequent opening are dealt into cells by their id, so that none
-    grows with the input; in a cell each is paired with the next by id, the last with
-    none.
+def _next_by_id(keys: DataFrame, scratch: Scratch, *, conv_col: str, run: int) -> DataFrame:
+    """(conversation, __rejected) of (conversation, __opening), exactly, in runs of ids."""
+    counts = keys.groupBy("__opening").agg(F.count(F.lit(1)).alias("__n"))
+    hot = counts.where(F.col("__n") > run).select("__opening")
+    # Runs are bounded by a sample of the ids of all hot openings; a run has about `run` rows of them together.
+    own = scratch.keep(keys.join(hot, "__opening", "left_semi"), "hot")
+    n_runs = max(1, -(-own.count() // run))
+    ranged = own.repartitionByRange(n_runs, "__opening", conv_col).withColumn("__run", F.spark_partition_id())
+    ranged = scratch.keep(ranged, "runs")
+    # A row for each run of an opening: the first id of the run after it.
+    firsts = ranged.groupBy("__opening", "__run").agg(F.min(conv_col).alias("__first"))
+    after = firsts.select("__opening", "__run", F.lead("__first").over(Window.partitionBy("__opening").orderBy("__run")).alias("__after"))
+    within = ranged.withColumn("__lead", F.lead(conv_col).over(Window.partitionBy("__opening", "__run").orderBy(conv_col)))
+    large = within.join(after, ["__opening", "__run"]).select(conv_col, F.coalesce("__lead", "__after").alias("__rejected"))
+    rest = keys.join(hot, "__opening", "left_anti")
+    small = rest.select(conv_col, F.lead(conv_col).over(Window.partitionBy("__opening").orderBy(conv_col)).alias("__rejected"))
+    return large.unionByName(small)
+
+
+def pair_by_opening(talks: DataFrame, scratch: Scratch, *, conv_col: str = "conv_id", cell: int | None = None, run: int = CELL) -> DataFrame:
+    """(conversation, __rejected): each one's next alternative (by id) with the same opening turn.
+
+    Alternatives of a frequent opening are cut into runs of consecutive ids of about
+    `run` rows, so that no task grows with the input; the last row of a run is paired
+    with the first of the next. `run` doesn't change the result. A caller that sets
+    `cell` gets pairs within cells dealt by id instead, where the last of each has none.
     """
     opening = F.sha2(F.concat_ws("|", F.coalesce(F.col("__turns")[0]["role"], F.lit("")), F.coalesce(F.col("__turns")[0]["text"], F.lit(""))), 256)
     keys = scratch.keep(talks.select(conv_col, opening.alias("__opening")), "openings")
+    if cell is None:
+        return _next_by_id(keys, scratch, conv_col=conv_col, run=run)
     cells = keys.groupBy("__opening").agg(F.ceil(F.count(F.lit(1)) / cell).alias("__cells"))
     dealt = keys.join(cells, "__opening").withColumn("__cell", F.pmod(F.col(conv_col), F.col("__cells")))
     return dealt.select(conv_col, F.lead(conv_col).over(Window.partitionBy("__opening", "__cell").orderBy(conv_col)).alias("__rejected"))
 
 
-def preferences(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", cell: int = CELL) -> DataFrame:
+def preferences(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", cell: int | None = None, run: int = CELL) -> DataFrame:
     """One row for each conversation, as the chosen one: conv_id, rejected_id, and what `format_pairs` returns.
 
     The rejected conversation is the next (by id) that opens with the same turn. An
@@ -105,7 +127,7 @@ def preferences(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     """
     scratch = Scratch(turns.sparkSession, "preferences")
     talks = scratch.keep(conversations_of(turns, conv_col=conv_col, turn_col=turn_col, role_col=role_col, text_col=text_col), "talks")
-    pairs = scratch.keep(pair_by_opening(talks, scratch, conv_col=conv_col, cell=cell), "pairs")
+    pairs = scratch.keep(pair_by_opening(talks, scratch, conv_col=conv_col, cell=cell, run=run), "pairs")
     others = talks.select(F.col(conv_col).alias("__other"), F.col("__turns").alias("rejected"))
     chosen = pairs.join(talks.withColumnRenamed("__turns", "chosen"), conv_col)
     # Singles take no part in the second join.

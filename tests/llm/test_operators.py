@@ -522,6 +522,20 @@ def test_preferences_in_cells(spark):
     assert len(got) == 50 and sum(r["status"] == "pair" for r in got) == 45 and {r["n_prompt_turns"] for r in got if r["status"] == "pair"} == {1}
 
 
+def test_preferences_in_runs(spark):
+    """Runs of a frequent opening don't change pairs; ids with a common factor don't matter."""
+    opening = lambda i: "same" if i % 3 else "other" if i % 2 else f"own {i}"
+    ids = [7 * i for i in range(60)]
+    turns = [(i, t, "user" if t == 0 else "assistant", opening(i) if t == 0 else f"answer {i}") for i in ids for t in (0, 1)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    want = {i: next((j for j in ids if j > i and opening(j) == opening(i)), None) for i in ids}
+    for run in (1, 7, 5_000):
+        assert {r["conv_id"]: r["rejected_id"] for r in preferences.preferences(df, run=run).collect()} == want
+    assert preferences.CELL < 5_003
+    many = spark.range(5_003).select(F.col("id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("same").alias("text"))
+    assert preferences.preferences(many).where("status = 'single'").count() == 1
+
+
 # 7
 
 
