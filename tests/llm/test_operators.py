@@ -600,3 +600,18 @@ def test_close_pairs_are_complete(spark, shard_rows):
     got = sorted((r["a"], r["b"]) for r in images.close_pairs(df, shard_rows=shard_rows).collect())
     close = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 16
     assert got == [(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if i // 2 != j // 2 and close(i, j)]
+
+
+def test_small_crops_of_large_images(spark):
+    """A crop of a twelfth of an image is linked with it, turned or not; other images aren't."""
+    rng = np.random.RandomState(8)
+    rows = []
+    for k in range(4):
+        p = picture(rng, 256)
+        crop = p[90 + k : 162 + k, 130 - k : 202 - k]
+        for j, image in enumerate((p, crop, np.rot90(crop))):
+            rows.append((10 * k + j, image.shape[1], image.shape[0], np.ascontiguousarray(image).tobytes()))
+    df = spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")
+    got = {r["image_id"]: (r["class_id"], r["n_points"]) for r in images.copies(df).collect()}
+    assert {i: c for i, (c, _) in got.items()} == {i: i // 10 * 10 for i in got}
+    assert got[0][1] > 100
