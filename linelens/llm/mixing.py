@@ -24,13 +24,11 @@ from .common import Scratch, packed, unpacked
 WEIGHTS, MOST_REPEATS = (1, 2, 3), 3
 #: Ranges of the seeded hash by which sums are taken before single documents are ordered.
 RANGES = 4096
-SPACES = r"[\x20\x09-\x0D]"
 
 
 def n_tokens(text: Column) -> Column:
     """Number of runs of characters other than white space; null texts have none."""
-    trimmed = F.regexp_replace(text, f"^{SPACES}+|{SPACES}+$", "")
-    return F.when(text.isNull() | (trimmed == ""), F.lit(0)).otherwise(F.size(F.split(trimmed, f"{SPACES}+", -1))).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
 
 
 def quotas(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> dict[str | None, float]:
@@ -120,13 +118,33 @@ def route(supply: list[int], members: list[list[int]], quota: list[int], most: i
 
 @dataclass
 class Plan:
-    """Quotas of the sources, and whole and partial takes of the patterns."""
+    """Quotas of the sources, and the tokens taken of each pattern."""
 
     sizes: dict[str | None, int]
     targets: dict[str | None, float]
     taken: dict[tuple, int]
 
 
+def connected(members: list[list[int]]) -> list[list[int]]:
+    """Numbers of the patterns in groups that share no source with each other; those without a source are in none."""
+    root: dict[int, int] = {}
+
+    def find(s: int) -> int:
+        while root.setdefault(s, s) != s:
+            root[s] = root[root[s]]
+            s = root[s]
+        return s
+
+    for own in members:
+        for s in own[1:]:
+            root[find(s)] = find(own[0])
+    groups: dict[int, list[int]] = {}
+    for p, own in enumerate(members):
+        if own:
+            groups.setdefault(find(own[0]), []).append(p)
+    return list(groups.values())
+
+
 def plan(patterns: list[tuple[tuple, int]], weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> Plan:
     """patterns: (sources of a pattern, its tokens). Sources go by code point, null last.
 
@@ -139,32 +157,76 @@ def plan(patterns: list[tuple[tuple, int]], weights: tuple[int, ...] = WEIGHTS,
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     number = {s: i for i, s in enumerate(order)}
     targets = quotas([(s, sizes[s]) for s in order], weights, most)
-    # Patterns and sources that hang together are routed together; mostly a pattern is alone.
-    flow = route([n for _, n in patterns], [[number[s] for s in own] for own, _ in patterns], [round(targets[s]) for s in order], most)
+    members = [[number[s] for s in own] for own, _ in patterns]
     taken: dict[tuple, int] = {}
-    for (p, _), n in flow.items():
-        taken[patterns[p][0]] = taken.get(patterns[p][0], 0) + n
+    # Patterns and sources that hang together are routed together.
+    for group in connected(members):
+        near = sorted({s for p in group for s in members[p]})
+        place = {s: i for i, s in enumerate(near)}
+        flow = route([patterns[p][1] for p in group], [[place[s] for s in members[p]] for p in group], [round(targets[order[s]]) for s in near], most)
+        for (p, _), n in flow.items():
+            own = patterns[group[p]][0]
+            taken[own] = taken.get(own, 0) + n
     return Plan(sizes, targets, taken)
 
 
+def _fitted(light: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(__own, __rounds): the documents that make up the wanted part (__own, __part) of each pattern.
+
+    In a round the documents that still fit are taken in the order of their draw as long
+    as their sum does. The next round has those that fit into the rest, until none does.
+    A document is taken if it is no larger than a round's rest and its draw no larger
+    than that round's cut; documents of one draw are taken together.
+    """
+    rounds = F.array().cast("array<struct<rest:bigint,cut:bigint>>")
+    state = wanted.where("__part > 0").select("__own", F.col("__part").alias("__rest"), rounds.alias("__rounds"))
+    done = None
+    while True:
+        state = scratch.keep(state, "state")
+        done = state if done is None else done.unionByName(state)
+        # Patterns are as many as the plan's rows, which have been at the driver.
+        left = light.join(state, "__own").where((F.col("__size") > 0) & (F.col("__size") <= F.col("__rest")) & ~_taken())
+        sums = scratch.keep(left.groupBy("__own", "__range").agg(F.sum("__size").alias("__sum"), F.max("__rest").alias("__rest")), "sums")
+        before = Window.partitionBy("__own").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        # The range of draws in which the rest ends; before it all fits.
+        ahead = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
+        ends = ahead.where(F.col("__before") <= F.col("__rest")).groupBy("__own").agg(F.max(F.struct("__range", "__before")).alias("e")).select("__own", F.col("e.__range").alias("__end"), F.col("e.__before").alias("__before"))
+        # Inside that range documents are summed one by one.
+        upto = Window.partitionBy("__own").orderBy("__draw").rangeBetween(Window.unboundedPreceding, 0)
+        edge = left.join(ends, "__own").where("__range = __end").withColumn("__upto", F.col("__before") + F.sum("__size").over(upto))
+        last = edge.where(F.col("__upto") <= F.col("__rest")).groupBy("__own").agg(F.max("__draw").alias("__last"), F.max("__upto").alias("__sum"))
+        # If not even the first document of the last range fits, the cut lies before that range.
+        cut = ends.join(last, "__own", "left").select("__own", F.coalesce("__last", F.shiftleft(F.col("__end").cast("long"), 40) - 1).alias("__cut"), F.coalesce("__sum", "__before").alias("__sum")).where("__sum > 0")
+        one = F.struct(F.col("__rest").alias("rest"), F.col("__cut").alias("cut"))
+        after = state.join(cut, "__own").select("__own", (F.col("__rest") - F.col("__sum")).alias("__rest"), F.array_append("__rounds", one).alias("__rounds"))
+        after = scratch.keep(after, "rounds")
+        if after.isEmpty():
+            longest = F.max(F.struct(F.size("__rounds").alias("n"), F.col("__rounds").alias("rounds"))).alias("l")
+            return done.groupBy("__own").agg(longest).select("__own", F.col("l.rounds").alias("__rounds"))
+        state = after
+
+
+def _taken() -> Column:
+    return F.exists("__rounds", lambda r: (F.col("__size") <= r["rest"]) & (F.col("__draw") <= r["cut"]))
+
+
 def _dealt(
     docs: DataFrame, *, id_col: str, text_col: str, sources_col: Column | None, weights: tuple[int, ...], most: int, seed: int, carry: bool, max_patterns: int,
 ) -> DataFrame:
     """Rows with __size, __repeats, source_size and target; with `carry` the input's columns as __row, else the id."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    sources = sources_col if sources_col is not None else F.array("source")
+    sources = F.coalesce(sources_col, F.array().cast("array<string>")) if sources_col is not None else F.array("source")
     own = F.sort_array(F.array_distinct(sources), asc=True)
     # 52 bits of a hash over seed and id, and of them the range that the first 12 are.
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
     marks = [own.alias("__own"), n_tokens(F.col(text_col)).alias("__size"), draw.alias("__draw"), F.shiftright(draw, 40).cast("int").alias("__range")]
     light = scratch.keep(docs.select(id_col, *marks), "rows")
 
-    sums = scratch.keep(light.groupBy("__own", "__range").agg(F.sum("__size").alias("__sum")), "sums")
-    rows = sums.groupBy("__own").agg(F.sum("__sum").alias("n")).limit(max_patterns + 1).collect()
+    rows = light.groupBy("__own").agg(F.sum("__size").alias("n")).limit(max_patterns + 1).collect()
     if len(rows) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
-    patterns = sorted(((tuple(r["__own"] or ()), int(r["n"])) for r in rows), key=lambda x: [(s is None, s or "") for s in x[0]])
+    patterns = sorted(((tuple(r["__own"]), int(r["n"])) for r in rows), key=lambda x: [(s is None, s or "") for s in x[0]])
     made = plan(patterns, weights, most)
 
     # One row for each pattern, max_patterns at most.
@@ -172,26 +234,11 @@ def _dealt(
         got = made.taken.get(own, 0)
         return list(own), made.sizes[own[0]] if own else 0, made.targets[own[0]] if own else 0.0, got // n if n else 0, got % n if n else 0
 
-    info = spark.createDataFrame([line(own, n) for own, n in patterns], "__own array<string>, source_size long, target double, __whole int, __part long")
-    # The hash range in which the wanted part of a pattern ends.
-    before = Window.partitionBy("__own").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    ends = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).join(info.select("__own", "__part"), "__own")
-    ends = ends.where((F.col("__before") < F.col("__part")) & (F.col("__before") + F.col("__sum") >= F.col("__part"))).groupBy("__own").agg(F.min(F.struct("__range", "__before")).alias("e")).select("__own", F.col("e.__range").alias("__end"), F.col("e.__before").alias("__before"))
-    info = scratch.keep(info.join(ends, "__own", "left"), "plan")
-    # Inside that range documents are ordered one by one; identical rows are alike.
-    inside = Window.partitionBy("__own").orderBy("__draw", id_col, "__size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = light.join(info.where("__part > 0").select("__own", "__end", "__before", "__part"), "__own").where("__range = __end AND __size > 0").withColumn("__ahead", F.col("__before") + F.coalesce(F.sum("__size").over(inside), F.lit(0)))
-    last = edge.where(F.col("__ahead") + F.col("__size") <= F.col("__part")).groupBy("__own").agg(F.max("__draw").alias("__cut"), F.max(F.col("__ahead") + F.col("__size")).alias("__sum"))
-    info = scratch.keep(info.join(last, "__own", "left").select("*", (F.col("__part") - F.coalesce("__sum", "__before", F.lit(0))).alias("__rest")), "cuts")
-    taken = F.coalesce((F.col("__part") > 0) & ((F.col("__range") < F.col("__end")) | ((F.col("__range") == F.col("__end")) & (F.col("__draw") <= F.col("__cut")))), F.lit(False))
-    # What is left goes to the largest document that fits, the first by hash among those.
-    fits = light.join(info.where("__rest > 0").drop("source_size", "target"), "__own").where((F.col("__size") > 0) & (F.col("__size") <= F.col("__rest")) & ~taken)
-    fill = fits.groupBy("__own").agg(F.min(F.struct(-F.col("__size"), "__draw")).alias("f")).select("__own", F.col("f.__draw").alias("__fill"))
-    info = scratch.keep(info.join(fill, "__own", "left"), "fills")
-    extra = (taken | F.coalesce((F.col("__draw") == F.col("__fill")) & (F.col("__size") <= F.col("__rest")), F.lit(False))).cast("int")
-    repeats = F.when(F.col("__size") == 0, F.lit(0)).otherwise(F.col("__whole") + extra)
+    info = spark.createDataFrame([line(own, n) for own, n in patterns], "__own array<string>, __source_size long, __target double, __whole int, __part long")
+    info = scratch.keep(info.join(_fitted(light, info, scratch), "__own", "left"), "plan")
+    repeats = F.when(F.col("__size") == 0, F.lit(0)).otherwise(F.col("__whole") + F.coalesce(_taken(), F.lit(False)).cast("int"))
     full = docs.select(packed(docs), *marks) if carry else light
-    return full.join(info.withColumnsRenamed({"source_size": "__source_size", "target": "__target"}), "__own").withColumn("__repeats", repeats)
+    return full.join(info, "__own").withColumn("__repeats", repeats)
 
 
 def mix(
@@ -205,11 +252,13 @@ def mix(
     taken (size times repeats) and repeats.
 
     Sizes are words between white space; null and empty texts have size 0 and are never
-    taken. Null is a source of its own, last in order. A pattern of which q whole passes
+    taken. Null is a source of its own, last in order; documents whose array of sources
+    is null or empty belong to none, and aren't taken. A pattern of which q whole passes
     and a part are wanted gives each document q times, and once more to those that come
-    first by hash as long as they fit, and to the largest other one that fits then. Rows
-    with the same id are taken alike. A table with no tokens takes nothing. More than
-    `max_patterns` patterns raise an error: their sums go to the driver.
+    first by hash as long as they fit into the part, then to those that fit into its
+    rest, until none does. Rows with the same id and size are taken alike. A table with
+    no tokens takes nothing. More than `max_patterns` patterns raise an error: their
+    sums go to the driver.
     """
     dealt = _dealt(docs, id_col=id_col, text_col=text_col, sources_col=sources_col, weights=weights, most=most, seed=seed, carry=False, max_patterns=max_patterns)
     return dealt.select(
@@ -228,7 +277,7 @@ def oracle(docs: str = "documents", weights: tuple[int, ...] = WEIGHTS, most: in
     """`mix` in DuckDB's SQL, for documents of one source each: a source is a pattern, and the flow fills its quota."""
     cases = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
   ('0x' || substr(md5('{seed}|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS draw FROM {docs}),
 s AS (SELECT source, sum(size)::BIGINT AS n, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} {cases} END AS w FROM d GROUP BY source),
 o AS (SELECT *, row_number() OVER (ORDER BY n / w, w, source NULLS LAST) AS k, (SELECT sum(n) FROM s) AS total, (SELECT sum(w) FROM s) AS heft FROM s),
@@ -237,10 +286,16 @@ q AS (SELECT *, bool_and({most} * n * heft_ < left_ * w) OVER (ORDER BY k) AS st
 r AS (SELECT (total - {most} * coalesce((SELECT sum(n) FROM q WHERE stopped), 0))::DOUBLE / nullif(heft - coalesce((SELECT sum(w) FROM q WHERE stopped), 0), 0)::DOUBLE AS rate FROM q LIMIT 1),
 t AS (SELECT source, n, CASE WHEN stopped THEN ({most} * n)::DOUBLE ELSE coalesce((SELECT rate FROM r), 0) * w END AS target FROM q),
 f AS (SELECT *, least(round_even(target, 0)::BIGINT, {most} * n) AS flow FROM t),
-g AS (SELECT source, n, target, CASE WHEN n > 0 THEN flow // n ELSE 0 END AS whole, CASE WHEN n > 0 THEN flow % n ELSE 0 END AS part FROM f),
-c AS (SELECT d.*, n, target, whole, part, sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-k AS (SELECT *, part > 0 AND draw <= coalesce(max(CASE WHEN upto <= part AND size > 0 THEN draw END) OVER (PARTITION BY source), -1) AS taken FROM c),
-e AS (SELECT *, part - coalesce(sum(CASE WHEN taken THEN size END) OVER (PARTITION BY source), 0) AS rest FROM k),
-x AS (SELECT source, arg_min(draw, (-size, draw)) AS fill FROM e WHERE NOT taken AND size > 0 AND size <= rest GROUP BY source)
-SELECT doc_id, size, n AS source_size, target, (size * reps)::BIGINT AS taken, reps::INTEGER AS repeats FROM (
-  SELECT e.*, CASE WHEN size = 0 THEN 0 ELSE whole + (taken OR coalesce(draw = fill AND size <= rest, false))::INTEGER END AS reps FROM e LEFT JOIN x ON e.source IS NOT DISTINCT FROM x.source)"""
+g AS (SELECT source, n, target, CASE WHEN n > 0 THEN flow // n ELSE 0 END AS whole, (CASE WHEN n > 0 THEN flow % n ELSE 0 END)::BIGINT AS part FROM f),
+rounds AS (
+  SELECT 0 AS k, source, part AS rest, []::BIGINT[] AS rests, []::BIGINT[] AS cuts FROM g WHERE part > 0
+  UNION ALL
+  SELECT k + 1, source, (rest - max(upto))::BIGINT, list_append(rests, rest), list_append(cuts, max(draw)) FROM (
+    SELECT r.*, d.draw, (sum(d.size) OVER (PARTITION BY r.source ORDER BY d.draw RANGE UNBOUNDED PRECEDING))::BIGINT AS upto
+    FROM rounds r JOIN d ON r.source IS NOT DISTINCT FROM d.source
+    WHERE d.size > 0 AND d.size <= r.rest AND len(list_filter(range(1, len(r.rests) + 1), lambda i: d.size <= r.rests[i] AND d.draw <= r.cuts[i])) = 0)
+  WHERE upto <= rest GROUP BY k, source, rest, rests, cuts),
+z AS (SELECT source, arg_max(rests, k) AS rests, arg_max(cuts, k) AS cuts FROM rounds GROUP BY source)
+SELECT doc_id, size, g.n AS source_size, target, (size * reps)::BIGINT AS taken, reps::INTEGER AS repeats FROM (
+  SELECT d.*, g.n, g.target, CASE WHEN size = 0 THEN 0 ELSE whole + (len(list_filter(range(1, coalesce(len(rests), 0) + 1), lambda i: size <= rests[i] AND draw <= cuts[i])) > 0)::INTEGER END AS reps
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN z ON d.source IS NOT DISTINCT FROM z.source) g"""
