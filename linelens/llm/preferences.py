@@ -3,6 +3,10 @@
 The longest common prefix of turns of a chosen and a rejected conversation is
 rendered once, as the prompt; what follows it are the two completions, with the
 spans of the assistant's turns, on which alone a loss is taken.
+
+Rejected conversations are real alternatives where there are any (conversations with
+the same opening turn); else the last reply is replaced by one drawn from another
+conversation, by the order of a seeded hash.
 """
 
 from __future__ import annotations
@@ -15,8 +19,9 @@ from .common import Scratch
 #: Rendering of a turn: a header with its role, its text, and an end mark.
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 TRAINED = "assistant"
-#: Alternatives of a frequent opening are paired in runs of about so many.
-CELL = 5_000
+#: Rows that are looked at together for the one that follows each.
+RUN = 100_000
+SEED = 11
 TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 
 
@@ -83,57 +88,82 @@ def conversations_of(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: s
     return turns.where(F.col(conv_col).isNotNull()).groupBy(conv_col).agg(F.sort_array(F.collect_list(one)).alias("__turns"))
 
 
-def _next_by_id(keys: DataFrame, scratch: Scratch, *, conv_col: str, run: int) -> DataFrame:
-    """(conversation, __rejected) of (conversation, __opening), exactly, in runs of ids."""
-    counts = keys.groupBy("__opening").agg(F.count(F.lit(1)).alias("__n"))
-    hot = counts.where(F.col("__n") > run).select("__opening")
-    # Runs are bounded by a sample of the ids of all hot openings; a run has about `run` rows of them together.
-    own = scratch.keep(keys.join(hot, "__opening", "left_semi"), "hot")
-    n_runs = max(1, -(-own.count() // run))
-    ranged = own.repartitionByRange(n_runs, "__opening", conv_col).withColumn("__run", F.spark_partition_id())
-    ranged = scratch.keep(ranged, "runs")
-    # A row for each run of an opening: the first id of the run after it.
-    firsts = ranged.groupBy("__opening", "__run").agg(F.min(conv_col).alias("__first"))
-    after = firsts.select("__opening", "__run", F.lead("__first").over(Window.partitionBy("__opening").orderBy("__run")).alias("__after"))
-    within = ranged.withColumn("__lead", F.lead(conv_col).over(Window.partitionBy("__opening", "__run").orderBy(conv_col)))
-    large = within.join(after, ["__opening", "__run"]).select(conv_col, F.coalesce("__lead", "__after").alias("__rejected"))
-    rest = keys.join(hot, "__opening", "left_anti")
-    small = rest.select(conv_col, F.lead(conv_col).over(Window.partitionBy("__opening").orderBy(conv_col)).alias("__rejected"))
-    return large.unionByName(small)
-
-
-def pair_by_opening(talks: DataFrame, scratch: Scratch, *, conv_col: str = "conv_id", cell: int | None = None, run: int = CELL) -> DataFrame:
-    """(conversation, __rejected): each one's next alternative (by id) with the same opening turn.
-
-    Alternatives of a frequent opening are cut into runs of consecutive ids of about
-    `run` rows, so that no task grows with the input; the last row of a run is paired
-    with the first of the next. `run` doesn't change the result. A caller that sets
-    `cell` gets pairs within cells dealt by id instead, where the last of each has none.
+def following(rows: DataFrame, order: list[str], scratch: Scratch, *, run: int = RUN) -> DataFrame:
+    """rows with __next, a struct of the columns `order` (no nulls) of the row that follows in that order.
+
+    Rows are dealt in ranges of the order of about `run` rows, so neither a task nor a
+    key's rows grow with the input; the last row of a range takes the first of the next.
     """
+    n_runs = max(1, -(-rows.count() // run))
+    ranged = scratch.keep(rows.repartitionByRange(n_runs, *order).withColumn("__run", F.spark_partition_id()), "ranges")
+    one = F.struct(*order)
+    # A row for each range.
+    firsts = ranged.groupBy("__run").agg(F.min(one).alias("__first"))
+    after = firsts.select("__run", F.lead("__first").over(Window.orderBy("__run")).alias("__after"))
+    within = ranged.withColumn("__lead", F.lead(one).over(Window.partitionBy("__run").orderBy(*order)))
+    return within.join(after, "__run").select(*rows.columns, F.coalesce("__lead", "__after").alias("__next"))
+
+
+def alternatives(talks: DataFrame, scratch: Scratch, *, conv_col: str = "conv_id", run: int = RUN) -> DataFrame:
+    """(conversation, __rejected): each one's next alternative (by id) with the same opening turn; null without."""
     opening = F.sha2(F.concat_ws("|", F.coalesce(F.col("__turns")[0]["role"], F.lit("")), F.coalesce(F.col("__turns")[0]["text"], F.lit(""))), 256)
     keys = scratch.keep(talks.select(conv_col, opening.alias("__opening")), "openings")
-    if cell is None:
-        return _next_by_id(keys, scratch, conv_col=conv_col, run=run)
-    cells = keys.groupBy("__opening").agg(F.ceil(F.count(F.lit(1)) / cell).alias("__cells"))
-    dealt = keys.join(cells, "__opening").withColumn("__cell", F.pmod(F.col(conv_col), F.col("__cells")))
-    return dealt.select(conv_col, F.lead(conv_col).over(Window.partitionBy("__opening", "__cell").orderBy(conv_col)).alias("__rejected"))
+    near = following(keys, ["__opening", conv_col], scratch, run=run)
+    return near.select(conv_col, F.when(F.col("__next.__opening") == F.col("__opening"), F.col("__next").getField(conv_col)).alias("__rejected"))
+
+
+def last_reply(turns: Column, role: str = TRAINED) -> Column:
+    """Place (from 1) of the last turn of a role, 0 if there is none."""
+    at = F.array_position(F.reverse(F.transform(turns, lambda t: t["role"].eqNullSafe(F.lit(role)))), True)
+    return F.when(at > 0, F.size(turns) - at + 1).otherwise(0).cast("int")
+
+
+def donors(talks: DataFrame, scratch: Scratch, *, conv_col: str = "conv_id", seed: int = SEED, run: int = RUN) -> DataFrame:
+    """(conversation, __donor): of those with a reply, the next in the order of a seeded hash; the last one's is the first."""
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(conv_col).cast("string")))
+    able = scratch.keep(talks.where(last_reply(F.col("__turns")) > 0).select(draw.alias("__draw"), conv_col), "able")
+    first = able.agg(F.min(F.struct("__draw", conv_col)).alias("f")).select(F.col("f").getField(conv_col).alias("__first"))
+    # One row.
+    near = following(able, ["__draw", conv_col], scratch, run=run).join(F.broadcast(first))
+    donor = F.coalesce(F.col("__next").getField(conv_col), F.col("__first"))
+    return near.select(conv_col, F.when(donor != F.col(conv_col), donor).alias("__donor"))
+
 
+def preferences(
+    turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", seed: int = SEED, run: int = RUN,
+) -> DataFrame:
+    """One row for each conversation, as the chosen one: conv_id, rejected_id, kind, and what `format_pairs` returns.
 
-def preferences(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", cell: int | None = None, run: int = CELL) -> DataFrame:
-    """One row for each conversation, as the chosen one: conv_id, rejected_id, and what `format_pairs` returns.
+    `kind` says where the rejected conversation comes from. 'alternative': the next
+    conversation (by id) that opens with the same turn. 'drawn', if there is none: the
+    chosen conversation up to its last reply, with that reply's text replaced by the last
+    reply of conversation rejected_id, the next in the order of a seeded hash; the
+    chosen one ends with its own last reply then. Null, if there is neither: a lone
+    conversation, or one without a reply ('single').
 
-    The rejected conversation is the next (by id) that opens with the same turn. An
-    empty table gives no rows; repeated turn rows are turns like any others.
+    An empty table gives no rows; repeated turn rows are turns like any others. `run`
+    doesn't change the result.
     """
     scratch = Scratch(turns.sparkSession, "preferences")
     talks = scratch.keep(conversations_of(turns, conv_col=conv_col, turn_col=turn_col, role_col=role_col, text_col=text_col), "talks")
-    pairs = scratch.keep(pair_by_opening(talks, scratch, conv_col=conv_col, cell=cell, run=run), "pairs")
-    others = talks.select(F.col(conv_col).alias("__other"), F.col("__turns").alias("rejected"))
+    real = alternatives(talks, scratch, conv_col=conv_col, run=run)
+    drawn = donors(talks, scratch, conv_col=conv_col, seed=seed, run=run)
+    kind = F.when(F.col("__rejected").isNotNull(), "alternative").when(F.col("__donor").isNotNull(), "drawn")
+    pairs = scratch.keep(real.join(drawn, conv_col, "left").select(conv_col, F.coalesce("__rejected", "__donor").alias("rejected_id"), kind.alias("kind")), "pairs")
     chosen = pairs.join(talks.withColumnRenamed("__turns", "chosen"), conv_col)
+    others = talks.select(F.col(conv_col).alias("__other"), F.col("__turns").alias("__others"))
+    columns = [conv_col, "rejected_id", "kind", "chosen"]
     # Singles take no part in the second join.
-    full = chosen.where("__rejected IS NOT NULL").join(others, F.col("__rejected") == F.col("__other")).select(conv_col, F.col("__rejected").alias("rejected_id"), "chosen", "rejected")
-    alone = chosen.where("__rejected IS NULL").select(conv_col, F.col("__rejected").alias("rejected_id"), "chosen", F.lit(None).cast(TURNS).alias("rejected"))
-    return format_pairs(full.unionByName(alone), keep=(conv_col, "rejected_id"))
+    full = chosen.where("kind IS NOT NULL").join(others, F.col("rejected_id") == F.col("__other"))
+    own, other = last_reply(F.col("chosen")), last_reply(F.col("__others"))
+    reply = F.element_at("chosen", F.greatest(own, F.lit(1)))
+    swapped = F.struct(reply["turn"].alias("turn"), reply["role"].alias("role"), F.element_at("__others", F.greatest(other, F.lit(1)))["text"].alias("text"))
+    is_drawn = F.col("kind") == "drawn"
+    rejected = F.when(is_drawn, F.array_append(F.slice("chosen", F.lit(1), F.greatest(own - 1, F.lit(0))), swapped)).otherwise(F.col("__others"))
+    cut = F.when(is_drawn, F.slice("chosen", F.lit(1), own)).otherwise(F.col("chosen"))
+    full = full.select(conv_col, "rejected_id", "kind", cut.alias("chosen"), rejected.alias("rejected"))
+    alone = chosen.where("kind IS NULL").select(*columns, F.lit(None).cast(TURNS).alias("rejected"))
+    return format_pairs(full.unionByName(alone), keep=(conv_col, "rejected_id", "kind"))
 
 
 def digest(formatted: DataFrame) -> DataFrame:
@@ -143,7 +173,7 @@ def digest(formatted: DataFrame) -> DataFrame:
     return formatted
 
 
-def oracle(table: str = "conversations", cell: int = CELL) -> str:
+def oracle(table: str = "conversations", seed: int = SEED) -> str:
     """The digest in DuckDB's SQL."""
     text = "replace(coalesce(t.text, ''), '<|', '<\\|')"
     head = "'<|' || replace(coalesce(t.role, ''), '|>', '|\\>') || '|>' || chr(10)"
@@ -162,12 +192,14 @@ def oracle(table: str = "conversations", cell: int = CELL) -> str:
 
     return f"""
 WITH talks AS (SELECT conv_id, list({{'turn': turn, 'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS ts FROM {table} WHERE conv_id IS NOT NULL GROUP BY conv_id),
-keys AS (SELECT conv_id, ts, coalesce(ts[1].role, '') || '|' || coalesce(ts[1].text, '') AS o FROM talks),
-dealt AS (SELECT *, conv_id % ceil(count(*) OVER (PARTITION BY o) / {cell}.0)::BIGINT AS c FROM keys),
-pairs AS (SELECT conv_id, ts, lead(conv_id) OVER (PARTITION BY o, c ORDER BY conv_id) AS rejected_id FROM dealt),
-both_ AS (SELECT p.conv_id, p.rejected_id, p.ts AS a, t.ts AS b FROM pairs p LEFT JOIN talks t ON p.rejected_id = t.conv_id),
+keys AS (SELECT conv_id, ts, coalesce(ts[1].role, '') || '|' || coalesce(ts[1].text, '') AS o, len(ts) + 1 - coalesce(list_position(list_transform(list_reverse(ts), lambda t: coalesce(t.role = '{TRAINED}', false)), true), len(ts) + 1) AS r FROM talks),
+able AS (SELECT conv_id, coalesce(lead(conv_id) OVER w, first_value(conv_id) OVER w) AS donor FROM (SELECT conv_id, md5('{seed}|' || conv_id::VARCHAR) AS draw FROM keys WHERE r > 0) WINDOW w AS (ORDER BY draw, conv_id)),
+pairs AS (SELECT k.conv_id, ts, r, lead(k.conv_id) OVER (PARTITION BY o ORDER BY k.conv_id) AS next_id, nullif(donor, k.conv_id) AS donor FROM keys k LEFT JOIN able USING (conv_id)),
+named AS (SELECT *, coalesce(next_id, donor) AS rejected_id, CASE WHEN next_id IS NOT NULL THEN 'alternative' WHEN donor IS NOT NULL THEN 'drawn' END AS kind FROM pairs),
+both_ AS (SELECT p.conv_id, p.rejected_id, p.kind, CASE WHEN kind = 'drawn' THEN p.ts[1:p.r] ELSE p.ts END AS a,
+  CASE WHEN kind = 'drawn' THEN list_append(p.ts[1:p.r-1], {{'turn': p.ts[p.r].turn, 'role': p.ts[p.r].role, 'text': k.ts[k.r].text}}) ELSE k.ts END AS b FROM named p LEFT JOIN keys k ON p.rejected_id = k.conv_id),
 cut AS (SELECT *, CASE WHEN b IS NULL THEN 0 ELSE coalesce(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i].role IS NOT DISTINCT FROM b[i].role AND a[i].text IS NOT DISTINCT FROM b[i].text), false) - 1, least(len(a), len(b))) END AS n FROM both_),
-parts AS (SELECT conv_id, rejected_id, n, a[1:n] AS p, a[n+1:] AS ra, b[n+1:] AS rb, b IS NULL AS alone FROM cut)
-SELECT conv_id, rejected_id, CASE WHEN alone THEN 'single' WHEN len(ra) = 0 AND len(rb) = 0 THEN 'identical' WHEN len(ra) = 0 OR len(rb) = 0 THEN 'prefix' ELSE 'pair' END AS status,
+parts AS (SELECT conv_id, rejected_id, kind, n, a[1:n] AS p, a[n+1:] AS ra, b[n+1:] AS rb, b IS NULL AS alone FROM cut)
+SELECT conv_id, rejected_id, kind, CASE WHEN alone THEN 'single' WHEN len(ra) = 0 AND len(rb) = 0 THEN 'identical' WHEN len(ra) = 0 OR len(rb) = 0 THEN 'prefix' ELSE 'pair' END AS status,
   n::INTEGER AS n_prompt_turns, {rendered("p")} AS prompt, {rendered("ra")} AS chosen, {marks("ra")} AS chosen_spans,
   CASE WHEN alone THEN NULL ELSE {rendered("rb")} END AS rejected, CASE WHEN alone THEN NULL ELSE {marks("rb")} END AS rejected_spans FROM parts"""

@@ -319,6 +319,45 @@ def test_mix_overlapping(spark):
     assert sum(r["taken"] for r in got) == 2000 and max(r["repeats"] for r in got) == 2
 
 
+def test_words_of_a_text(spark):
+    texts = ["foo \u0085", "a\u2028 ", "  ", "", None, " \x0b\x0cb\n", "a\u00a0b c\r\nd", " " * 1_000_000, "x " * 300_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    got = {r["i"]: r["n"] for r in df.select("i", mixing.n_tokens(F.col("text")).alias("n")).collect()}
+    assert [got[i] for i in range(len(texts))] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
+def test_mix_odd_sources(spark):
+    """Null and empty arrays of sources keep their row, which is never taken; repeated rows go alike."""
+    rows = [(1, "a b c", ["x"]), (2, "d e", None), (3, "f", []), (4, "g h", ["x", None]), (4, "g h", ["x", None]), (None, "i", ["y", "x", "x"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, s array<string>").withColumn("source", F.lit("clash"))
+    got = mixing.mix(df, sources_col=F.col("s")).collect()
+    assert sorted((r["doc_id"] or 0, r["size"]) for r in got) == [(0, 1), (1, 3), (2, 2), (3, 1), (4, 2), (4, 2)]
+    assert all(r["taken"] == 0 for r in got if r["doc_id"] in (2, 3))
+    assert len({r["taken"] for r in got if r["doc_id"] == 4}) == 1
+    assert mixing.take(df, sources_col=F.col("s")).columns == df.columns
+
+
+def test_mix_fills_until_nothing_fits(spark):
+    """What is left of each source's part is less than any document that isn't taken in it."""
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, "w " * int(3 ** rng.uniform(0, 6)), rng.choice("abcd")) for i in range(400)], "doc_id long, text string, source string")
+    got = mixing.mix(df).join(df.select("doc_id", "source"), "doc_id").collect()
+    for s in "abcd":
+        own = [r for r in got if r["source"] == s]
+        n, target = own[0]["source_size"], min(round(own[0]["target"]), 3 * own[0]["source_size"])
+        rest = target - sum(r["taken"] for r in own)
+        assert rest >= 0 and all(r["size"] > rest for r in own if r["repeats"] == target // n)
+
+
+def test_flow_by_connected_parts():
+    patterns = [(("a", "b"), 100), (("b",), 50), (("c",), 70), ((), 5), (("d", None), 10)]
+    members = [[0, 1], [1], [2], [], [3, 4]]
+    assert sorted(map(sorted, mixing.connected(members))) == [[0, 1], [2], [4]]
+    got = mixing.plan(patterns)
+    whole = mixing.route([n for _, n in patterns], members, [round(got.targets[s]) for s in ("a", "b", "c", "d", None)])
+    assert sum(got.taken.values()) == sum(whole.values()) and () not in got.taken
+
+
 # 8
 
 
@@ -515,25 +554,33 @@ def test_preferences(spark):
     assert preferences.preferences(df.limit(0)).count() == 0
 
 
-def test_preferences_in_cells(spark):
-    turns = [(i, t, "user" if t == 0 else "assistant", "same" if t == 0 else f"answer {i}") for i in range(50) for t in (0, 1)]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    got = preferences.preferences(df, cell=10).collect()
-    assert len(got) == 50 and sum(r["status"] == "pair" for r in got) == 45 and {r["n_prompt_turns"] for r in got if r["status"] == "pair"} == {1}
-
-
 def test_preferences_in_runs(spark):
-    """Runs of a frequent opening don't change pairs; ids with a common factor don't matter."""
+    """Runs don't change pairs; ids with a common factor don't matter; without an alternative a reply is drawn."""
     opening = lambda i: "same" if i % 3 else "other" if i % 2 else f"own {i}"
     ids = [7 * i for i in range(60)]
     turns = [(i, t, "user" if t == 0 else "assistant", opening(i) if t == 0 else f"answer {i}") for i in ids for t in (0, 1)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    want = {i: next((j for j in ids if j > i and opening(j) == opening(i)), None) for i in ids}
+    draws = sorted(ids, key=lambda i: (hashlib.md5(f"{preferences.SEED}|{i}".encode()).hexdigest(), i))
+    drawn = dict(zip(draws, draws[1:] + draws[:1]))
+    want = {i: next(((j, "alternative") for j in ids if j > i and opening(j) == opening(i)), (drawn[i], "drawn")) for i in ids}
     for run in (1, 7, 5_000):
-        assert {r["conv_id"]: r["rejected_id"] for r in preferences.preferences(df, run=run).collect()} == want
-    assert preferences.CELL < 5_003
-    many = spark.range(5_003).select(F.col("id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("same").alias("text"))
-    assert preferences.preferences(many).where("status = 'single'").count() == 1
+        got = preferences.preferences(df, run=run).collect()
+        assert {r["conv_id"]: (r["rejected_id"], r["kind"]) for r in got} == want
+        for r in got:
+            assert r["prompt"] == f"<|user|>\n{opening(r['conv_id'])}<|end|>\n" and r["n_prompt_turns"] == 1
+            assert r["chosen"] == f"<|assistant|>\nanswer {r['conv_id']}<|end|>\n" and r["rejected"] == f"<|assistant|>\nanswer {r['rejected_id']}<|end|>\n"
+
+
+def test_preferences_drawn(spark):
+    """Turns behind the last reply go; string ids and replies of one conversation alone are fine."""
+    turns = [("a", 0, "user", "x"), ("a", 1, "assistant", "old"), ("a", 2, "user", "more"), ("a", 3, "assistant", "mine"), ("a", 4, "user", "bye"), ("b", 0, "assistant", None), ("c", 0, "user", "alone")]
+    df = spark.createDataFrame(turns, "conv_id string, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in preferences.preferences(df).collect()}
+    assert (got["a"]["rejected_id"], got["a"]["kind"], got["a"]["status"], got["a"]["n_prompt_turns"]) == ("b", "drawn", "pair", 3)
+    assert got["a"]["chosen"] == "<|assistant|>\nmine<|end|>\n" and got["a"]["rejected"] == "<|assistant|>\n<|end|>\n" and "bye" not in got["a"]["prompt"]
+    assert got["b"]["n_prompt_turns"] == 0 and got["b"]["rejected"] == "<|assistant|>\nmine<|end|>\n" and got["c"]["status"] == "single"
+    lone = preferences.preferences(df.where("conv_id = 'a'")).collect()
+    assert [(r["status"], r["kind"], r["rejected"]) for r in lone] == [("single", None, None)]
 
 
 # 7
