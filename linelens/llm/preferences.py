@@ -122,10 +122,9 @@ def donors(talks: DataFrame, scratch: Scratch, *, conv_col: str = "conv_id", see
     """(conversation, __donor): of those with a reply, the next in the order of a seeded hash; the last one's is the first."""
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(conv_col).cast("string")))
     able = scratch.keep(talks.where(last_reply(F.col("__turns")) > 0).select(draw.alias("__draw"), conv_col), "able")
-    first = able.agg(F.min(F.struct("__draw", conv_col)).alias("f")).select(F.col("f").getField(conv_col).alias("__first"))
-    # One row.
-    near = following(able, ["__draw", conv_col], scratch, run=run).join(F.broadcast(first))
-    donor = F.coalesce(F.col("__next").getField(conv_col), F.col("__first"))
+    first = able.agg(F.min(F.struct("__draw", conv_col)).alias("f")).select(F.col("f").getField(conv_col)).first()[0]
+    near = following(able, ["__draw", conv_col], scratch, run=run)
+    donor = F.coalesce(F.col("__next").getField(conv_col), F.lit(first))
     return near.select(conv_col, F.when(donor != F.col(conv_col), donor).alias("__donor"))
 
 
