@@ -78,7 +78,13 @@ def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
 
 
 class Sent:
-    """An object broadcast with its class, so that workers need no copy of this package."""
+    """An object broadcast with its class, so that workers need no copy of this package.
+
+    A worker holds the last few that it used; others are read from the broadcast again.
+    """
+
+    HELD = 3
+    used: list = []
 
     def __init__(self, spark: SparkSession, value):
         self._broadcast = spark.sparkContext.broadcast(cloudpickle.dumps(value))
@@ -91,6 +97,9 @@ class Sent:
     def value(self):
         if self._value is None:
             self._value = pickle.loads(self._broadcast.value)
+            self.used.append(self)
+            if len(self.used) > self.HELD:
+                self.used.pop(0)._value = None
         return self._value
 
 

@@ -2,8 +2,9 @@
 
 Texts are cut into shards of bounded size. A shard's suffix array sorts the
 positions of its words by what follows; every suffix of every test item is found
-in it by binary search. That gives the places where a window of the item occurs
-and, from the neighbours in the array, the longest verbatim match.
+in it by binary search (once for all that begin with the same window). Places that
+follow each other in both texts make up the longest verbatim matches, with their
+locations; what they cover decides which documents go.
 
 The array holds the positions that can matter: a window occurs only in a run of
 words that all are test words, so words outside such runs are left out. The test
@@ -49,6 +50,8 @@ class Items:
     windows: np.ndarray
     window_lengths: np.ndarray
     pairs: np.ndarray
+    #: (window, first word in `words`) of each suffix, in order; of items with the same words the first name's.
+    suffixes: np.ndarray
 
 
 def index_items(rows: list[tuple[str, bytes | None]], window: int = WINDOW) -> Items:
@@ -57,8 +60,8 @@ def index_items(rows: list[tuple[str, bytes | None]], window: int = WINDOW) -> I
     number = {n: i for i, n in enumerate(names)}
     words, starts, lengths, named = [], [], [], []
     seen: dict[tuple, int] = {}
-    pairs = set()
-    for name, text in rows:
+    pairs, suffixes, whole = set(), [], set()
+    for name, text in sorted(rows, key=lambda r: r[0]):
         own = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
         if not own:
             continue
@@ -67,13 +70,18 @@ def index_items(rows: list[tuple[str, bytes | None]], window: int = WINDOW) -> I
         named.append(number[name])
         words += [*own, 0]
         size = min(window, len(own))
+        fresh = tuple(own) not in whole
+        whole.add(tuple(own))
         for at in range(len(own) - size + 1):
-            pairs.add((seen.setdefault(tuple(own[at : at + size]), len(seen)), number[name]))
+            key = seen.setdefault(tuple(own[at : at + size]), len(seen))
+            pairs.add((key, number[name]))
+            if fresh:
+                suffixes.append((key, starts[-1] + at))
     windows = np.zeros((len(seen), window), np.int32)
     for key, i in seen.items():
         windows[i, : len(key)] = key
     sizes = np.array([len(k) for k in seen], np.int64)
-    return Items(vocabulary, names, np.array(words, np.int32), np.array(starts, np.int64), np.array(lengths, np.int64), np.array(named, np.int64), windows, sizes, np.array(sorted(pairs), np.int64).reshape(-1, 2))
+    return Items(vocabulary, names, np.array(words, np.int32), np.array(starts, np.int64), np.array(lengths, np.int64), np.array(named, np.int64), windows, sizes, np.array(sorted(pairs), np.int64).reshape(-1, 2), np.array(sorted(suffixes), np.int64).reshape(-1, 2))
 
 
 class SuffixArray:
@@ -156,33 +164,60 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(total)
 
 
-def shard_hits(texts: list[bytes | None], items: Items, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A mask of hit words in the texts' row of words, the texts' starts, and (text, name) pairs."""
+@dataclass
+class Matches:
+    """Longest verbatim matches in a shard: the text's place and the match's first word in it, the name's, the item's first word, and the words."""
+
+    text: np.ndarray
+    word: np.ndarray
+    name: np.ndarray
+    item_word: np.ndarray
+    size: np.ndarray
+
+
+def shard_hits(texts: list[bytes | None], items: Items, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, Matches]:
+    """A mask of hit words in the texts' row of words, the texts' starts, (text, name) pairs, and the matches."""
     words, starts = _numbers(texts, items.vocabulary)
     hit = np.zeros(len(words), bool)
-    none = np.zeros((0, 2), np.int64)
+    empty = np.zeros(0, np.int64)
+    none = np.zeros((0, 2), np.int64), Matches(empty, empty, empty, empty, empty)
     if not len(items.windows) or not len(words):
-        return hit, starts, none
+        return hit, starts, *none
     array = SuffixArray(words, int(items.window_lengths.min()), window)
     if not len(array.array):
-        return hit, starts, none
+        return hit, starts, *none
     low, high = array.search(items.windows, "left"), array.search(items.windows, "right")
     found = np.flatnonzero(high > low)
     if not len(found):
-        return hit, starts, none
-    counts = high[found] - low[found]
-    places = array.array[ranges(low[found], counts)]
-    which = np.repeat(found, counts)
+        return hit, starts, *none
+    # Each suffix of an item with each of its places.
+    first, last = np.searchsorted(items.suffixes[:, 0], found, "left"), np.searchsorted(items.suffixes[:, 0], found, "right")
+    which = np.repeat(found, last - first)
+    suffix = items.suffixes[ranges(first, last - first), 1]
+    counts = high[which] - low[which]
+    place = array.array[ranges(low[which], counts)]
+    suffix, size = np.repeat(suffix, counts), np.repeat(items.window_lengths[which], counts)
+    # Places that follow each other on a diagonal are one match.
+    order = np.lexsort((place, place - suffix))
+    suffix, place, size = suffix[order], place[order], size[order]
+    begins = np.flatnonzero(np.concatenate(([True], (np.diff(place) != 1) | (np.diff(suffix) != 1))))
+    ends = np.concatenate((begins[1:], [len(place)])) - 1
+    size = size[ends] + place[ends] - place[begins]
+    place, suffix = place[begins], suffix[begins]
     marks = np.zeros(len(words) + 1, np.int64)
-    np.add.at(marks, places, 1)
-    np.add.at(marks, places + items.window_lengths[which], -1)
+    np.add.at(marks, place, 1)
+    np.add.at(marks, place + size, -1)
     hit = np.cumsum(marks)[:-1] > 0
+    text, row = np.searchsorted(starts, place, "right") - 1, np.searchsorted(items.starts, suffix, "right") - 1
+    matches = Matches(text, place - starts[text], items.named[row], suffix - items.starts[row], size)
     # Pairs of a text and a window once each, then of a text and a name.
-    both = np.unique(np.searchsorted(starts, places, "right") * (len(items.windows) + 1) + which) if len(places) else which
-    text, which = both // (len(items.windows) + 1) - 1, both % (len(items.windows) + 1)
+    counts = high[found] - low[found]
+    at = np.searchsorted(starts, array.array[ranges(low[found], counts)], "right") - 1
+    both = np.unique(at * (len(items.windows) + 1) + np.repeat(found, counts))
+    text, which = both // (len(items.windows) + 1), both % (len(items.windows) + 1)
     first, last = np.searchsorted(items.pairs[:, 0], which, "left"), np.searchsorted(items.pairs[:, 0], which, "right")
     named = items.pairs[ranges(first, last - first), 1]
-    return hit, starts, np.unique(np.stack([np.repeat(text, last - first), named], 1), axis=0)
+    return hit, starts, np.unique(np.stack([np.repeat(text, last - first), named], 1), axis=0), matches
 
 
 def item_blocks(items: DataFrame, *, item_col: str = "item_id", text_col: str = "text", block_bytes: int = 8 << 20, window: int = WINDOW) -> list:
@@ -202,21 +237,42 @@ def item_blocks(items: DataFrame, *, item_col: str = "item_id", text_col: str =
     return [*out, Sent(spark, index_items(rows, window))]
 
 
-def judge(texts: list[bytes | None], indexes: list, window: int = WINDOW) -> list[tuple[int, int, set[str]]]:
-    """Number of words, of hit words, and names of the items found, for each text."""
-    out: list[tuple[int, int, set[str]]] = []
+@dataclass
+class Verdict:
+    """Number of words and of hit words, names of the items found, and the longest match as (-words, first word, name, item's first word)."""
+
+    n_words: int
+    n_hit: int
+    names: set[str]
+    longest: tuple[int, int, str, int] | None
+
+    @property
+    def contaminated(self) -> bool:
+        return is_contaminated(self.n_words, self.n_hit)
+
+
+def judge(texts: list[bytes | None], indexes: list, window: int = WINDOW) -> list[Verdict]:
+    """What is found in each text. Of the longest matches the first in the text counts, then the first name and item word."""
+    out: list[Verdict] = []
     for start, stop in blocks(texts):
         part = texts[start:stop]
         names: list[set[str]] = [set() for _ in part]
+        longest: list[tuple | None] = [None] * len(part)
         whole = None
         for index in indexes:
-            hit, starts, pairs = shard_hits(part, index.value, window)
+            items = index.value
+            hit, starts, pairs, m = shard_hits(part, items, window)
             whole = hit if whole is None else whole | hit
             for text, name in pairs.tolist():
-                names[text].add(index.value.names[name])
+                names[text].add(items.names[name])
+            order = np.lexsort((m.item_word, m.name, m.word, -m.size, m.text))
+            for i in order[np.unique(m.text[order], return_index=True)[1]]:
+                best = -int(m.size[i]), int(m.word[i]), items.names[m.name[i]], int(m.item_word[i])
+                text = m.text[i]
+                longest[text] = best if longest[text] is None else min(best, longest[text])
         sums = np.concatenate(([0], np.cumsum(whole)))
         n_hit = sums[starts[1:] - 1] - sums[starts[:-1]]
-        out += zip((np.diff(starts) - 1).tolist(), n_hit.tolist(), names)
+        out += map(Verdict, (np.diff(starts) - 1).tolist(), n_hit.tolist(), names, longest)
     return out
 
 
@@ -224,31 +280,35 @@ def is_contaminated(n_words: int, n_hit: int, parts: int = PARTS) -> bool:
     return n_hit > 0 and parts * n_hit >= n_words
 
 
+FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_at long, longest_item string, longest_item_word long"
+
+
 def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row for each document: id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row for each document: id, n_words, n_hit, n_items, items_sha256, contaminated, and the longest match.
 
     A window is `window` consecutive words of an item, or all of a shorter item's.
     A word inside any occurrence of a window is hit. A document is contaminated if a
-    twentieth of its words or more, and one at least, are hit. Null, empty and blank
-    texts have no words and are clean; items without words have no window; items with
-    the same id are one. Empty tables on either side are fine.
+    twentieth of its words or more, and one at least, are hit. The longest verbatim match
+    of an item's suffix is given by its words (0 if there is none), its first word in
+    the document, its item, and its first word there (from 0; of equally long ones the first in
+    this order). Null, empty and blank texts have no words and are clean; items without
+    words have no window; items with the same id are one. Empty tables on either side
+    are fine.
     """
     indexes = item_blocks(items, item_col=item_col, text_col=item_text_col, window=window)
+    names = [x.split()[0] for x in FOUND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 3 + [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
         for batch in batches:
             got = judge(raw(batch.column(1)), indexes, window)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([len(g[2]) for g in got], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(sorted(g[2])).encode()).hexdigest() for g in got], pa.string()),
-                    pa.array([is_contaminated(g[0], g[1]) for g in got], pa.bool_()),
-                ],
-                [id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
+            sums = [hashlib.sha256(",".join(sorted(g.names)).encode()).hexdigest() for g in got]
+            best = [g.longest or (0, None, None, None) for g in got]
+            rows = [(g.n_words, g.n_hit, len(g.names), h, g.contaminated, -b[0], *b[1:]) for g, h, b in zip(got, sums, best)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], [id_col, *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, {FOUND}")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -257,7 +317,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([not is_contaminated(n, hit) for n, hit, _ in judge(raw(batch.column(at)), indexes, window)], pa.bool_()))
+            yield batch.filter(pa.array([not v.contaminated for v in judge(raw(batch.column(at)), indexes, window)], pa.bool_()))
 
     return map_batches(docs, run, docs.schema)
 
@@ -267,7 +327,9 @@ def longest_matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id"
 
     Returns item (string), item_word (the suffix's first word, from 0), n_words, the id
     of a document and doc_word; of several places that with the smallest id, then
-    word. Shorter items match as a whole only.
+    word. Shorter items match as a whole only. Null and empty texts and empty tables on
+    either side have no matches; items with the same id are one, of which the longest
+    match counts.
     """
     indexes = item_blocks(items, item_col=item_col, text_col=item_text_col, window=window)
 
@@ -330,11 +392,14 @@ def oracle(docs: str = "documents", items: str = "benchmark") -> str:
     words = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{capitals}', '{small}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM {docs}),
-i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {words} AS w FROM {items}),
-iw AS (SELECT DISTINCT item, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM (SELECT *, least({WINDOW}, len(w)) AS n FROM i WHERE len(w) > 0))),
+i AS (SELECT row_number() OVER () AS r, coalesce(item_id::VARCHAR, '') AS item, {words} AS w FROM {items}),
+iw AS (SELECT r, item, n, q, array_to_string(w[q:q + n - 1], ' ') AS s FROM (SELECT r, item, w, n, unnest(range(1, len(w) - n + 2)) AS q FROM (SELECT *, least({WINDOW}, len(w)) AS n FROM i WHERE len(w) > 0))),
 dw AS (SELECT rid, p, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
-m AS (SELECT rid, p, n, item FROM dw JOIN iw USING (n, s)),
-h AS (SELECT rid, count(DISTINCT q) AS hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM m) GROUP BY rid),
-t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM m) GROUP BY rid)
+m AS (SELECT rid, p, n, r, item, q FROM dw JOIN iw USING (n, s)),
+h AS (SELECT rid, count(DISTINCT k) AS hit FROM (SELECT rid, unnest(range(p, p + n)) AS k FROM m) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM m) GROUP BY rid),
+u AS (SELECT rid, item, min(p) AS p, min(q) AS q, max(n) + count(*) - 1 AS size FROM (SELECT *, p - row_number() OVER (PARTITION BY rid, r, p - q ORDER BY p) AS island FROM m) GROUP BY rid, r, item, p - q, island),
+b AS (SELECT rid, size, p, item, q FROM u QUALIFY row_number() OVER (PARTITION BY rid ORDER BY size DESC, p, item, q) = 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
-  coalesce(hit, 0) > 0 AND {PARTS} * coalesce(hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)"""
+  coalesce(hit, 0) > 0 AND {PARTS} * coalesce(hit, 0) >= len(w) AS contaminated, coalesce(size, 0)::BIGINT AS longest, (p - 1)::BIGINT AS longest_at, item AS longest_item, (q - 1)::BIGINT AS longest_item_word
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid) LEFT JOIN b USING (rid)"""

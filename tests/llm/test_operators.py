@@ -192,21 +192,28 @@ def test_deduplicate(docs, rows, none):
 def brute_contamination(texts, items):
     low = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
     split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(low))
-    windows = {}
-    for name, text in items:
-        w = split(text)
+    windows, starts = {}, {}
+    cut = [(name, split(text)) for name, text in items]
+    for row, (name, w) in enumerate(cut):
         n = min(13, len(w))
         for i in range(len(w) - n + 1 if w else 0):
             windows.setdefault(tuple(w[i : i + n]), set()).add(name)
+            starts.setdefault(tuple(w[i : i + n]), []).append((row, i))
     out = []
     for t in texts:
-        w, hit, names = split(t), set(), set()
+        w, hit, names, best = split(t), set(), set(), []
         for n in {len(k) for k in windows}:
             for i in range(len(w) - n + 1):
                 if (got := windows.get(tuple(w[i : i + n]))) is not None:
                     names |= got
                     hit |= set(range(i, i + n))
-        out.append((len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+                    for row, j in starts[tuple(w[i : i + n])]:
+                        other, k = cut[row][1], n
+                        while i + k < len(w) and j + k < len(other) and w[i + k] == other[j + k]:
+                            k += 1
+                        best.append((-k, i, cut[row][0], j))
+        longest = (lambda b: (-b[0], *b[1:]))(min(best)) if best else (0, None, None, None)
+        out.append((len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w), *longest))
     return out
 
 
@@ -219,11 +226,11 @@ def items(spark, rows):
 
 def test_contamination(docs, rows, items):
     named = [("" if r["item_id"] is None else str(r["item_id"]), r["text"]) for r in items.collect()]
-    want = sorted(((r[0] is None, r[0] or 0, *w) for r, w in zip(rows, brute_contamination([r[1] for r in rows], named))))
-    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, *tuple(r)[1:]) for r in decontam.contamination(docs, items).collect()))
+    want = sorted(((r[0] is None, r[0] or 0, *w) for r, w in zip(rows, brute_contamination([r[1] for r in rows], named))), key=repr)
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, *tuple(r)[1:]) for r in decontam.contamination(docs, items).collect()), key=repr)
     assert got == want
     clean = decontam.decontaminate(docs, items)
-    assert clean.columns == docs.columns and clean.count() == sum(not w[-1] for w in want)
+    assert clean.columns == docs.columns and clean.count() == sum(not w[6] for w in want)
 
 
 def test_item_blocks(docs, items):
@@ -236,7 +243,7 @@ def test_item_blocks(docs, items):
 def test_contamination_empty(docs, none, items, spark):
     assert decontam.contamination(none, items).count() == 0
     got = decontam.contamination(docs, items.limit(0)).collect()
-    assert not any(r["contaminated"] or r["n_hit"] or r["n_items"] for r in got)
+    assert not any(r["contaminated"] or r["n_hit"] or r["n_items"] or r["longest"] for r in got)
 
 
 def test_longest_matches(spark):
@@ -248,6 +255,42 @@ def test_longest_matches(spark):
     assert ("7", 38) not in got and got["8", 0][0] == 2
 
 
+def test_longest_matches_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 60)))) for i in range(25)] + [(90, None), (91, "")]
+    own = [(k, " ".join(rng.choice("abc") for _ in range(n))) for k, n in enumerate((0, 2, 6, 9, 30, 40, 30))] + [(99, None)]
+    got = decontam.longest_matches(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(own, "item_id long, text string"), window=5).collect()
+    want = {}
+    for name, text in own:
+        w = (text or "").split()
+        for p in range(len(w) - min(5, len(w)) + 1 if w else 0):
+            for i, t in texts:
+                v = (t or "").split()
+                for q in range(len(v)):
+                    k = 0
+                    while p + k < len(w) and q + k < len(v) and w[p + k] == v[q + k]:
+                        k += 1
+                    if k >= min(5, len(w)):
+                        want[str(name), p] = min(want.get((str(name), p), (0,)), (-k, i, q))
+    assert len(want) > 60
+    assert {(r["item"], r["item_word"]): r["n_words"] for r in got} == {k: -v[0] for k, v in want.items()}
+    places = {i: (t or "").split() for i, t in texts}
+    items = {str(k): t.split() for k, t in own if t}
+    assert all(places[r["doc_id"]][r["doc_word"] : r["doc_word"] + r["n_words"]] == items[r["item"]][r["item_word"] : r["item_word"] + r["n_words"]] for r in got)
+
+
+def test_many_items(spark, docs):
+    """Blocks of a large benchmark: more than a worker holds at a time."""
+    rng = random.Random(7)
+    rows = [(str(i), " ".join(words(rng, 20))) for i in range(20_000)]
+    items = spark.createDataFrame(rows, "item_id string, text string").repartition(4)
+    blocks_of = decontam.item_blocks(items, block_bytes=400 << 10)
+    assert len(blocks_of) > blocks_of[0].HELD
+    text = rows[77][1] + " and " + rows[19_000][1]
+    (got,) = decontam.judge([text.encode()], blocks_of)
+    assert got.names >= {"77", "19000"} and got.n_hit == 40 and got.longest[0] == -20
+
+
 # 6
 
 
