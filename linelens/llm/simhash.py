@@ -4,11 +4,13 @@ Fingerprints of 64 bits link at up to four differing bits. Cut into three
 segments, at least one segment of a linked pair differs in at most one bit (two
 in each would be six). A segment is indexed once for each of its bits with that
 bit left out; two segments that differ in at most one bit agree in such a
-variant. An equality join on the variants, with the whole fingerprints compared
-in the join's condition, finds every linked pair.
+variant. Rows are joined by equal variants, and the whole fingerprints compared.
 
-Only distinct fingerprints are indexed, so copies cost nothing more, and a pair
-is kept at one of the variants that it shares, so it comes out once.
+Only distinct fingerprints are indexed, so copies cost nothing more. In buckets of few
+fingerprints a linked pair is kept at one of the variants that it shares, so it comes
+out once; of a larger bucket only a spanning forest of its links comes out, which
+connects the same fingerprints. So links are no more than a few for each variant,
+however many near copies there are.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PIECES, MANY = (0, 9, 18, 27, 35, 43), 1 << 26
 #: Shingles hashed at a time.
 CHUNK = 1 << 16
-#: Rows of two numbers up to which a table is sent to all tasks (about 16 MB).
-BROADCAST_ROWS = 500_000
+#: Fingerprints of a bucket up to which all its linked pairs come out, and of a forest's front that are compared at a time.
+FEW, FRONT = 9, 64
+#: Neighbours from which on a node is a hub at least, and hubs at most (their rows go to all tasks).
+HUB, MOST_HUBS = 200, 100_000
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -65,21 +69,54 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, __fp long")
 
 
-def _home(x: Column) -> Column:
+def _home(x: np.ndarray) -> np.ndarray:
     """The variant at which a pair with these differing bits is kept."""
-    low = [F.shiftrightunsigned(x, a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in SEGMENTS]
-    # For a power of two, the bits below it count its place.
-    at = [F.when(y == 0, F.lit(a)).otherwise(F.lit(a) + F.bit_count(y - 1)) for y, (a, _) in zip(low, SEGMENTS)]
-    return F.when(F.bit_count(low[0]) <= 1, at[0]).when(F.bit_count(low[1]) <= 1, at[1]).otherwise(at[2])
+    out = np.full(len(x), 64, np.int64)
+    for first, width in reversed(SEGMENTS):
+        y = x >> np.uint64(first) & np.uint64((1 << width) - 1)
+        # For a power of two, the bits below it count its place.
+        at = first + np.where(y == 0, 0, np.bitwise_count(y - np.uint64(1))).astype(np.int64)
+        out = np.where(np.bitwise_count(y) <= 1, at, out)
+    return out
+
+
+def forest(prints: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect what links of at most `most` differing bits connect; less than there are fingerprints."""
+    rest = prints
+    while len(rest):
+        front, rest = rest[:1], rest[1:]
+        while len(front) and len(rest):
+            now, front = front[:FRONT], front[FRONT:]
+            near = np.bitwise_count(now[:, None] ^ rest[None]) <= most
+            found = near.any(0)
+            if found.any():
+                linked = rest[found]
+                yield now[near[:, found].argmax(0)], linked
+                front, rest = np.concatenate((front, linked)), rest[~found]
+
+
+def bucket_links(keys: np.ndarray, prints: np.ndarray, at: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of buckets: rows in order of keys and fingerprints, and the variant that a key belongs to."""
+    begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sizes = np.diff(np.concatenate((begins, [len(keys)])))
+    size = np.repeat(sizes, sizes)
+    for step in range(1, FEW):
+        i = np.flatnonzero((keys[:-step] == keys[step:]) & (size[:-step] <= FEW)) if step < len(keys) else np.zeros(0, np.int64)
+        differ = prints[i] ^ prints[i + step]
+        i, differ = i[ok := np.bitwise_count(differ) <= most], differ[ok]
+        i = i[_home(differ) == at[i]]
+        yield prints[i], prints[i + step]
+    for first, n in zip(begins[sizes > FEW], sizes[sizes > FEW]):
+        yield from forest(prints[first : first + n], most)
 
 
 def links(prints: DataFrame, *, most: int = MOST, anchored: bool = False) -> DataFrame:
-    """Pairs (a, b), a < b, of the distinct fingerprints (column __fp) that link.
+    """Pairs (a, b), a < b, of the distinct fingerprints (column __fp) that link; of large groups those that connect it.
 
     With very many fingerprints a variant's key of some 20 bits meets too many others.
     `anchored` keys are longer by one of five pieces of the other two segments: of the
     at most four bits that differ there, one piece has none. There are five times as many
-    keys, each of which meets about 400 times fewer others; the pairs are the same.
+    keys, each of which meets about 400 times fewer others; what is connected is the same.
     """
     if anchored and most > 4:
         raise ValueError("five pieces have an equal one for at most four differing bits")
@@ -87,27 +124,35 @@ def links(prints: DataFrame, *, most: int = MOST, anchored: bool = False) -> Dat
     width = F.expr("CASE WHEN __at < 22 THEN 22 ELSE 21 END")
     at = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("__at")
     part = F.expr("shiftrightunsigned(__fp, __shift) & (shiftleft(1L, __width) - 1) & ~shiftleft(1L, __at - __shift)")
-    variants = prints.select("__fp", at).select("__fp", "__at", shift.alias("__shift"), width.alias("__width")).select("__fp", "__at", "__shift", "__width", (F.shiftleft(F.col("__at").cast("long"), 22) + part).alias("__key"))
+    variants = prints.select("__fp", at).select("__fp", "__at", shift.alias("__shift"), width.alias("__width")).select("__fp", "__shift", "__width", (F.shiftleft(F.col("__at").cast("long"), 22) + part).alias("__key"))
+    low = 22
+    if anchored:
+        # The bits outside the segment stand above it after a rotation.
+        rest = "shiftrightunsigned(shiftrightunsigned(__fp, __shift) | shiftleft(__fp, 64 - __shift), __width)"
+        piece = [F.expr(f"shiftrightunsigned({rest}, {PIECES[j]}) & {(1 << PIECES[j + 1] - PIECES[j]) - 1}L") for j in range(5)]
+        pieces = F.explode(F.array(*(F.lit(j * 512) + v for j, v in enumerate(piece)))).alias("__piece")
+        variants = variants.select("__fp", "__key", pieces).withColumn("__key", F.col("__key") * 4096 + F.col("__piece"))
+        low += 12
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, own = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for batch in batches:
+            keys = np.concatenate((keys, batch.column(0).to_numpy()))
+            own = np.concatenate((own, batch.column(1).to_numpy().view(np.uint64)))
+            # The last bucket may go on in the next batch.
+            stop = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            yield from found(keys[:stop], own[:stop])
+            keys, own = keys[stop:], own[stop:]
+        yield from found(keys, own)
 
-    def piece(x: str, j: int) -> Column:
-        """One of the pieces of the bits outside the segment, which stand above it after a rotation."""
-        rest = f"shiftrightunsigned(shiftrightunsigned({x}, __shift) | shiftleft({x}, 64 - __shift), __width)"
-        return F.expr(f"shiftrightunsigned({rest}, {PIECES[j]}) & {(1 << PIECES[j + 1] - PIECES[j]) - 1}L")
+    def found(keys: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a, b in bucket_links(keys, own, keys >> low, most) if len(keys) else ():
+            if len(a):
+                a, b = a.view(np.int64), b.view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    kept = ["__fp", "__at", "__key"]
-    if anchored:
-        pieces = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), piece("__fp", j).alias("v")) for j in range(5)))).alias("__p")
-        variants = variants.select(*kept, "__shift", "__width", pieces).withColumn("__key", (F.col("__key") * 8 + F.col("__p.j")) * 512 + F.col("__p.v")).withColumn("__piece", F.col("__p.j"))
-        kept = [*kept, "__shift", "__width", "__piece"]
-    a, b = variants.select(*kept).alias("a"), variants.select(F.col("__fp").alias("__other"), F.col("__key").alias("__other_key")).alias("b")
-    differ = F.col("__fp").bitwiseXOR(F.col("__other"))
-    condition = (F.col("__key") == F.col("__other_key")) & (F.col("__fp") < F.col("__other")) & (F.bit_count(differ) <= most) & (_home(differ) == F.col("__at"))
-    if anchored:
-        first = F.lit(4)
-        for j in (3, 2, 1, 0):
-            first = F.when(piece("(__fp ^ __other)", j) == 0, F.lit(j)).otherwise(first)
-        condition = condition & (first == F.col("__piece"))
-    return a.join(b, condition).select(F.col("__fp").alias("a"), F.col("__other").alias("b"))
+    dealt = variants.select("__key", "__fp").repartition("__key").sortWithinPartitions("__key", "__fp")
+    return map_batches(dealt, run, "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -123,25 +168,31 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         before, state = state, now.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
         if state == before:
             return now.select(F.col("a").alias("u"), F.col("b").alias("root"))
-        # A row for each node: with few edges the smallest neighbours go to all tasks, and hubs aren't shuffled.
-        few = 2 * state[0] <= BROADCAST_ROWS
-
-        def least_of(pairs: DataFrame, few: bool = few) -> DataFrame:
-            least = pairs.groupBy("a").agg(F.min("b").alias("m"))
-            return F.broadcast(least) if few else least
-
         # Large star: each larger neighbour of u goes to the smallest of u and its neighbours.
         both = now.union(now.select("b", "a"))
-        large = both.where("b > a").join(least_of(both), "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a != b").distinct()
+        large = _with_least(both, both.where("b > a"), 2 * state[0], scratch).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a != b").distinct()
         # Small star: u and its smaller neighbours go to the smallest of them; here a > b always.
         large = scratch.keep(large, "large")
-        small = large.join(least_of(large), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct()
+        small = _with_least(large, large, 2 * state[0], scratch).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct()
         after = scratch.keep(small, "small")
         scratch.drop(now)
         scratch.drop(large)
         now = after
 
 
+def _with_least(pairs: DataFrame, wanted: DataFrame, most: int, scratch: Scratch) -> DataFrame:
+    """wanted (a, b) with m, the smallest b of a in pairs, which are `most` rows at most.
+
+    Nodes with many neighbours are hubs; there are MOST_HUBS of them at most, and their
+    rows meet the pairs where those are. The others' pairs are dealt by node.
+    """
+    least = scratch.keep(pairs.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    cut = max(HUB, most // MOST_HUBS)
+    hubs = F.broadcast(least.where(F.col("n") > cut).select("a", "m"))
+    rest = wanted.join(hubs.select("a"), "a", "left_anti").join(least.where(F.col("n") <= cut).select("a", "m"), "a")
+    return wanted.join(hubs, "a").unionByName(rest)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """One row for each document: id, fingerprint (16 hex digits), component_id.
 
