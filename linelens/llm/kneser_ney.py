@@ -1,13 +1,14 @@
 """Document quality by an interpolated modified Kneser-Ney model.
 
-The model has n-grams of four characters over 64 symbols and is trained on trusted
-texts. Counts, continuation counts and discounts are joined by context and by
-suffix, sharded by n-gram. A document's perplexity is compared with a quantile of
-the trusted documents of its language.
-
-The joined table has 64**4 n-grams at most, whatever the corpus, so it goes to the
-workers as a whole. (Joining each document's own n-grams with it instead would
-shuffle some thousand rows for each document.)
+The model has n-grams of five characters, just as the texts have them, and is trained
+on trusted texts. Counts, continuation counts and discounts are joined by context and
+by suffix, sharded by n-gram; the tables grow with the corpus and stay tables.
+
+Documents are scored by joins, too. They are packed into blocks, each of which asks
+once for every n-gram that it has; the answers meet the block's texts again. So what is
+shuffled follows the different n-grams of blocks, not of documents. A document's
+perplexity is compared with a quantile of the trusted documents of its language that
+the model was not trained on.
 """
 
 from __future__ import annotations
@@ -20,70 +21,73 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, Sent, blocks, map_batches, raw
+from .common import Scratch, map_batches, raw
+from .toxicity import held_out
 
-V, ORDER = 64, 4
-#: Symbols: 0 start, 1 white space, 2 line end, 3-28 a-z, 29 capital, 30 digit, 31 other letter, 32 other, then these.
-START, SPACE, LINE, CAPITAL, DIGIT, LETTER, REST = 0, 1, 2, 29, 30, 31, 32
-MARKS = ".,!?'\"-:;|%#$&*@/\\()<>=_+[]{}~^"
+ORDER = 5
+#: Stands before each text; in texts U+0000 counts as U+FFFD.
+START = 2
+#: Bytes of text in a block, about, and code points that are cut into n-grams at a time.
+PACKED_BYTES, CHUNK = 16 << 20, 1 << 20
 #: Perplexities are ranked in steps of this many nats.
-STEP = 1e-4
-
-
-def symbol_table() -> np.ndarray:
-    """Symbols of the code points below 0x300; small letters with accents fold to their letter."""
-    import unicodedata
-
-    out = np.full(0x301, REST, np.int32)
-    for cp in range(0x300):
-        c = chr(cp)
-        base = unicodedata.normalize("NFKD", c)[0]
-        if c == "\n":
-            out[cp] = LINE
-        elif c.isspace():
-            out[cp] = SPACE
-        elif c in MARKS:
-            out[cp] = REST + 1 + MARKS.index(c)
-        elif c.isupper():
-            out[cp] = CAPITAL
-        elif c.isdigit():
-            out[cp] = DIGIT
-        elif "a" <= base <= "z":
-            out[cp] = 3 + ord(base) - 97
-        elif c.isalpha():
-            out[cp] = LETTER
-    out[0x300] = LETTER
+STEP = 1e-3
+
+
+def windows(texts: list[bytes | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the n-gram that ends at each character of the texts, (n, order), and the texts' numbers of characters."""
+    points = [np.frombuffer(x.decode("utf-8", "replace").encode("utf-32-le"), "<u4") if x else np.zeros(0, "<u4") for x in texts]
+    sizes = np.array([len(x) for x in points], np.int64)
+    pad = np.full(order - 1, START, "<u4")
+    row = np.concatenate([part for x in points for part in (pad, x)] or [pad])
+    row = np.where(row == 0, 0xFFFD, row).astype("<u4")
+    # An n-gram begins order - 1 places before its last character.
+    begins = np.repeat(np.concatenate(([0], np.cumsum(sizes + order - 1)[:-1])) - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum())) if len(texts) else np.zeros(0, np.int64)
+    return np.lib.stride_tricks.sliding_window_view(row, order)[begins], sizes
+
+
+def numbered(grams: np.ndarray) -> np.ndarray:
+    """A number for each row of code points; equal rows have equal ones."""
+    alphabet, places = np.unique(grams, return_inverse=True)
+    places = places.reshape(grams.shape).astype(np.int64)
+    out = places[:, 0].copy()
+    for k in range(1, grams.shape[1]):
+        if int(out.max(initial=0)) >= (1 << 62) // max(len(alphabet), 1):
+            out = np.unique(out, return_inverse=True)[1].reshape(-1).astype(np.int64)
+        out = out * len(alphabet) + places[:, k]
     return out
 
 
-def codes(text: str, table: np.ndarray) -> np.ndarray:
-    """The n-gram that ends at each symbol of a text, as a number in base 64."""
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    s = np.concatenate((np.zeros(ORDER - 1, np.int32), table[np.minimum(cp, 0x300)]))
-    n = len(cp)
-    out = s[:n].copy()
-    for k in range(1, ORDER):
-        out *= V
-        out += s[k : n + k]
-    return out
+def chunks(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about CHUNK bytes; a longer text is alone."""
+    start = size = 0
+    for i, x in enumerate(texts):
+        n = len(x) if x else 0
+        if i > start and size + n > CHUNK:
+            yield start, i
+            start, size = i, 0
+        size += n
+    if texts:
+        yield start, len(texts)
+
+
+def distinct(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The n-grams of the texts as strings, with their counts, each once for each chunk."""
+    for start, stop in chunks(texts):
+        grams, _ = windows(texts[start:stop])
+        if len(grams):
+            _, first, n = np.unique(numbered(grams), return_index=True, return_counts=True)
+            yield np.ascontiguousarray(grams[first]).view(f"<U{ORDER}").reshape(-1), n
 
 
 def count_ngrams(texts: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """(g int, n long) of all n-grams of the highest order."""
+    """(g string, n long) of all n-grams of the highest order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, sums = symbol_table(), np.zeros(V**ORDER, np.int32)
         for batch in batches:
-            own = raw(batch.column(0))
-            for start, stop in blocks(own, 1 << 20):
-                parts = [codes(x.decode("utf-8", "replace"), table) for x in own[start:stop] if x]
-                if parts:
-                    values, n = np.unique(np.concatenate(parts), return_counts=True)
-                    sums[values] += n.astype(np.int32)
-        found = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(sums[found].astype(np.int64))], ["g", "n"])
+            for grams, n in distinct(raw(batch.column(0))):
+                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(n.astype(np.int64))], ["g", "n"])
 
-    return map_batches(texts.select(text_col), run, "g int, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return map_batches(texts.select(text_col), run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -98,68 +102,129 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 @dataclass
 class Model:
-    """n-grams' probabilities and contexts' weights of the lower order, for each order from 1."""
-
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
+    """For each order from 1: n-grams' probabilities (g, p) and contexts' weights of the lower order (h, w); and the number of symbols."""
 
-    def dense(self) -> np.ndarray:
-        """Log probabilities of all n-grams of the highest order."""
-        p = np.full(V, 1 / V, np.float32)
-        for order, ((g, own), (h, weight)) in enumerate(zip(self.grams, self.contexts)):
-            # Seen contexts weigh the row of their suffix in the lower order; unseen ones take it whole.
-            weights = np.ones(V**order, np.float32)
-            weights[h] = weight
-            p = (weights[:, None] * np.resize(p.reshape(-1, V), (V**order, V))).reshape(-1)
-            p[g] = own
-        return np.log(p)
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
+    symbols: int
 
 
 def train(texts: DataFrame, scratch: Scratch, *, text_col: str = "text") -> Model:
-    """Train on the texts; a table without any gives the uniform model."""
+    """Train on the texts; a table without any gives the uniform model of one symbol."""
     counts = [scratch.keep(count_ngrams(texts, text_col=text_col), "counts")]
     # Continuation counts: how many symbols stand before the shorter n-gram.
     for order in range(ORDER - 1, 0, -1):
-        counts.insert(0, scratch.keep(counts[0].groupBy((F.col("g") % F.lit(V**order)).alias("g")).agg(F.count(F.lit(1)).alias("n")), f"counts{order}"))
+        counts.insert(0, scratch.keep(counts[0].groupBy(F.expr("substring(g, 2)").alias("g")).agg(F.count(F.lit(1)).alias("n")), f"counts{order}"))
+    # One symbol more than were seen.
+    symbols = counts[0].count() + 1
     grams, contexts = [], []
-    below = None
     for order, own in enumerate(counts, 1):
         d1, d2, d3 = discounts(own)
 
         def off(n: Column, d=(d1, d2, d3)) -> Column:
             return F.when(n == 1, F.lit(d[0])).when(n == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
 
-        keyed = own.select("g", "n", F.floor(F.col("g") / V).cast("int").alias("h"), (F.col("g") % F.lit(V ** (order - 1))).cast("int").alias("s"))
+        keyed = own.select("g", "n", F.expr(f"substring(g, 1, {order - 1})").alias("h"), F.expr("substring(g, 2)").alias("s"))
         # Whole numbers until the last step, so that the order of rows doesn't matter.
         context = keyed.groupBy("h").agg(F.sum("n").alias("t"), *(F.sum((F.col("n") == k if k < 3 else F.col("n") >= 3).cast("long")).alias(f"k{k}") for k in (1, 2, 3)))
         context = scratch.keep(context.select("h", "t", ((F.lit(d1) * F.col("k1") + F.lit(d2) * F.col("k2") + F.lit(d3) * F.col("k3")) / F.col("t")).alias("w")), "contexts")
         joined = keyed.join(context, "h")
-        joined = joined.withColumn("q", F.lit(1 / V)) if below is None else joined.join(below.select(F.col("g").alias("s"), F.col("p").alias("q")), "s")
-        below = scratch.keep(joined.select("g", ((F.col("n") - off(F.col("n"))) / F.col("t") + F.col("w") * F.col("q")).alias("p")), "grams")
-        # V ** order rows at most.
-        for df, out, names in ((below, grams, ("g", "p")), (context, contexts, ("h", "w"))):
-            got = df.select(*names).toArrow()
-            out.append((got.column(0).to_numpy().astype(np.int64), got.column(1).to_numpy().astype(np.float32)))
-    return Model(grams, contexts)
+        joined = joined.withColumn("q", F.lit(1 / symbols)) if order == 1 else joined.join(grams[-1].select(F.col("g").alias("s"), F.col("p").alias("q")), "s")
+        grams.append(scratch.keep(joined.select("g", ((F.col("n") - off(F.col("n"))) / F.col("t") + F.col("w") * F.col("q")).alias("p")), "grams"))
+        contexts.append(context.select("h", "w"))
+    return Model(grams, contexts, symbols)
+
+
+def log_probabilities(asked: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
+    """(g, logp) of the distinct n-grams g in asked. Unseen ones take their suffix's, times the weight of a seen context."""
+    found, rest = [], asked.select("g", F.col("g").alias("__now"), F.lit(1.0).alias("__weight"))
+    for order in range(ORDER, 0, -1):
+        seen = scratch.keep(rest.join(model.grams[order - 1].select(F.col("g").alias("__now"), "p"), "__now", "left"), f"seen{order}")
+        found.append(seen.where("p IS NOT NULL").select("g", F.log(F.col("__weight") * F.col("p")).alias("logp")))
+        unseen = seen.where("p IS NULL").select("g", "__now", "__weight", F.expr(f"substring(__now, 1, {order - 1})").alias("h"))
+        weighed = unseen.join(model.contexts[order - 1], "h", "left")
+        rest = weighed.select("g", F.expr("substring(__now, 2)").alias("__now"), (F.col("__weight") * F.coalesce("w", F.lit(1.0))).alias("__weight"))
+    found.append(rest.select("g", F.log(F.col("__weight") / model.symbols).alias("logp")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, lang, n_symbols, log_prob) of every row."""
-    sent = Sent(docs.sparkSession, model)
+def packed_blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(__block, __rows): the rows (id, lang, text) as compressed tables of about PACKED_BYTES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, logp = symbol_table(), None
+        def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for b in held:
+                    out.write_batch(b)
+            return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["__rows"])
+
+        held, size = [], 0
         for batch in batches:
-            logp = sent.value.dense() if logp is None else logp
-            sizes, sums = [], []
-            for x in raw(batch.column(2)):
-                g = codes(x.decode("utf-8", "replace"), table) if x else ()
-                sizes.append(len(g))
-                sums.append(float(logp[g].sum(dtype=np.float64)) if len(g) else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], [id_col, lang_col, "n_symbols", "log_prob"])
+            held.append(batch)
+            size += batch.nbytes
+            if size >= PACKED_BYTES:
+                yield pack(held)
+                held, size = [], 0
+        if held:
+            yield pack(held)
+
+    return scratch.keep(map_batches(docs, run, "__rows binary").select(F.monotonically_increasing_id().alias("__block"), "__rows"), "blocks")
 
+
+def unpack(rows: bytes) -> pa.Table:
+    with pa.ipc.open_stream(rows) as f:
+        return f.read_all()
+
+
+def score(docs: DataFrame, model: Model, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(id, lang, n_symbols, log_prob) of every row."""
+    blocks_of = packed_blocks(docs.select(id_col, lang_col, text_col), scratch)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                known: set[str] = set()
+                for grams, _ in distinct(raw(unpack(rows).column(2))):
+                    fresh = [g for g in grams.tolist() if g not in known]
+                    known.update(fresh)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fresh), block)), pa.array(fresh, pa.string())], ["__block", "g"])
+
+    asked = scratch.keep(map_batches(blocks_of, ask, "__block long, g string"), "asked")
+    answers = asked.join(log_probabilities(scratch.keep(asked.select("g").distinct(), "distinct"), model, scratch), "g")
     kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, lang_col)}
-    return map_batches(docs.select(id_col, lang_col, text_col), run, f"`{id_col}` {kinds[id_col]}, `{lang_col}` {kinds[lang_col]}, n_symbols long, log_prob double")
+    names = [id_col, lang_col, "n_symbols", "log_prob"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        strings = right.column("g").to_numpy().astype(f"<U{ORDER}")
+        logp = right.column("logp").to_numpy()
+        known = strings.view("<u4").reshape(-1, ORDER)
+        out = []
+        for rows in left.column("__rows").to_pylist():
+            table = unpack(rows)
+            texts = raw(table.column(2))
+            sizes, sums = [], []
+            for start, stop in chunks(texts):
+                grams, n = windows(texts[start:stop])
+                if len(grams):
+                    number = numbered(np.concatenate((known, grams)))
+                    order = np.argsort(number[: len(known)], kind="stable")
+                    at = np.searchsorted(number[: len(known)], number[len(known) :], sorter=order)
+                    own = logp[order[np.minimum(at, len(known) - 1)]]
+                    ends = np.cumsum(n)
+                    sums += [float(own[e - k : e].sum()) for e, k in zip(ends.tolist(), n.tolist())]
+                else:
+                    sums += [0.0] * len(n)
+                sizes.append(n)
+            n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+            out.append(pa.Table.from_arrays([table.column(0), table.column(1), pa.array(n), pa.array(sums, pa.float64())], names))
+        return pa.concat_tables(out)
+
+    schema = f"`{id_col}` {kinds[id_col]}, `{lang_col}` {kinds[lang_col]}, n_symbols long, log_prob double"
+    return blocks_of.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(run, schema)
 
 
 def known(docs: DataFrame, ids: DataFrame, *, id_col: str, most: int = 1_000_000) -> DataFrame:
@@ -170,24 +235,26 @@ def known(docs: DataFrame, ids: DataFrame, *, id_col: str, most: int = 1_000_000
 
 def quality(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality",
-    quantile: float = 0.99, slack: float = 0.05,
+    quantile: float = 0.99, slack: float = 0.0,
 ) -> DataFrame:
     """One row for each document: id, lang, n_symbols, log_prob, perplexity, threshold, keep.
 
-    The model is trained on all documents whose label is 1. The threshold of a language
-    is the `quantile` of its trusted documents' log perplexity (in steps of 1e-4) plus
-    `slack` nats, as a perplexity; languages without trusted documents, and null, take
-    that of all trusted documents together, and without any every document with text is kept.
+    The trusted documents are those whose label is 1. The model is trained on four
+    fifths of them; of the others (by a hash of the id) the threshold of a language is
+    the `quantile` of the log perplexity (in steps of 1e-3) plus `slack` nats, as a
+    perplexity. Languages without such documents, and null, take that of all of them
+    together, and without any every document with text is kept.
     Null and empty texts have no perplexity and aren't kept. Repeated rows and ids give
     a row each; an empty table gives none.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     ids = scratch.keep(labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct(), "trusted")
-    model = train(known(docs.select(id_col, text_col), ids, id_col=id_col), scratch, text_col=text_col)
-    scored = scratch.keep(score(docs, model, id_col=id_col, text_col=text_col, lang_col=lang_col), "scores")
+    apart = held_out("__id")
+    model = train(known(docs.select(id_col, text_col), ids.where(~apart), id_col=id_col), scratch, text_col=text_col)
+    scored = scratch.keep(score(docs, model, scratch, id_col=id_col, text_col=text_col, lang_col=lang_col), "scores")
     loss = -F.col("log_prob") / F.col("n_symbols")
-    trusted = known(scored.where("n_symbols > 0"), ids, id_col=id_col)
+    trusted = known(scored.where("n_symbols > 0"), ids.where(apart), id_col=id_col)
     steps = scratch.keep(trusted.groupBy(F.col(lang_col).alias("__lang"), F.ceil(loss / STEP).alias("__step")).agg(F.count(F.lit(1)).alias("__n")), "steps")
 
     def cut(counts: DataFrame, *by: str) -> DataFrame:
