@@ -1,6 +1,6 @@
 """Document quality by an interpolated modified Kneser-Ney model.
 
-The model has n-grams of five characters, just as the texts have them, and is trained
+The model has n-grams of four characters, just as the texts have them, and is trained
 on trusted texts. Counts, continuation counts and discounts are joined by context and
 by suffix, sharded by n-gram; the tables grow with the corpus and stay tables.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_batches, raw
 from .toxicity import held_out
 
-ORDER = 5
+ORDER = 4
 #: Stands before each text; in texts U+0000 counts as U+FFFD.
 START = 2
 #: Bytes of text in a block, about, and code points that are cut into n-grams at a time.
@@ -33,20 +33,51 @@ PACKED_BYTES, CHUNK = 16 << 20, 1 << 20
 STEP = 1e-3
 
 
-def windows(texts: list[bytes | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the n-gram that ends at each character of the texts, (n, order), and the texts' numbers of characters."""
-    points = [np.frombuffer(x.decode("utf-8", "replace").encode("utf-32-le"), "<u4") if x else np.zeros(0, "<u4") for x in texts]
-    sizes = np.array([len(x) for x in points], np.int64)
-    pad = np.full(order - 1, START, "<u4")
-    row = np.concatenate([part for x in points for part in (pad, x)] or [pad])
-    row = np.where(row == 0, 0xFFFD, row).astype("<u4")
-    # An n-gram begins order - 1 places before its last character.
-    begins = np.repeat(np.concatenate(([0], np.cumsum(sizes + order - 1)[:-1])) - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum())) if len(texts) else np.zeros(0, np.int64)
-    return np.lib.stride_tricks.sliding_window_view(row, order)[begins], sizes
+@dataclass
+class Row:
+    """Texts' code points in a row, each text behind order - 1 starts; where its n-grams begin, and the texts' numbers of characters."""
+
+    points: np.ndarray
+    begins: np.ndarray
+    sizes: np.ndarray
+    order: int
+
+    @classmethod
+    def of(cls, texts: list[bytes | None], order: int = ORDER) -> Row:
+        points = [np.frombuffer(x.decode("utf-8", "replace").encode("utf-32-le"), "<u4") if x else np.zeros(0, "<u4") for x in texts]
+        sizes = np.array([len(x) for x in points], np.int64)
+        pad = np.full(order - 1, START, "<u4")
+        row = np.concatenate([part for x in points for part in (pad, x)] or [pad])
+        row = np.where(row == 0, 0xFFFD, row).astype("<u4")
+        # The n-gram of a character begins order - 1 places before it.
+        begins = np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)) * (order - 1), sizes)
+        return cls(row, begins, sizes, order)
+
+    def grams(self) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(self.points, self.order)[self.begins]
+
+    def alphabet(self) -> np.ndarray:
+        seen = np.zeros(0x110000, bool)
+        seen[self.points] = True
+        return np.flatnonzero(seen)
+
+    def numbers(self, alphabet: np.ndarray) -> np.ndarray | None:
+        """Each n-gram as a number in base of the alphabet's size; none if 64 bits don't do."""
+        if len(alphabet) ** self.order >= 1 << 62:
+            return None
+        places = np.zeros(0x110000, np.int64)
+        places[alphabet] = np.arange(len(alphabet))
+        own = places[self.points]
+        n = len(own) - self.order + 1
+        out = own[:n].copy()
+        for k in range(1, self.order):
+            out *= len(alphabet)
+            out += own[k : n + k]
+        return out[self.begins]
 
 
 def numbered(grams: np.ndarray) -> np.ndarray:
-    """A number for each row of code points; equal rows have equal ones."""
+    """A number for each row of code points; equal rows have equal ones. For any alphabet, with a sort for each column at most."""
     alphabet, places = np.unique(grams, return_inverse=True)
     places = places.reshape(grams.shape).astype(np.int64)
     out = places[:, 0].copy()
@@ -57,6 +88,49 @@ def numbered(grams: np.ndarray) -> np.ndarray:
     return out
 
 
+def different(row: Row) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams as rows of code points, and their counts."""
+    alphabet = row.alphabet()
+    number = row.numbers(alphabet)
+    if number is None:
+        grams = row.grams()
+        _, first, n = np.unique(numbered(grams), return_index=True, return_counts=True)
+        return np.ascontiguousarray(grams[first]), n
+    values, n = np.unique(number, return_counts=True)
+    grams = np.empty((len(values), row.order), "<u4")
+    for k in range(row.order - 1, -1, -1):
+        values, place = np.divmod(values, len(alphabet))
+        grams[:, k] = alphabet[place]
+    return grams, n
+
+
+def looked_up(row: Row, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each n-gram in the row the value of the known one that it is."""
+    alphabet = row.alphabet()
+    number = row.numbers(alphabet)
+    if number is None:
+        both = numbered(np.concatenate((known, row.grams())))
+        theirs, number = both[: len(known)], both[len(known) :]
+    else:
+        places = np.full(0x110000, -1, np.int64)
+        places[alphabet] = np.arange(len(alphabet))
+        own = places[known]
+        can = (own >= 0).all(1)
+        own, values = own[can], values[can]
+        theirs = own[:, 0].copy()
+        for k in range(1, row.order):
+            theirs = theirs * len(alphabet) + own[:, k]
+    order = np.argsort(theirs)
+    at = np.searchsorted(theirs[order], number)
+    if len(number) and (at.max() >= len(order) or (theirs[order][at] != number).any()):
+        raise RuntimeError("an n-gram has no answer")
+    return values[order][at]
+
+
+def strings(grams: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(grams, "<u4").view(f"<U{ORDER}").reshape(-1), pa.string())
+
+
 def chunks(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about CHUNK bytes; a longer text is alone."""
     start = size = 0
@@ -70,22 +144,15 @@ def chunks(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def distinct(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The n-grams of the texts as strings, with their counts, each once for each chunk."""
-    for start, stop in chunks(texts):
-        grams, _ = windows(texts[start:stop])
-        if len(grams):
-            _, first, n = np.unique(numbered(grams), return_index=True, return_counts=True)
-            yield np.ascontiguousarray(grams[first]).view(f"<U{ORDER}").reshape(-1), n
-
-
 def count_ngrams(texts: DataFrame, *, text_col: str = "text") -> DataFrame:
     """(g string, n long) of all n-grams of the highest order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for grams, n in distinct(raw(batch.column(0))):
-                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(n.astype(np.int64))], ["g", "n"])
+            texts = raw(batch.column(0))
+            for start, stop in chunks(texts):
+                grams, n = different(Row.of(texts[start:stop]))
+                yield pa.RecordBatch.from_arrays([strings(grams), pa.array(n.astype(np.int64))], ["g", "n"])
 
     return map_batches(texts.select(text_col), run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
@@ -187,11 +254,11 @@ def score(docs: DataFrame, model: Model, scratch: Scratch, *, id_col: str = "doc
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                known: set[str] = set()
-                for grams, _ in distinct(raw(unpack(rows).column(2))):
-                    fresh = [g for g in grams.tolist() if g not in known]
-                    known.update(fresh)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fresh), block)), pa.array(fresh, pa.string())], ["__block", "g"])
+                texts = raw(unpack(rows).column(2))
+                parts = [different(Row.of(texts[start:stop]))[0] for start, stop in chunks(texts)]
+                grams = np.concatenate(parts) if parts else np.zeros((0, ORDER), "<u4")
+                grams = grams[np.unique(numbered(grams), return_index=True)[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block)), strings(grams)], ["__block", "g"])
 
     asked = scratch.keep(map_batches(blocks_of, ask, "__block long, g string"), "asked")
     answers = asked.join(log_probabilities(scratch.keep(asked.select("g").distinct(), "distinct"), model, scratch), "g")
@@ -199,25 +266,17 @@ def score(docs: DataFrame, model: Model, scratch: Scratch, *, id_col: str = "doc
     names = [id_col, lang_col, "n_symbols", "log_prob"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        strings = right.column("g").to_numpy().astype(f"<U{ORDER}")
+        known = right.column("g").to_numpy().astype(f"<U{ORDER}").view("<u4").reshape(-1, ORDER)
         logp = right.column("logp").to_numpy()
-        known = strings.view("<u4").reshape(-1, ORDER)
         out = []
         for rows in left.column("__rows").to_pylist():
             table = unpack(rows)
             texts = raw(table.column(2))
             sizes, sums = [], []
             for start, stop in chunks(texts):
-                grams, n = windows(texts[start:stop])
-                if len(grams):
-                    number = numbered(np.concatenate((known, grams)))
-                    order = np.argsort(number[: len(known)], kind="stable")
-                    at = np.searchsorted(number[: len(known)], number[len(known) :], sorter=order)
-                    own = logp[order[np.minimum(at, len(known) - 1)]]
-                    ends = np.cumsum(n)
-                    sums += [float(own[e - k : e].sum()) for e, k in zip(ends.tolist(), n.tolist())]
-                else:
-                    sums += [0.0] * len(n)
+                row = Row.of(texts[start:stop])
+                n, own = row.sizes, looked_up(row, known, logp)
+                sums += [float(own[e - k : e].sum()) for e, k in zip(np.cumsum(n).tolist(), n.tolist())]
                 sizes.append(n)
             n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
             out.append(pa.Table.from_arrays([table.column(0), table.column(1), pa.array(n), pa.array(sums, pa.float64())], names))
