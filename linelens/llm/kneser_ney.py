@@ -13,7 +13,7 @@ the model was not trained on.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ ORDER = 4
 #: Stands before each text; in texts U+0000 counts as U+FFFD.
 START = 2
 #: Bytes of text in a block, about, and code points that are cut into n-grams at a time.
-PACKED_BYTES, CHUNK = 16 << 20, 1 << 20
+PACKED_BYTES, CHUNK = 32 << 20, 1 << 20
 #: Perplexities are ranked in steps of this many nats.
 STEP = 1e-3
 
@@ -88,20 +88,45 @@ def numbered(grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def different(row: Row) -> tuple[np.ndarray, np.ndarray]:
-    """The different n-grams as rows of code points, and their counts."""
-    alphabet = row.alphabet()
-    number = row.numbers(alphabet)
-    if number is None:
-        grams = row.grams()
-        _, first, n = np.unique(numbered(grams), return_index=True, return_counts=True)
-        return np.ascontiguousarray(grams[first]), n
-    values, n = np.unique(number, return_counts=True)
-    grams = np.empty((len(values), row.order), "<u4")
-    for k in range(row.order - 1, -1, -1):
-        values, place = np.divmod(values, len(alphabet))
-        grams[:, k] = alphabet[place]
-    return grams, n
+def different(rows: Iterable[Row], alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of rows of texts as rows of code points, and their counts."""
+    values, counts, plain = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    order = ORDER
+    for row in rows:
+        number, order = row.numbers(alphabet), row.order
+        if number is None:
+            # The alphabet has no room for numbers: the n-grams themselves are held.
+            grams = row.grams()
+            _, first, n = np.unique(numbered(grams), return_index=True, return_counts=True)
+            both = grams[first] if plain is None else np.concatenate((plain, grams[first]))
+            n = np.concatenate((counts, n))
+            _, first, inverse = np.unique(numbered(both), return_index=True, return_inverse=True)
+            plain, counts = np.ascontiguousarray(both[first]), np.bincount(inverse.reshape(-1), n).astype(np.int64)
+            continue
+        own, n = np.unique(number, return_counts=True)
+        both = np.concatenate((values, own))
+        values, inverse = np.unique(both, return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate((counts, n))).astype(np.int64)
+    if plain is not None:
+        return plain, counts
+    grams = np.empty((len(values), order), "<u4")
+    for k in range(order - 1, -1, -1):
+        values, place = np.divmod(values, max(len(alphabet), 1))
+        grams[:, k] = alphabet[place] if len(alphabet) else 0
+    return grams, counts
+
+
+def rows_of(parts: Iterable[list[bytes | None]]) -> Iterator[Row]:
+    for texts in parts:
+        for start, stop in chunks(texts):
+            yield Row.of(texts[start:stop])
+
+
+def alphabet_of(parts: Iterable[list[bytes | None]]) -> np.ndarray:
+    seen = np.zeros(0x110000, bool)
+    for row in rows_of(parts):
+        seen[row.points] = True
+    return np.flatnonzero(seen)
 
 
 def looked_up(row: Row, known: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -149,10 +174,9 @@ def count_ngrams(texts: DataFrame, *, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = raw(batch.column(0))
-            for start, stop in chunks(texts):
-                grams, n = different(Row.of(texts[start:stop]))
-                yield pa.RecordBatch.from_arrays([strings(grams), pa.array(n.astype(np.int64))], ["g", "n"])
+            texts = [raw(batch.column(0))]
+            grams, n = different(rows_of(texts), alphabet_of(texts))
+            yield pa.RecordBatch.from_arrays([strings(grams), pa.array(n)], ["g", "n"])
 
     return map_batches(texts.select(text_col), run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
@@ -242,9 +266,9 @@ def packed_blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(map_batches(docs, run, "__rows binary").select(F.monotonically_increasing_id().alias("__block"), "__rows"), "blocks")
 
 
-def unpack(rows: bytes) -> pa.Table:
+def unpack(rows: bytes) -> Iterator[pa.RecordBatch]:
     with pa.ipc.open_stream(rows) as f:
-        return f.read_all()
+        yield from f
 
 
 def score(docs: DataFrame, model: Model, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -254,10 +278,8 @@ def score(docs: DataFrame, model: Model, scratch: Scratch, *, id_col: str = "doc
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                texts = raw(unpack(rows).column(2))
-                parts = [different(Row.of(texts[start:stop]))[0] for start, stop in chunks(texts)]
-                grams = np.concatenate(parts) if parts else np.zeros((0, ORDER), "<u4")
-                grams = grams[np.unique(numbered(grams), return_index=True)[1]]
+                texts = lambda rows=rows: (raw(b.column(2)) for b in unpack(rows))
+                grams, _ = different(rows_of(texts()), alphabet_of(texts()))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block)), strings(grams)], ["__block", "g"])
 
     asked = scratch.keep(map_batches(blocks_of, ask, "__block long, g string"), "asked")
@@ -270,16 +292,15 @@ def score(docs: DataFrame, model: Model, scratch: Scratch, *, id_col: str = "doc
         logp = right.column("logp").to_numpy()
         out = []
         for rows in left.column("__rows").to_pylist():
-            table = unpack(rows)
-            texts = raw(table.column(2))
-            sizes, sums = [], []
-            for start, stop in chunks(texts):
-                row = Row.of(texts[start:stop])
-                n, own = row.sizes, looked_up(row, known, logp)
-                sums += [float(own[e - k : e].sum()) for e, k in zip(np.cumsum(n).tolist(), n.tolist())]
-                sizes.append(n)
-            n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-            out.append(pa.Table.from_arrays([table.column(0), table.column(1), pa.array(n), pa.array(sums, pa.float64())], names))
+            for batch in unpack(rows):
+                texts = raw(batch.column(2))
+                sizes, sums = [], []
+                for row in rows_of([texts]):
+                    n, own = row.sizes, looked_up(row, known, logp)
+                    sums += [float(own[e - k : e].sum()) for e, k in zip(np.cumsum(n).tolist(), n.tolist())]
+                    sizes.append(n)
+                n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+                out.append(pa.Table.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(sums, pa.float64())], names))
         return pa.concat_tables(out)
 
     schema = f"`{id_col}` {kinds[id_col]}, `{lang_col}` {kinds[lang_col]}, n_symbols long, log_prob double"
@@ -294,7 +315,7 @@ def known(docs: DataFrame, ids: DataFrame, *, id_col: str, most: int = 1_000_000
 
 def quality(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality",
-    quantile: float = 0.99, slack: float = 0.0,
+    quantile: float = 0.98, slack: float = 0.0,
 ) -> DataFrame:
     """One row for each document: id, lang, n_symbols, log_prob, perplexity, threshold, keep.
 

@@ -609,7 +609,7 @@ def test_numbered_without_room():
     wide, narrow = kneser_ney.Row.of([text.encode(), None, b"abca"], 5), kneser_ney.Row.of([b"abcabc", b"", b"abca"], 5)
     assert wide.numbers(wide.alphabet()) is None and narrow.numbers(narrow.alphabet()) is not None
     for row in (wide, narrow):
-        got, n = kneser_ney.different(row)
+        got, n = kneser_ney.different([row], row.alphabet())
         want, counts = np.unique(row.grams(), axis=0, return_counts=True)
         assert sorted((*g, k) for g, k in zip(got.tolist(), n.tolist())) == sorted((*g, k) for g, k in zip(want.tolist(), counts.tolist()))
         values = np.arange(len(got), dtype=float)
