@@ -37,10 +37,12 @@ LEET_COST, REPEAT_COST, DELETE_COST, BREAK_COST = 1.0, 0.5, 4.0, 1.5
 HIDDEN = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 SYMBOLS, BREAK, DIGIT, OTHER = 32, 0, 27, 28
 SHORTEST, LONGEST = 3, 7
-#: Entries of a worker's memo of tokens; when full it starts anew.
-MEMO = 300_000
+#: Characters up to which a token without letters may be a word.
+LONGEST_CODE = 15
+#: Entries of a worker's memo of tokens, and characters of one that is remembered at most; when full it starts anew.
+MEMO, LONG = 300_000, 64
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in LEET) + "«»„“”‘’…–—·¿¡"
-THRICE, LONG_EDGE = re.compile(r"(.)\1\1"), re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
+THRICE = re.compile(r"(.)\1\1")
 WORD, LETTER = re.compile(r"[^\W\d_]+"), re.compile(r"[^\W\d_]")
 
 
@@ -62,6 +64,17 @@ def symbols(text: str, table: np.ndarray) -> np.ndarray:
     return out
 
 
+def without_long_edges(word: str) -> str:
+    """The word without a mark that is repeated three times or more at either end."""
+    for strip in (str.lstrip, str.rstrip):
+        if word:
+            c = word[0] if strip is str.lstrip else word[-1]
+            rest = strip(word, c)
+            if len(word) - len(rest) >= 3 and not (c.isalnum() or c == "_" or c.isspace()):
+                word = rest
+    return word
+
+
 def count_ngrams(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """(code, n): four-symbol n-grams of all texts; what lies before a break is a break."""
 
@@ -168,10 +181,10 @@ class Decoder:
         word = token.strip(EDGES)
         if word.isalpha() and not THRICE.search(word):
             return [word]
-        word = LONG_EDGE.sub("", word.rstrip("!").translate(HIDDEN)).strip(EDGES)
+        word = without_long_edges(word.rstrip("!").translate(HIDDEN)).strip(EDGES)
         if word.isalpha() and not THRICE.search(word):
             return [word]
-        if not LETTER.search(word):
+        if not LETTER.search(word) and not (3 <= len(word) <= LONGEST_CODE and all(x in LEET for x in word)):
             return []
         spaced = len(word) >= 5 and len(word) % 2 == 1 and not word[1].isalnum() and set(word[1::2]) == {word[1]} and all(x.isalnum() or x in LEET for x in word[::2])
         return WORD.findall(self.restore(word[::2] if spaced else word, spaced))
@@ -184,7 +197,7 @@ def spelled(tokens: list[str]) -> Iterator[str]:
         if len(t) == 1 and (t.isalnum() or t in LEET):
             run.append(t)
         else:
-            if len(run) >= 3 and sum(x.isalpha() for x in run) >= 2:
+            if len(run) >= 3 and any(x.isalpha() for x in run):
                 yield "".join(run)
             run = []
 
@@ -198,7 +211,9 @@ def restored_words(text: str, decoder: Decoder, memo: dict[str, tuple], make) ->
         if got is None:
             if len(memo) >= MEMO:
                 memo.clear()
-            got = memo[t] = make(decoder.words(t))
+            got = make(decoder.words(t))
+            if len(t) <= LONG:
+                memo[t] = got
         if got:
             out.update(got)
     if sum(len(t) == 1 for t in tokens) >= 3:
@@ -258,18 +273,38 @@ class Model:
         return map_batches(docs, run, docs.schema)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, *, penalty: float = 0.02, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Weights and bias by Newton's method with a ridge; the rarer class weighs more."""
-    n, k = x.shape
-    x = np.hstack([x, np.ones((n, 1), np.float32)])
+def logistic(hits: list[list[int]], y: np.ndarray, k: int, *, penalty: float = 0.02, steps: int = 30) -> tuple[np.ndarray, float]:
+    """Weights of k features and bias by Newton's method with a ridge; the rarer class weighs more.
+
+    hits has the features of each row. The step's equations are solved by conjugate gradients.
+    """
+    n = len(hits)
+    # A last feature that every row has is the bias.
+    row = np.concatenate([np.repeat(np.arange(n), [len(h) for h in hits]), np.arange(n)])
+    col = np.concatenate([np.array([f for h in hits for f in h], np.int64), np.full(n, k)])
+    times = lambda w: np.bincount(row, w[col], n)
+    back = lambda v: np.bincount(col, v[row], k + 1)
     weight = np.sqrt(np.where(y > 0.5, n / (2 * max(y.sum(), 1)), n / (2 * max((1 - y).sum(), 1))))
     hold = np.append(np.full(k, penalty), 1e-6)
     w = np.zeros(k + 1)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (weight * (p - y)) + hold * w
-        curve = (x.T * (weight * np.maximum(p * (1 - p), 1e-6)).astype(np.float32)) @ x
-        step = np.linalg.solve(curve.astype(np.float64) + np.diag(hold), slope)
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        slope = back(weight * (p - y)) + hold * w
+        curve = weight * np.maximum(p * (1 - p), 1e-6)
+        scale = back(curve) + hold
+        step, rest = np.zeros(k + 1), slope.copy()
+        z = rest / scale
+        way, old = z.copy(), rest @ z
+        for _ in range(200):
+            bent = back(curve * times(way)) + hold * way
+            by = old / max(way @ bent, 1e-300)
+            step += by * way
+            rest -= by * bent
+            if np.abs(rest).max() < 1e-7:
+                break
+            z = rest / scale
+            now = rest @ z
+            way, old = z + now / old * way, now
         step *= min(1, 4 / max(np.abs(step).max(), 1e-9))
         w -= step
         if np.abs(step).max() < 1e-4:
@@ -284,15 +319,16 @@ def held_out(id_col: str = "doc_id"):
 
 def fit(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_train_rows: int = 12_000, max_features: int = 600, least_rows: int = 2, least_odds: float = 2.0,
+    max_train_rows: int = 12_000, least_rows: int = 2, least_odds: float = 2.0,
 ) -> Model:
     """Learn the language model from all texts, and the weights from labelled rows.
 
     Labels are read only for ids that are not held out. The classifier is fitted on
     the `max_train_rows` of them that come first in hash order (its documented bound);
-    a row with several labels counts as toxic if one says so. Features are the
-    `max_features` that tell most between the classes. Without both classes the score
-    is the share of toxic rows. Null labels are no labels; null texts have no words.
+    a row with several labels counts as toxic if one says so. Features are all that
+    `least_rows` toxic rows of the sample have and whose log odds are `least_odds` or
+    more. Without both classes the score is the share of toxic rows. Null labels are no
+    labels; null texts have no words.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
@@ -338,8 +374,9 @@ def fit(
 
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
     ranked = map_batches(words, tally, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).withColumn("odds", odds)
-    top = ranked.where((F.col("bad") >= least_rows) & (F.col("odds") >= least_odds)).orderBy(F.desc(F.col("bad") * F.col("odds")), "feature").limit(max_features)
-    names = [r["feature"] for r in top.select("feature").collect()]
+    top = ranked.where((F.col("bad") >= least_rows) & (F.col("odds") >= least_odds))
+    # Features of max_train_rows texts at most.
+    names = sorted(top.select("feature").toArrow().column(0).to_pylist())
     if not names:
         return flat
     place = {f: i for i, f in enumerate(names)}
@@ -351,11 +388,7 @@ def fit(
 
     # max_train_rows rows at most; sorted, so that sums come out the same.
     rows = sorted(map_batches(words, to_rows, "y int, hits array<int>").toArrow().to_pylist(), key=lambda r: (r["y"], r["hits"]))
-    x, y = np.zeros((len(rows), len(names)), np.float32), np.zeros(len(rows))
-    for i, r in enumerate(rows):
-        x[i, r["hits"]] = 1
-        y[i] = r["y"]
-    w, bias = logistic(x, y)
+    w, bias = logistic([r["hits"] for r in rows], np.array([float(r["y"]) for r in rows]), len(names))
     return Model(logp, {f: float(v) for f, v in zip(names, w)}, bias)
 
 
