@@ -25,8 +25,8 @@ from .common import Sent, map_batches, raw
 
 #: The pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct merged pre-tokens that a worker remembers; when full it starts anew.
-MEMO = 400_000
+#: Distinct merged pre-tokens that a worker remembers, and characters of one at most; when full it starts anew.
+MEMO, LONG = 400_000, 64
 
 
 def byte_letters() -> dict[int, str]:
@@ -94,6 +94,7 @@ class Counter:
         self.model = self.tokenizer.model
         self.find = regex.compile(PATTERN).findall
         self.odd = regex.compile("[" + "".join(map(regex.escape, shortcut.odd)) + "]").search if shortcut.odd else lambda text: None
+        self.odd_is_wide = all(ord(c) > 0xFF for c in shortcut.odd)
         self.special = regex.compile("|".join(map(regex.escape, shortcut.special))) if shortcut.special else None
         self.letters = byte_letters()
         self.whole = dict.fromkeys(shortcut.whole, 1)
@@ -104,7 +105,9 @@ class Counter:
         if n is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            n = self.memo[pre_token] = len(self.model.tokenize("".join(map(self.letters.__getitem__, pre_token.encode()))))
+            n = len(self.model.tokenize("".join(map(self.letters.__getitem__, pre_token.encode()))))
+            if len(pre_token) <= LONG:
+                self.memo[pre_token] = n
         return n
 
     def plain(self, text: str) -> int:
@@ -116,10 +119,12 @@ class Counter:
     def count(self, text: str) -> int:
         if not text.isascii():
             try:
-                text.encode("latin-1")
+                # Most texts are in Latin-1, which is quicker to see than that they have no odd character.
+                plain = self.odd_is_wide and bool(text.encode("latin-1"))
             except UnicodeEncodeError:
-                if self.odd(text):
-                    return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+                plain = False
+            if not plain and self.odd(text):
+                return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if self.special is None or not self.special.search(text):
             return self.plain(text)
         parts = self.special.split(text)
