@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables, with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -526,6 +527,71 @@ def test_held_out_labels_are_not_read(toxic, spark):
     assert toxicity.fit(docs, labels).weights == toxicity.fit(docs, turned).weights
 
 
+def brute_reading(decoder, token, spaced):
+    """The best score over all paths of the lattice, and the readings that reach it."""
+    S = toxicity.SYMBOLS
+    best, texts = -np.inf, set()
+    for path in itertools.product(*decoder.lattice(token, spaced)):
+        now = total = 0.0
+        now = 0
+        for reading, cost in path:
+            total -= cost
+            for c in reading:
+                x = decoder.symbol(c)
+                if x == toxicity.BREAK:
+                    total += float(decoder.logp[now, x]) if now % S else 0.0
+                    now = 0
+                else:
+                    total += float(decoder.logp[now, x])
+                    now = now % S**2 * S + x
+        total += float(decoder.logp[now, toxicity.BREAK]) if now % S else 0.0
+        if total > best + 1e-9:
+            best, texts = total, set()
+        if total > best - 1e-9:
+            texts.add("".join(r for r, _ in path))
+    return texts
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.RandomState(3)
+    text = "you idiot what a stupid moron such scum is an asset at 1301 and 455 the passes are quiet " * 3
+    s = np.concatenate((np.zeros(3, np.int64), toxicity.symbols(text, toxicity.symbol_table())))
+    code = ((s[:-3] * 32 + s[1:-2]) * 32 + s[2:-1]) * 32 + s[3:]
+    values, n = np.unique(code, return_counts=True)
+    decoder = toxicity.Decoder(toxicity.language_model(values, n))
+    tokens = ["1d10t", "m0r0n", "$cum", "st@@pid", "idiooot", "p4$$3s", "!d!ot", "a.b", "1301", "455", "@$$et", "xx1xx", "i+i"]
+    tokens += ["".join(rng.choice(list("aist1037$@!.o"), rng.randint(1, 8))) for _ in range(60)]
+    for token in tokens:
+        for spaced in (False, True):
+            if np.prod([float(len(x)) for x in decoder.lattice(token, spaced)]) <= 50_000:
+                assert decoder.restore(token, spaced) in brute_reading(decoder, token, spaced), (token, spaced)
+    assert decoder.words("1d10t") == ["idiot"] and decoder.words("-" * 40 + "idiot" + "~~~~") == ["idiot"]
+
+
+def test_long_tokens_take_linear_time(toxic):
+    import time
+
+    decoder = toxicity.Decoder(toxicity.language_model(np.zeros(0, np.int64), np.zeros(0)))
+    began = time.perf_counter()
+    assert toxicity.without_long_edges("---a" + "-" * 1_000_000 + "b..") == "a" + "-" * 1_000_000 + "b.."
+    assert toxicity.without_long_edges("~" * 1_000_000) == "" and toxicity.without_long_edges("") == "" and toxicity.without_long_edges("__a99999") == "__a99999"
+    decoder.words("a" + "-" * 100_000 + "b")
+    assert time.perf_counter() - began < 20
+
+
+def test_logistic_reaches_the_optimum():
+    rng = np.random.RandomState(2)
+    hits = [sorted(rng.choice(30, rng.randint(0, 6), replace=False).tolist()) for _ in range(300)]
+    y = np.array([float(any(h < 5 for h in x)) if rng.rand() > 0.1 else float(rng.randint(2)) for x in hits])
+    w, bias = toxicity.logistic(hits, y, 30)
+    x = np.zeros((300, 30))
+    for i, h in enumerate(hits):
+        x[i, h] = 1
+    weight = np.sqrt(np.where(y > 0.5, 300 / (2 * y.sum()), 300 / (2 * (1 - y).sum())))
+    slope = x.T @ (weight * (1 / (1 + np.exp(-(x @ w + bias))) - y)) + 0.02 * w
+    assert np.abs(slope).max() < 1e-2
+
+
 def test_language_model_sums_to_one():
     logp = toxicity.language_model(np.array([5, 70, 33000]), np.array([3, 1, 2]))
     assert np.allclose(np.exp(logp).sum(1), 1, atol=1e-4)
