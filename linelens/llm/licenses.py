@@ -1,14 +1,18 @@
 """Licence scans by sentence rules, with DataFrame functions only.
 
-Texts are normalised and cut into sentences. A sentence that matches a known
-licence sentence gets its identifier; other sentences that speak of licences get
-the identifier of an unknown one. The identifiers of a document, in order, are then
-matched against ordered rules: a rule is a sequence of identifiers that stand for a
-licence; longer rules come first, and what a rule has matched is used up.
+Texts are normalised and cut into sentences. A map of the known licence sentences,
+in all their wordings, gives their identifiers; a sentence that is not in the map gets
+the identifier of the known one that it contains. Other sentences that speak of
+licences get the identifier of an unknown one. The identifiers of a document, in
+order, are then matched against ordered rules: a rule is a sequence of identifiers that
+stand for a licence; longer rules come first, and what a rule has matched is used up.
+Unknown sentences and copyright lines may stand between those of a rule.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,36 +114,95 @@ CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARKS = "[\\x00-\\x20*/#\"'`<>|=_~^\\\\-]+"
 
 
-def _hinted(text: Column) -> Column:
-    out = text.contains(HINTS[0])
-    for h in HINTS[1:]:
-        out = out | text.contains(h)
+#: What else a text with a known sentence has, with marks as spaces.
+MORE_HINTS = ("creative", "cc by", "cc  ", "cc0", "mpl", "under the license")
+KNOWN = "creative commons|\\bcc by\\b|\\bcc0\\b|under the license|copy of the mpl"
+ENDS = " .!?;:,"
+
+
+def wordings(pattern: str) -> list[str] | None:
+    """All strings that a pattern of letters, groups, options and sets stands for; none if there is no end of them."""
+    at = 0
+
+    def one() -> list[str] | None:
+        nonlocal at
+        c = pattern[at]
+        at += 1
+        if c == "(":
+            got = either()
+            at += 1
+        elif c == "[":
+            end = pattern.index("]", at)
+            got, at = (None if "-" in pattern[at:end] else list(pattern[at:end])), end + 1
+        elif c == "\\":
+            got, at = [""] if pattern[at] == "b" else [pattern[at]], at + 1
+        else:
+            got = None if c == "." else [c]
+        if at < len(pattern) and pattern[at] == "?":
+            at += 1
+            got = None if got is None else [*got, ""]
+        elif at < len(pattern) and pattern[at] in "*+{":
+            return None
+        return got
+
+    def row() -> list[str] | None:
+        out: list[str] | None = [""]
+        while at < len(pattern) and pattern[at] not in "|)":
+            if (got := one()) is None:
+                return None
+            out = [x + y for x in out for y in got]
+        return out
+
+    def either() -> list[str] | None:
+        nonlocal at
+        out = row()
+        while out is not None and at < len(pattern) and pattern[at] == "|":
+            at += 1
+            out = None if (more := row()) is None else out + more
+        return out
+
+    return either()
+
+
+def sentence_map() -> dict[str, str]:
+    """Known sentences in all their wordings, without what ends them, and their identifiers."""
+    out: dict[str, str] = {}
+    for _, pattern in SENTENCES:
+        for text in wordings(pattern) or ():
+            out.setdefault(text.strip(ENDS), next(n for n, p in SENTENCES if re.search(p, text)))
+    return out
+
+
+def _contains(text: Column, *parts: str) -> Column:
+    out = text.contains(parts[0])
+    for p in parts[1:]:
+        out = out | text.contains(p)
     return out
 
 
 def _identify(sentence: Column) -> Column:
-    out = F.when(sentence.rlike(SENTENCES[0][1]), F.lit(SENTENCES[0][0]))
+    whole = F.element_at(F.create_map(*(F.lit(x) for pair in sentence_map().items() for x in pair)), F.btrim(sentence, F.lit(ENDS)))
+    inside = F.when(sentence.rlike(SENTENCES[0][1]), F.lit(SENTENCES[0][0]))
     for name, pattern in SENTENCES[1:]:
-        out = out.when(sentence.rlike(pattern), F.lit(name))
-    return out.otherwise(F.lit(UNKNOWN))
+        inside = inside.when(sentence.rlike(pattern), F.lit(name))
+    return F.coalesce(whole, inside.otherwise(F.lit(UNKNOWN)))
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the licence sentences of a text, in order."""
     low = F.translate(F.coalesce(text, F.lit("")), CAPITALS, SMALL)
+    # A text without any of these has no known sentence, however its marks are.
+    marks = "".join(map(chr, range(1, 32))) + "*/#\"'`<>|=_~^\\-"
+    may = _contains(F.translate(low, marks, " " * len(marks)), *HINTS, *MORE_HINTS)
     marked = F.regexp_replace(F.regexp_replace(low, MARKS, " "), "([.!?]) +", "$1\n")
-    sentences = F.filter(F.split(marked, "\n", -1), _hinted_or_known)
-    return F.when(_hinted(low) | low.contains("creative commons") | low.contains("cc by") | low.contains("cc0") | low.contains("cc-by"), F.transform(sentences, _identify)).otherwise(F.array().cast("array<string>"))
-
-
-def _hinted_or_known(s: Column) -> Column:
-    return _hinted(s) | s.rlike("creative commons|\\bcc by\\b|\\bcc0\\b|under the license|copy of the mpl")
+    sentences = F.filter(F.split(marked, "\n", -1), lambda s: _contains(s, *HINTS) | s.rlike(KNOWN))
+    return F.when(may, F.transform(sentences, _identify)).otherwise(F.array().cast("array<string>"))
 
 
 def match_rules(ids: Column) -> Column:
     """Names of the licences whose rules match a sequence of identifiers."""
     rules = F.array(*(F.struct(F.lit(n).alias("name"), F.lit("".join(f"<{i}>" for i in seq)).alias("ids")) for n, seq in RULES))
-    start = F.struct(F.concat_ws("", F.transform(F.filter(ids, lambda i: i != PASSED_OVER), lambda i: F.concat(F.lit("<"), i, F.lit(">")))).alias("rest"), F.array().cast("array<string>").alias("names"))
+    start = F.struct(F.concat_ws("", F.transform(F.filter(ids, lambda i: ~i.isin(PASSED_OVER, UNKNOWN)), lambda i: F.concat(F.lit("<"), i, F.lit(">")))).alias("rest"), F.array().cast("array<string>").alias("names"))
     done = F.aggregate(
         rules, start,
         lambda acc, r: F.when(acc["rest"].contains(r["ids"]), F.struct(F.replace(acc["rest"], r["ids"], F.lit("|")).alias("rest"), F.array_append(acc["names"], r["name"]).alias("names"))).otherwise(acc),
@@ -171,18 +234,16 @@ def oracle(table: str = "documents", id_col: str = "doc_id", text_col: str = "te
         return "(" + " OR ".join(f"contains({x}, {q(h)})" for h in HINTS) + ")"
 
     cases = " ".join(f"WHEN regexp_matches(s, {q(p)}) THEN {q(n)}" for n, p in SENTENCES)
-    more = ("creative commons", "cc by", "cc0", "cc-by")
     steps = []
     for k, (name, seq) in enumerate(RULES):
         ids = q("".join(f"<{i}>" for i in seq))
         steps.append(f"r{k + 1} AS (SELECT * REPLACE (replace(rest, {ids}, '|') AS rest, CASE WHEN contains(rest, {ids}) THEN list_append(names, {q(name)}) ELSE names END AS names) FROM r{k})")
     return f"""
 WITH low AS (SELECT {id_col}, translate(coalesce({text_col}, ''), '{CAPITALS}', '{SMALL}') AS t FROM {table}),
-cut AS (SELECT {id_col}, CASE WHEN {hinted("t")} OR {" OR ".join(f"contains(t, {q(m)})" for m in more)}
-  THEN string_split(regexp_replace(regexp_replace(t, {q(MARKS)}, ' ', 'g'), '([.!?]) +', '\\1' || chr(10), 'g'), chr(10)) ELSE [] END AS ss FROM low),
-ids AS (SELECT {id_col}, list_transform(list_filter(ss, lambda s: {hinted("s")} OR regexp_matches(s, 'creative commons|\\bcc by\\b|\\bcc0\\b|under the license|copy of the mpl')),
+cut AS (SELECT {id_col}, string_split(regexp_replace(regexp_replace(t, {q(MARKS)}, ' ', 'g'), '([.!?]) +', '\\1' || chr(10), 'g'), chr(10)) AS ss FROM low),
+ids AS (SELECT {id_col}, list_transform(list_filter(ss, lambda s: {hinted("s")} OR regexp_matches(s, {q(KNOWN)})),
   lambda s: CASE {cases} ELSE '{UNKNOWN}' END) AS ids FROM cut),
-r0 AS (SELECT {id_col}, ids, array_to_string(list_transform(list_filter(ids, lambda i: i <> '{PASSED_OVER}'), lambda i: '<' || i || '>'), '') AS rest, []::VARCHAR[] AS names FROM ids),
+r0 AS (SELECT {id_col}, ids, array_to_string(list_transform(list_filter(ids, lambda i: i NOT IN ('{PASSED_OVER}', '{UNKNOWN}')), lambda i: '<' || i || '>'), '') AS rest, []::VARCHAR[] AS names FROM ids),
 {", ".join(steps)}
 SELECT {id_col}, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(array_to_string(list_sort(list_distinct(names)), ','), '') AS licenses,
   len(list_filter(ids, lambda i: i <> '{UNKNOWN}'))::BIGINT AS n_known, len(list_filter(ids, lambda i: i = '{UNKNOWN}'))::BIGINT AS n_unknown FROM r{len(RULES)}"""

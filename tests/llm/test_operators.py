@@ -743,6 +743,33 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_sentence_map():
+    known = licenses.sentence_map()
+    assert licenses.wordings("a(b|c)?[,;] v\\.?\\b") == ["ab, v.", "ab, v", "ab; v.", "ab; v", "ac, v.", "ac, v", "ac; v.", "ac; v", "a, v.", "a, v", "a; v.", "a; v"]
+    assert licenses.wordings("a.*b") is None and licenses.wordings("(x|[0-9])") is None
+    assert len(known) > 100
+    # The map says what the patterns say.
+    assert all(next(n for n, p in licenses.SENTENCES if re.search(p, text)) == name for text, name in known.items())
+
+
+def test_odd_licence_texts(spark):
+    texts = {
+        1: ("If a copy of the MPL was not distributed with this file", "mpl_copy", ""),
+        2: ("CC_BY 4.0", "ref_cc_by_4", "CC-BY-4.0"),
+        3: ("cc -- by-nc 4.0", "ref_cc_by_nc_4", "CC-BY-NC-4.0"),
+        4: ("Under the\n * MIT   License", "ref_mit", "MIT"),
+        5: (
+            "Redistribution and use in source and binary forms, with or without modification, are permitted. Redistributions of source code must retain the above copyright notice. I like this license. "
+            "Redistributions in binary form must reproduce the above copyright notice. Copyright 2020 X. This software is provided by X as is and any express or implied warranties",
+            "bsd_intro,bsd_source,unknown,bsd_binary,copyright,bsd_as_is", "BSD-2-Clause",
+        ),
+        6: (None, "", ""), 7: ("x" * 100_000, "", ""), 8: ("accord the public", "", ""),
+    }
+    df = spark.createDataFrame([(i, t[0]) for i, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in licenses.scan_licenses(df).collect()}
+    assert got == {i: t[1:] for i, t in texts.items()}
+
+
 def test_rules_are_ordered(spark):
     def match(*ids):
         return spark.range(1).select(licenses.match_rules(F.array(*map(F.lit, ids))).alias("x")).first()["x"]
