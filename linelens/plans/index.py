@@ -12,11 +12,26 @@ from pyspark.sql import functions as F
 from ..functions.ngrams import SIZE
 from ..operators import lines as L
 from ..operators import postings as P
-from ..schema import Manifest
+from ..schema import LINES, Manifest
 from ..sources.source_tree import read_tree
-from ..storage import delete, exists, shared_dir
+from ..storage import delete, empty, exists, shared_dir
 
 TABLES = ("files", "lines", "postings", "ngram_counts", "file_start_lines")
+#: Shards in a folder of the lines and in a file there, and ranges of ids that a filter has at most.
+FOLDER_SHARDS, FILE_SHARDS, MOST_RANGES = 256, 16, 64
+
+
+def few_ranges(ids: list[int], around: int = 0, most: int = MOST_RANGES) -> list[tuple[int, int]]:
+    """At most `most` ranges (first, last) that hold all ids and `around` more on either side; the smallest gaps are closed."""
+    ranges: list[tuple[int, int]] = []
+    for i in sorted(set(ids)):
+        if ranges and i - around <= ranges[-1][1] + 1:
+            ranges[-1] = ranges[-1][0], i + around
+        else:
+            ranges.append((i - around, i + around))
+    gaps = sorted(range(1, len(ranges)), key=lambda k: ranges[k][0] - ranges[k - 1][1], reverse=True)
+    cuts = sorted(gaps[: most - 1])
+    return [(ranges[a][0], ranges[b - 1][1]) for a, b in zip([0, *cuts], [*cuts, len(ranges)])] if ranges else []
 
 
 @dataclass
@@ -28,7 +43,10 @@ class Index:
     cached: dict[str, DataFrame] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
-        return self.cached.get(name) or self.spark.read.parquet(f"{self.path}/{name}")
+        if name in self.cached:
+            return self.cached[name]
+        # An index of no lines has no folder to tell the schema from.
+        return (self.spark.read.schema(f"{LINES}, folder int") if name == "lines" else self.spark.read).parquet(f"{self.path}/{name}")
 
     def warm(self) -> Index:
         """Hold the tables in the executors' memory, or on their disks, for many searches."""
@@ -48,7 +66,16 @@ class Index:
 
     @property
     def lines(self) -> DataFrame:
-        return self.table("lines")
+        return self.table("lines").drop("folder")
+
+    def lines_in(self, ranges: list[tuple[int, int]]) -> DataFrame:
+        """The lines with ids in ranges (first, last): folders by name, then row groups by their smallest and largest ids."""
+        per = self.manifest.lines_per_shard * FOLDER_SHARDS
+        folders = sorted({f for a, b in ranges for f in range(max(0, a) // per, max(0, b) // per + 1)})
+        held = F.lit(False)
+        for a, b in ranges:
+            held = held | F.col("line_id").between(a, b)
+        return self.table("lines").where(F.col("folder").isin(folders) & held).drop("folder")
 
     @property
     def postings(self) -> DataFrame:
@@ -75,6 +102,9 @@ def _prepare(spark: SparkSession, path: str, preserve: bool) -> None:
     if exists(spark, path):
         if preserve:
             raise FileExistsError(path)
+        # Whatever else may be there stays.
+        if not empty(spark, path) and not any(exists(spark, f"{path}/{name}") for name in ("manifest", "files")):
+            raise FileExistsError(f"{path} is not an index")
         delete(spark, path)
 
 
@@ -107,10 +137,11 @@ def build_tree_index(spark: SparkSession, roots: str | list[str], path: str, *,
 
 def _write(spark: SparkSession, files: DataFrame, lines: DataFrame, path: str, vestibule: str, lines_per_shard: int, size: int) -> Index:
     files.write.parquet(f"{path}/files")
-    # Dealt out by shard and sorted by id, so that a lookup reads few row groups.
-    shard = F.floor(F.col("line_id") / lines_per_shard)
-    lines.select("line_id", "file_id", "file_offset", "file_line", "phys_line", "line").repartition(shard).sortWithinPartitions("line_id").write.parquet(f"{path}/lines")
-    lines = spark.read.parquet(f"{path}/lines")
+    # Folders and files of some shards each, sorted by id, in small row groups: a lookup reads few of them.
+    folder = F.floor(F.col("line_id") / (lines_per_shard * FOLDER_SHARDS)).cast("int").alias("folder")
+    own = lines.select("line_id", "file_id", "file_offset", "file_line", "phys_line", "line", folder).repartition(F.floor(F.col("line_id") / (lines_per_shard * FILE_SHARDS)))
+    own.sortWithinPartitions("folder", "line_id").write.partitionBy("folder").option("parquet.block.size", 1 << 20).parquet(f"{path}/lines")
+    lines = spark.read.schema(f"{LINES}, folder int").parquet(f"{path}/lines").drop("folder")
     # Small row groups: a query reads those of its n-grams alone.
     P.build_postings(lines, lines_per_shard=lines_per_shard, size=size).sortWithinPartitions("ngram", "shard").write.option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
     found = spark.read.parquet(f"{path}/postings")

@@ -2,8 +2,8 @@
 
 A query of three bytes or more is answered by its rarest n-grams: their counts, a few
 rows, are looked up first; if one is missing nothing matches. The lists of the
-rarest meet shard by shard, and the lines that are left are tested for the whole
-query. If even the rarest is common, a scan of the lines is cheaper and is taken.
+rarest meet shard by shard, and the lines that are left are read by their ids and
+tested for the whole query. If even the rarest is common, a scan of the lines is cheaper and is taken.
 Shorter queries go through the n-grams that contain them, so that lines under three
 bytes are never found.
 """
@@ -22,12 +22,12 @@ from ..operators import postings as P
 from ..operators import results as R
 from ..schema import SearchRequest
 from ..storage import shared_dir
-from .index import Index
+from .index import Index, few_ranges
 
 #: n-grams whose lists are joined, and the share of all lines from which on a scan is taken.
 RAREST, SCAN_SHARE = 3, 0.1
-#: Files up to which the first lines are tried by themselves.
-MOST_PROBED = 10_000
+#: Files up to which the first lines are tried by themselves, and line ids that the driver turns into ranges at most.
+MOST_PROBED, MOST_IDS = 10_000, 10_000
 IDS = ("line_id", "file_id", "file_line")
 #: Queries up to which a batch is planned on the driver, and lines of a shard for each file wanted from which on a query is frequent.
 MOST_PLANNED, FREQUENT = 10_000, 4
@@ -69,7 +69,12 @@ def matching_lines(index: Index, query: str, *, plan: Plan | None = None, short_
     if plan.kind == "scan":
         return lines.where(holds)
     if plan.kind == "ngrams":
-        return lines.join(P.intersect(index.postings, list(plan.ngrams)), "line_id", "left_semi").where(holds)
+        candidates = P.intersect(index.postings, list(plan.ngrams))
+        ids = [r["line_id"] for r in candidates.limit(MOST_IDS + 1).collect()]
+        if len(ids) <= MOST_IDS:
+            # Few row groups are read; the ids in them are tested like the rest.
+            return index.lines_in(few_ranges(ids)).select(*lines.columns).where(F.col("line_id").isin(ids) & holds)
+        return lines.join(candidates, "line_id", "left_semi").where(holds)
     if short_lines:
         return lines.where(holds)
     if not query:
@@ -105,16 +110,22 @@ def search_matches(index: Index, request: SearchRequest, *, plan: Plan | None =
 
 
 def search(index: Index, request: SearchRequest | str, *, around: int = 1, **options) -> DataFrame:
-    """Result lines with context: file_id, filename, lang, line_num, line_text, is_matched_line, overwritten_flag, island."""
+    """Result lines with context, in order of files and lines: file_id, filename, lang, line_num, line_text, is_matched_line, overwritten_flag, island."""
     request = SearchRequest(request) if isinstance(request, str) else request
-    lines = index.lines.select("file_id", "file_line", "line")
-    found = search_matches(index, request, **options)
+    found = search_matches(index, request, **options).select(*IDS)
+    if request.limit * request.within_file_limit <= MOST_IDS:
+        # A file's lines have consecutive ids: a match's neighbours, and one more to tell a final empty line.
+        hits = [tuple(r) for r in found.collect()]
+        found = _local(index.spark, hits, **{c: pa.int64() for c in IDS})
+        lines = index.lines_in(few_ranges([h[0] for h in hits], around + 1)) if hits else index.lines.where(F.lit(False))
+    else:
+        lines = index.lines
     # Files with matches are few (the limit), so their lines are taken before anything is grouped.
-    own = R.without_final_empty(lines.join(found.select("file_id").distinct(), "file_id", "left_semi"))
+    own = R.without_final_empty(lines.select("file_id", "file_line", "line").join(found.select("file_id").distinct(), "file_id", "left_semi"))
     shown = R.islands(R.context(found, own, around=around))
     return shown.join(index.files.select("file_id", "filename", "lang"), "file_id").select(
         "file_id", "filename", "lang", F.col("file_line").alias("line_num"), F.col("line").alias("line_text"), "is_matched_line", "overwritten_flag", "island"
-    )
+    ).orderBy("file_id", "line_num")
 
 
 def search_nested(index: Index, request: SearchRequest | str, *, around: int = 1) -> DataFrame:
@@ -124,7 +135,7 @@ def search_nested(index: Index, request: SearchRequest | str, *, around: int = 1
 
 
 def search_many(index: Index, queries: DataFrame, *, limit: int = 100, within_file: int = 10, offset: int = 0, rarest: int = RAREST) -> DataFrame:
-    """A batch of (query_id, query): (query_id, query, line_id, file_id, file_line, line).
+    """A batch of (query_id, query): (query_id, query, line_id, file_id, file_line, line), in no order.
 
     Every query's n-grams are ranked by their counts, the rarest joined with the
     postings, and lines that have all of them tested. Queries that are frequent are
