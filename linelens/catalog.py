@@ -66,8 +66,9 @@ def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def matches_sql(term: str, limit: int = 10, within: int = 10, offset: int = 0) -> str:
+def matches_sql(term: str, limit: int | None = 10, within: int | None = 10, offset: int = 0) -> str:
     """CTEs up to `kept`: the matches that the limits leave."""
+    limit, within = limit or 10**15, within or 10**15
     short = " AND strlen(line) >= 3" if len(term.encode()) < 3 else ""
     return f"""{LINES},
 hits AS (SELECT line_id, file_id, file_line, line FROM lines WHERE contains(line, {quoted(term)}){short}),
@@ -75,7 +76,7 @@ ranked AS (SELECT *, dense_rank() OVER (ORDER BY file_id) AS fr, row_number() OV
 kept AS (SELECT line_id, file_id, file_line, line FROM ranked WHERE fr > {offset} AND fr <= {offset + limit} AND lr <= {within})"""
 
 
-def context_sql(term: str, limit: int = 10, within: int = 10) -> str:
+def context_sql(term: str, limit: int | None = 10, within: int | None = 10) -> str:
     """CTEs up to `shown`: lines with context and flags."""
     return f"""{matches_sql(term, limit, within)},
 ends AS (SELECT file_id, max(file_line) AS last_line FROM lines GROUP BY file_id),
@@ -206,7 +207,7 @@ def fsck(spark: SparkSession, sf_dir: str) -> DataFrame:
 RESULT = "SELECT line_id, file_id, file_line, line FROM kept"
 
 
-def _search(name: str, term: str, limit: int = 10, within: int = 10, offset: int = 0) -> None:
+def _search(name: str, term: str, limit: int | None = 10, within: int | None = 10, offset: int = 0) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return search_matches(index_of(spark, sf_dir), SearchRequest(term, limit, within, offset))
 
@@ -222,17 +223,16 @@ def search_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 for _name, _term, *_limits in (
-    ("search_indexed", "the"), ("search_multiword", "that an"), ("search_special_percent", "%%%"), ("search_special_star", "***"), ("search_special_pipe", " | "),
+    ("search_indexed", "License"), ("search_multiword", "rights reserved"), ("search_special_percent", "%%%"), ("search_special_star", "***"), ("search_special_pipe", " | "),
     ("search_utf8", "éau"), ("search_utf8_short", "é"), ("search_no_hits", "mmap"), ("search_missing_ngram", "qzx"), ("search_short_1", "x"), ("search_short_2", "th"),
-    ("search_short_percent", "%"), ("search_empty", ""), ("search_line_end", "a\nb"), ("search_limits", "ation", 5, 2), ("search_offset", "ation", 5, 2, 5), ("search_all", "ation", 1_000_000, 1_000_000),
+    ("search_short_percent", "%"), ("search_empty", ""), ("search_line_end", "a\nb"), ("search_limits", "ation", 5, 2), ("search_offset", "ation", 5, 2, 5), ("search_all", "ation", None, None),
 ):
     _search(_name, _term, *_limits)
 
 
 @query(f"WITH {matches_sql('ation')}, n AS (SELECT count(DISTINCT file_id) AS n FROM hits) SELECT n AS n_files, (SELECT count(*) FROM hits) AS n_matches FROM n")
 def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matching_lines(index_of(spark, sf_dir), "ation")
-    return R.result_count(found).crossJoin(found.agg(F.count(F.lit(1)).alias("n_matches")))
+    return R.result_count(matching_lines(index_of(spark, sf_dir), "ation"))
 
 
 @query(f"WITH {matches_sql('ation')} SELECT least(count(DISTINCT file_id), 10) AS n_shown, count(DISTINCT file_id) > 10 AS overflow FROM hits")
@@ -240,21 +240,21 @@ def overflow_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.overflow(matching_lines(index_of(spark, sf_dir), "ation"), 10)
 
 
-def _shown(spark: SparkSession, sf_dir: str, term: str = "ation", limit: int = 100_000) -> DataFrame:
+def _shown(spark: SparkSession, sf_dir: str, term: str = "ation", limit: int | None = None) -> DataFrame:
     return search(index_of(spark, sf_dir), SearchRequest(term, limit, 10))
 
 
-@query(f"WITH {context_sql('ation', 100_000)} SELECT file_id, file_line AS line_num, line AS line_text, is_matched_line FROM shown")
+@query(f"WITH {context_sql('ation', None)} SELECT file_id, file_line AS line_num, line AS line_text, is_matched_line FROM shown")
 def context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(spark, sf_dir).select("file_id", "line_num", "line_text", "is_matched_line")
 
 
-@query(f"WITH {context_sql('the', 100_000)} SELECT file_id, file_line AS line_num, is_matched_line, overwritten_flag FROM shown")
+@query(f"WITH {context_sql('the', None)} SELECT file_id, file_line AS line_num, is_matched_line, overwritten_flag FROM shown")
 def context_compat_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(spark, sf_dir, "the").select("file_id", "line_num", "is_matched_line", "overwritten_flag")
 
 
-@query(f"""WITH {context_sql('ation', 100_000)}, runs AS (SELECT *, file_line - row_number() OVER (PARTITION BY file_id ORDER BY file_line) AS g FROM shown)
+@query(f"""WITH {context_sql('ation', None)}, runs AS (SELECT *, file_line - row_number() OVER (PARTITION BY file_id ORDER BY file_line) AS g FROM shown)
 SELECT file_id, dense_rank() OVER (PARTITION BY file_id ORDER BY g)::INTEGER AS island, min(file_line) AS first_line, max(file_line) AS last_line, count(*) FILTER (WHERE is_matched_line) AS n_matches FROM runs GROUP BY file_id, g""")
 def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = _shown(spark, sf_dir).select("file_id", F.col("line_num").alias("file_line"), "is_matched_line")
@@ -280,12 +280,12 @@ def text_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.text_output(shown, index_of(spark, sf_dir).files, "ation")
 
 
-@query(f"WITH {context_sql('the', 100_000)} SELECT file_id, file_line AS line_num, replace(replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;'), 'the', '<strong>the</strong>') AS html FROM shown")
+@query(f"WITH {context_sql('the', None)} SELECT file_id, file_line AS line_num, replace(replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;'), 'the', '<strong>the</strong>') AS html FROM shown")
 def highlight_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(spark, sf_dir, "the").select("file_id", "line_num", X.highlight_html(F.col("line_text"), "the").alias("html"))
 
 
-@query(f"WITH {context_sql('ation', 100_000)} SELECT file_id, file_line AS line_num, CASE WHEN is_matched_line THEN replace(line, 'ation', chr(27) || '[1;31mation' || chr(27) || '[0m') ELSE line END AS ansi FROM shown")
+@query(f"WITH {context_sql('ation', None)} SELECT file_id, file_line AS line_num, CASE WHEN is_matched_line THEN replace(line, 'ation', chr(27) || '[1;31mation' || chr(27) || '[0m') ELSE line END AS ansi FROM shown")
 def highlight_ansi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(spark, sf_dir).select("file_id", "line_num", X.highlight_ansi(F.col("line_text"), "ation", F.col("is_matched_line")).alias("ansi"))
 
@@ -302,7 +302,8 @@ def line_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERMS_SQL = "terms AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {quoted(t)})" for i, t in enumerate(TERMS)) + ") t(query_id, query))"
 
 
-def _many_sql(terms: str, limit: int, within: int) -> str:
+def _many_sql(terms: str, limit: int | None, within: int | None) -> str:
+    limit, within = limit or 10**15, within or 10**15
     return f"""WITH {LINES}, {terms},
 hits AS (SELECT q.query_id, q.query, l.line_id, l.file_id, l.file_line, l.line FROM terms q JOIN lines l ON contains(l.line, q.query) AND (strlen(q.query) >= 3 OR strlen(l.line) >= 3)),
 ranked AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY file_id) AS fr, row_number() OVER (PARTITION BY query_id, file_id ORDER BY file_line) AS lr FROM hits)
@@ -325,12 +326,12 @@ def prefix_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_many(index_of(spark, sf_dir), queries, limit=10, within_file=10).drop("query_id")
 
 
-@query(_many_sql("terms AS (SELECT item_id AS query_id, substr(string_split(text, chr(10))[1], 1, 40) AS query FROM benchmark WHERE text IS NOT NULL)", 1_000_000, 1_000_000))
+@query(_many_sql("terms AS (SELECT item_id * 1000 + i AS query_id, q AS query FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS q, unnest(range(len(string_split(text, chr(10))))) AS i FROM benchmark WHERE text IS NOT NULL) WHERE q <> '')", None, None))
 def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 40 characters of every benchmark item, searched in all documents."""
-    first = F.substring(F.split("text", "\n", -1)[0], 1, 40)
-    queries = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select(F.col("item_id").alias("query_id"), first.alias("query"))
-    return search_many(index_of(spark, sf_dir), queries, limit=1_000_000, within_file=1_000_000)
+    """Every line of every benchmark item, searched in all documents, without limits."""
+    each = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "query"))
+    queries = each.where("query != ''").select((F.col("item_id") * 1000 + F.col("i")).alias("query_id"), "query")
+    return search_many(index_of(spark, sf_dir), queries, limit=None, within_file=None)
 
 
 @query(f"WITH {LINES} SELECT l.file_id, count(*) AS n_lines, count(*) FILTER (WHERE contains(line, 'the')) AS n_matches, max(quality) AS quality FROM lines l LEFT JOIN labels b ON b.doc_id = l.file_id GROUP BY l.file_id")
@@ -376,11 +377,12 @@ _corpus_search("benchmark_search", "benchmark", "the", "SELECT item_id AS file_i
 _UTF8_HEX = "(0[1-9A-F]|[1-7][0-9A-F]|[CD][0-9A-F]{F}|E[0-9A-F]{F}{F}|F[0-7]{F}{F}{F}|F[89AB]{F}{F}{F}{F}|F[CD]{F}{F}{F}{F}{F})*".replace("{F}", "[89AB][0-9A-F]")
 
 
-@query(f"SELECT doc_id, regexp_full_match(substr(h, 1, 2 * k), '{_UTF8_HEX}') AS cut_end, regexp_full_match(substr(h, 2 * k + 1, 100), '{_UTF8_HEX}') AS cut_start FROM (SELECT doc_id, hex(encode(text)) AS h, doc_id % 40 + 1 AS k FROM documents WHERE text IS NOT NULL)")
+@query(f"SELECT doc_id, regexp_full_match(substr(h, 1, greatest(length(h) - 2 * k, 0)), '{_UTF8_HEX}') AS cut_end, regexp_full_match(substr(h, 2 * k + 1), '{_UTF8_HEX}') AS cut_start FROM (SELECT doc_id, hex(encode(text)) AS h, doc_id % 3 + 1 AS k FROM documents WHERE text IS NOT NULL)")
 def utf8_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts cut inside characters, on either side."""
-    b, k = F.col("text").cast("binary"), (F.col("doc_id") % 40 + 1).cast("int")
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", X.lenient_utf8(F.substring(b, F.lit(1), k)).alias("cut_end"), X.lenient_utf8(F.substring(b, k + 1, F.lit(50))).alias("cut_start"))
+    """Whole texts but for one to three bytes, which may be parts of characters, on either side."""
+    b, k = F.col("text").cast("binary"), (F.col("doc_id") % 3 + 1).cast("int")
+    n = F.octet_length("text")
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", X.lenient_utf8(F.substring(b, F.lit(1), F.greatest(n - k, F.lit(0)))).alias("cut_end"), X.lenient_utf8(F.substring(b, k + 1, n)).alias("cut_start"))
 
 
 @query("SELECT doc_id, strlen(text) > 0 AND regexp_replace(text, '\\n', '', 'g') <> '' AS indexable FROM documents WHERE text IS NOT NULL")
@@ -388,22 +390,22 @@ def indexable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", X.content_indexable(F.col("text").cast("binary")).alias("indexable"))
 
 
-@query(f"""WITH {LINES} SELECT line_id, lpad(printf('%X', line_id), 16, '0') AS big_endian, lpad(hex(encode(left(line, 2))), greatest(16, strlen(left(line, 2)) * 2)::INTEGER, '0') AS padded, ((8 - strlen(line) % 8) % 8)::INTEGER AS padding,
+@query(f"""WITH {LINES} SELECT line_id, lpad(printf('%X', line_id), 16, '0') AS big_endian, lpad(hex(encode(line)), greatest(16, strlen(line) * 2)::INTEGER, '0') AS padded, ((8 - strlen(line) % 8) % 8)::INTEGER AS padding,
 CASE WHEN strlen(line) = 0 THEN 0 ELSE (2 ** ceil(log2(strlen(line))))::BIGINT END AS next_power FROM lines""")
 def codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.octet_length("line")
     return index_of(spark, sf_dir).lines.select(
-        "line_id", F.hex(N.big_endian(F.col("line_id"))).alias("big_endian"), F.hex(N.pad_key(F.substring("line", 1, 2).cast("binary"))).alias("padded"),
+        "line_id", F.hex(N.big_endian(F.col("line_id"))).alias("big_endian"), F.hex(N.pad_key(F.col("line").cast("binary"))).alias("padded"),
         N.word_padding(n).cast("int").alias("padding"), N.next_power_of_two(n.cast("bigint")).alias("next_power"),
     )
 
 
-@query(f"SELECT page_id, {_PATH} LIKE 'https://%' AND ({_PATH} = 'https://' OR true) AS confined, substr(md5(html), 1, 5) AS version, sha1(url || '-' || page_id) AS cache_key, array_to_string(list_transform(range(1, least(length(url), 12) + 1), lambda i: '&#x' || lower(printf('%X', unicode(substr(url, i, 1)))) || ';'), '') AS entities FROM pages WHERE url IS NOT NULL")
+@query(f"SELECT page_id, {_PATH} LIKE 'https://%' AS confined, substr(md5(html), 1, 5) AS version, sha1(url || '-' || page_id) AS cache_key, array_to_string(list_transform(range(1, length(url) + 1), lambda i: '&#x' || lower(printf('%X', unicode(substr(url, i, 1)))) || ';'), '') AS entities FROM pages WHERE url IS NOT NULL")
 def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
     return table(spark, sf_dir, "pages").where("url IS NOT NULL").select(
         "page_id", X.confined(F.regexp_replace(url, "[?#].*$", ""), "https:/").alias("confined"), X.static_version(F.col("html").cast("binary")).alias("version"),
-        X.cache_key(url, F.col("page_id")).alias("cache_key"), X.entities(F.substring(url, 1, 12)).alias("entities"),
+        X.cache_key(url, F.col("page_id")).alias("cache_key"), X.entities(url).alias("entities"),
     )
 
 

@@ -1,4 +1,4 @@
-"""Command line: python -m linelens.cli index|search|stats|fsck|inspect ..."""
+"""Command line: python -m linelens.cli index|search|stats|fsck|inspect|serve|bench ..."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from .operators import results as R
 from .plans import tools
 from .plans.index import build_tree_index, open_index
 from .plans.search import search, search_matches
+from .plans.server import load_test, make_server
+from .plans.service import Service
 from .schema import SearchRequest
 
 
@@ -32,8 +34,15 @@ def parser() -> argparse.ArgumentParser:
     find.add_argument("--offset", type=int, default=0)
     find.add_argument("--no-print", action="store_true", help="print the number of results only")
     find.add_argument("--color", action="store_true")
-    for name in ("stats", "fsck", "inspect"):
+    for name in ("stats", "fsck", "inspect", "serve", "bench"):
         sub.add_parser(name).add_argument("--db-path", required=True)
+    sub.choices["inspect"].add_argument("--shard", type=int, help="one shard only")
+    sub.choices["serve"].add_argument("--host", default="127.0.0.1")
+    sub.choices["serve"].add_argument("--port", type=int, default=8080)
+    sub.choices["bench"].add_argument("queries", help="a file with a term on each line; # begins a comment")
+    sub.choices["bench"].add_argument("--clients", type=int, default=1)
+    sub.choices["bench"].add_argument("--iterations", type=int, help="searches; by default each beginning once")
+    sub.choices["bench"].add_argument("--url", help="load this server instead of the index itself")
     return p
 
 
@@ -62,9 +71,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for row in rows:
             print(row["check"], row["violations"])
         return int(any(r["violations"] for r in rows))
+    elif args.command == "serve":
+        make_server(Service(index.warm()), args.host, args.port).serve_forever()
+    elif args.command == "bench":
+        with open(args.queries, encoding="utf-8") as f:
+            terms = f.read().splitlines()
+        if args.url:
+            for r in load_test(args.url, terms, clients=args.clients):
+                print(f"{r['query']}\t{r['status']}\t{r['num_results']}\t{r['ms']:.0f} ms")
+        else:
+            got = tools.bench_clients(index.warm(), terms, clients=args.clients, iterations=args.iterations)
+            print(f"{got['searches']} searches, {got['ms_per_query']:.2f} ms per query, {got['queries_per_second']:.2f} queries per second")
     else:
         tools.inspect_config(index).show(truncate=False)
-        tools.inspect_shards(index).orderBy("shard").show(truncate=False)
+        tools.inspect_shards(index, args.shard).orderBy("shard").show(truncate=False)
     return 0
 
 

@@ -50,8 +50,8 @@ def from_big_endian(b: Column) -> Column:
 
 
 def pad_key(b: Column, width: int = 8) -> Column:
-    """Bytes filled with NUL on the left."""
-    return F.lpad(b, width, b"\x00")
+    """Bytes filled with NUL on the left; longer ones stay as they are."""
+    return F.when(F.octet_length(b) >= width, b).otherwise(F.lpad(b, width, b"\x00"))
 
 
 def word_padding(n: Column, word: int = 8) -> Column:

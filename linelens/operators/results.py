@@ -6,21 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def limit_matches(matches: DataFrame, *, limit: int, within_file: int, offset: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+def limit_matches(matches: DataFrame, *, limit: int | None, within_file: int | None, offset: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """Of the matches (file_id, file_line), the first of the files with the smallest ids.
 
     Keeps `limit` files behind `offset` (for each value of `by`, if given) and the first
-    `within_file` lines of each.
+    `within_file` lines of each. None is no limit, and then nothing is ranked for it.
     """
     first = Window.partitionBy(*by, "file_id").orderBy("file_line")
     if by:
         # Lines first, which leaves a few of each file; then files, of which each task hands on the first ones.
-        some = matches.withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= within_file)
-        ranked = some.withColumn("__r", F.dense_rank().over(Window.partitionBy(*by).orderBy("file_id"))).where(F.col("__r") <= offset + limit)
+        some = matches if within_file is None else matches.withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= within_file)
+        if limit is None and not offset:
+            return some.drop("__rn")
+        ranked = some.withColumn("__r", F.dense_rank().over(Window.partitionBy(*by).orderBy("file_id")))
+        ranked = ranked if limit is None else ranked.where(F.col("__r") <= offset + limit)
         return ranked.where(F.col("__r") > offset).drop("__rn", "__r")
-    # A global rank would bring all rows to one task; this keeps the best of each.
-    kept = matches.select("file_id").distinct().orderBy("file_id").offset(offset).limit(limit)
-    some = matches.join(kept, "file_id", "left_semi")
+    some = matches
+    if limit is not None or offset:
+        # A global rank would bring all rows to one task; this keeps the best of each.
+        kept = matches.select("file_id").distinct().orderBy("file_id").offset(offset)
+        some = matches.join(kept if limit is None else kept.limit(limit), "file_id", "left_semi")
+    if within_file is None:
+        return some
     return some.withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= within_file).drop("__rn")
 
 
@@ -64,8 +71,8 @@ def nested(shown: DataFrame, files: DataFrame, *, by: tuple[str, ...] = ()) -> D
 
 
 def result_count(matches: DataFrame) -> DataFrame:
-    """Number of files with matches."""
-    return matches.agg(F.countDistinct("file_id").alias("n_files"))
+    """Numbers of files with matches and of matches."""
+    return matches.agg(F.countDistinct("file_id").alias("n_files"), F.count(F.lit(1)).alias("n_matches"))
 
 
 def overflow(matches: DataFrame, limit: int) -> DataFrame:

@@ -104,7 +104,7 @@ def search_matches(index: Index, request: SearchRequest, *, plan: Plan | None =
     """The matches that a request's limits leave."""
     plan = plan or make_plan(index, request.query)
     hits = matching_lines(index, request.query, plan=plan, short_lines=short_lines)
-    if plan.kind in ("scan", "fragment"):
+    if plan.kind in ("scan", "fragment") and request.limit is not None:
         hits = _first_range(index, hits, request.offset + request.limit)
     return R.limit_matches(hits, limit=request.limit, within_file=request.within_file_limit, offset=request.offset)
 
@@ -113,7 +113,7 @@ def search(index: Index, request: SearchRequest | str, *, around: int = 1, **opt
     """Result lines with context, in order of files and lines: file_id, filename, lang, line_num, line_text, is_matched_line, overwritten_flag, island."""
     request = SearchRequest(request) if isinstance(request, str) else request
     found = search_matches(index, request, **options).select(*IDS)
-    if request.limit * request.within_file_limit <= MOST_IDS:
+    if None not in (request.limit, request.within_file_limit) and request.limit * request.within_file_limit <= MOST_IDS:
         # A file's lines have consecutive ids: a match's neighbours, and one more to tell a final empty line.
         hits = [tuple(r) for r in found.collect()]
         found = _local(index.spark, hits, **{c: pa.int64() for c in IDS})
@@ -134,7 +134,7 @@ def search_nested(index: Index, request: SearchRequest | str, *, around: int = 1
     return R.nested(shown, index.files)
 
 
-def search_many(index: Index, queries: DataFrame, *, limit: int = 100, within_file: int = 10, offset: int = 0, rarest: int = RAREST) -> DataFrame:
+def search_many(index: Index, queries: DataFrame, *, limit: int | None = 100, within_file: int | None = 10, offset: int = 0, rarest: int = RAREST) -> DataFrame:
     """A batch of (query_id, query): (query_id, query, line_id, file_id, file_line, line), in no order.
 
     Every query's n-grams are ranked by their counts, the rarest joined with the
@@ -144,7 +144,7 @@ def search_many(index: Index, queries: DataFrame, *, limit: int = 100, within_fi
     A batch of up to MOST_PLANNED queries is planned on the driver, a larger one in a join.
     """
     queries = queries.where(F.col("query").isNotNull()).select("query_id", "query")
-    wanted = offset + limit
+    wanted = MOST_PROBED if limit is None else offset + limit
     limits = {"within_file": within_file, "by": ("query_id",)}
     every = index.manifest.n_shards
     some = queries.limit(MOST_PLANNED + 1).collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Iterator
 
@@ -18,9 +19,9 @@ def inspect_config(index: Index) -> DataFrame:
     return index.spark.read.json(f"{index.path}/manifest")
 
 
-def inspect_shards(index: Index) -> DataFrame:
-    """Keys and sizes of each shard of the postings."""
-    return shard_summary(index.postings)
+def inspect_shards(index: Index, shard: int | None = None) -> DataFrame:
+    """Keys and sizes of each shard of the postings, or of one."""
+    return shard_summary(index.postings if shard is None else index.postings.where(F.col("shard") == shard))
 
 
 def shard_summary(postings: DataFrame) -> DataFrame:
@@ -87,6 +88,30 @@ def bench(spark: SparkSession, index: Index, terms: list[str], *, limit: int = 1
     return {"searches": len(own), "matches": n, "seconds": took, "ms_per_query": 1000 * took / max(1, len(own)), "queries_per_second": len(own) / took}
 
 
+def bench_clients(index: Index, terms: list[str], *, clients: int = 1, iterations: int | None = None, limit: int = 10, within_file: int = 10) -> dict[str, float]:
+    """Single searches by several clients at once, over and over through the workload: searches, ms of one, queries a second."""
+    from ..schema import SearchRequest
+    from .search import search_matches
+
+    own = list(prefixes_of(terms))
+    n = len(own) if iterations is None else iterations
+    runs: list[tuple[int, float]] = []
+
+    def run(k: int) -> None:
+        began, done = time.perf_counter(), 0
+        for i in range(k, n, clients):
+            search_matches(index, SearchRequest(own[i % len(own)], limit, within_file)).count()
+            done += 1
+        runs.append((done, 1000 * (time.perf_counter() - began)))
+
+    threads = [threading.Thread(target=run, args=(k,)) for k in range(clients)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    return bench_summary(index.spark.createDataFrame(runs, "n long, ms double")).first().asDict()
+
+
 def bench_summary(runs: DataFrame) -> DataFrame:
     """(searches, ms_per_query, queries_per_second) of runs (n, ms) by several clients at once."""
     return runs.agg(F.sum("n").cast("bigint").alias("searches"), (F.sum("ms") / F.sum("n")).alias("ms_per_query"), (1000.0 * F.sum("n") / F.max("ms")).alias("queries_per_second"))

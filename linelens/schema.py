@@ -22,15 +22,15 @@ RESULT = "filename string, lang string, lines array<struct<line_num:bigint,line_
 
 @dataclass(frozen=True)
 class SearchRequest:
-    """A literal query and its limits; a batch of them is a DataFrame with these columns."""
+    """A literal query and its limits; None is no limit."""
 
     query: str
-    limit: int = 100
-    within_file_limit: int = 10
+    limit: int | None = 100
+    within_file_limit: int | None = 10
     offset: int = 0
 
     def __post_init__(self) -> None:
-        if self.limit < 0 or self.within_file_limit < 0 or self.offset < 0:
+        if min(self.limit or 0, self.within_file_limit or 0, self.offset) < 0:
             raise ValueError("limits and offset can't be negative")
 
 

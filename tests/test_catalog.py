@@ -41,3 +41,11 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name, kind", [("License", "ngrams"), ("rights reserved", "ngrams"), ("éau", "ngrams"), ("ation", "scan"), ("th", "fragment"), ("qzx", "empty")])
+def test_plan_kinds(spark, name, kind):
+    """The registered searches take the paths that they are named for."""
+    from linelens.plans.search import make_plan
+
+    assert make_plan(catalog.index_of(spark, SF), name).kind == kind

@@ -269,3 +269,104 @@ def test_service(index):
     for bad in ("/etc/passwd", "../x"):
         with pytest.raises(Forbidden):
             service.raw_file(bad)
+
+
+def test_few_ranges():
+    from linelens.plans.index import few_ranges
+
+    rng = random.Random(5)
+    assert few_ranges([]) == [] and few_ranges([4], 1) == [(3, 5)] and few_ranges([1, 2, 3, 9]) == [(1, 3), (9, 9)]
+    for _ in range(200):
+        ids, around, most = [rng.randrange(500) for _ in range(rng.randrange(1, 60))], rng.randrange(3), rng.randrange(1, 9)
+        got = few_ranges(ids, around, most)
+        assert len(got) <= most and all(b < c for (_, b), (c, _) in zip(got, got[1:]))
+        assert all(any(a <= i + k <= b for a, b in got) for i in ids for k in (-around, around))
+        if len(set(ids)) <= most:
+            assert sum(b - a + 1 for a, b in got) == len({i + k for i in ids for k in range(-around, around + 1)})
+
+
+def test_few_row_groups_are_read(spark, tmp_path):
+    """An indexed search filters lines by folder and id before it reads them; context reads the matches' neighbours."""
+    rows = [(i, "d", f"f{i}", "", "\n".join(f"line {i} {k}" + (" needle" if (i, k) == (40, 3) else "") for k in range(50))) for i in range(100)]
+    index = build_index(spark.createDataFrame(rows, "file_id long, directory string, filename string, lang string, content string"), str(tmp_path / "i"), lines_per_shard=2)
+    assert index.table("lines").select("folder").distinct().count() > 5
+    hits = matching_lines(index, "needle")
+    assert make_plan(index, "needle").kind == "ngrams" and found(hits) == [40 * 50 + 3]
+    plan = hits._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(folder" in plan and "EqualTo(line_id,2003)" in plan
+    got = [(r["line_num"], r["is_matched_line"]) for r in search(index, "needle").collect()]
+    assert got == [(3, False), (4, True), (5, False)]
+
+
+def test_no_limits(index):
+    everything = sorted(r["line_id"] for r in matching_lines(index, "foo").collect())
+    request = SearchRequest("foo", None, None)
+    assert found(search_matches(index, request)) == everything
+    assert [r["is_matched_line"] for r in search(index, request).collect()].count(True) == len(everything)
+    assert sorted(r["line_id"] for r in search_many(index, index.spark.createDataFrame([(1, "foo")], "query_id long, query string"), limit=None, within_file=None).collect()) == everything
+    with pytest.raises(ValueError):
+        SearchRequest("foo", -1)
+
+
+def test_results_are_ordered(index):
+    got = [(r["file_id"], r["line_num"]) for r in search(index, "foo").collect()]
+    assert got == sorted(got) and len(got) > 3
+
+
+def test_other_folders_are_not_replaced(spark, tmp_path):
+    (tmp_path / "precious").mkdir()
+    (tmp_path / "precious" / "file").write_text("x")
+    corpus = spark.createDataFrame([(0, "d", "f", "", "abc")], "file_id long, directory string, filename string, lang string, content string")
+    with pytest.raises(FileExistsError):
+        build_index(corpus, str(tmp_path / "precious"))
+    assert (tmp_path / "precious" / "file").exists()
+
+
+def test_server(index):
+    import gzip
+    import json
+    import threading
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    from linelens.plans.server import load_test, make_server, parse_query
+    from linelens.plans.service import Service
+
+    assert parse_query("q=+a%20b+&limit=20&offset=3") == ("a b", 20, 3) and parse_query("query=x") == ("x", 10, 0) and parse_query("") == ("", 10, 0)
+    server = make_server(Service(index), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+
+    def get(path, method="GET", data=None, **headers):
+        try:
+            with urlopen(Request(base + path, method=method, data=data, headers=headers)) as r:
+                return r.status, r.read(), r.headers
+        except HTTPError as e:
+            return e.code, e.read(), e.headers
+
+    try:
+        status, body, _ = get("/api/search?query=foo&limit=1")
+        assert status == 200 and json.loads(body)["results"] and not json.loads(body)["overflow"]
+        name = json.loads(body)["results"][0]["filename"]
+        assert get("/api/search?query=foo&limit=101")[0] == 403 and get("/api/search?query=foo&limit=x")[0] == 400 and get("/nothing")[0] == 404
+        status, body, _ = get("/?q=foo")
+        assert status == 200 and b"<strong>foo</strong>" in body and get("/")[0] == 200
+        status, text, headers = get(f"/:{name}")
+        assert status == 200 and b"foo" in text and headers["Content-Type"].startswith("text/plain")
+        assert get(f"/:{name}", **{"If-Modified-Since": headers["Last-Modified"]})[0] == 304
+        assert get(f"/:{name}", method="HEAD")[1] == b"" and get("/:../x")[0] == 403 and get("/:no/file")[0] == 404
+        status, page, headers = get(f"/view/{name}?hl=1")
+        assert status == 200 and headers["Content-Encoding"] == "gzip" and b"id=line-1 class=marked" in gzip.decompress(page)
+        status, body, _ = get("/rpc", "POST", json.dumps({"request_num": 7, "search_query": {"query": "foo"}}).encode())
+        assert status == 200 and json.loads(body)["request_num"] == 7 and get("/rpc", "POST", b"{}")[0] == 403
+        runs = load_test(base, ["fo", "#c"], clients=2)
+        assert [(r["query"], r["status"]) for r in runs] == [("f", 200), ("fo", 200)] and all(r["ms"] > 0 for r in runs)
+    finally:
+        server.shutdown()
+
+
+def test_bench_clients(index):
+    from linelens.plans import tools
+
+    got = tools.bench_clients(index, ["foo"], clients=2, iterations=4)
+    assert got["searches"] == 4 and got["ms_per_query"] > 0 and got["queries_per_second"] > 0
