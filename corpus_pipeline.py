@@ -46,7 +46,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each one's result is written and read again."""
+    """Apply the stages to documents; each one's result is written and read again.
+
+    Null and empty texts pass the filters (as copies of each other) and are never mixed in;
+    null ids are ids like any others. Repeated rows are copies, of which one stays. Empty
+    tables give an empty result with the same columns; other columns come along, and
+    those that have the name of a column of the last stage are renamed there.
+    """
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES:
