@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, content_key, packed, unpacked
+from .common import Scratch, content_key, packed
 
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 16
@@ -123,7 +123,7 @@ def assign_shards(
     Returns id, size (UTF-8 bytes of the text plus 16), text_crc32, law ('bytes'),
     shard, slot (gapless from 0 in each shard) and grown_shard (null: the law is not
     'key'). With `carry` the input's other columns follow; one that has the name of
-    a result column is left out.
+    a result column gets `_in` behind its name, once more if that is taken, too.
 
     Null texts have size 16 and a null crc32; they are one group, empty texts
     another. Rows with the same id are dealt like any others. An empty table gives an
@@ -151,7 +151,13 @@ def assign_shards(
     # Only counts meet here: n_shards * n_blocks rows.
     ahead = Window.partitionBy("__shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt(light).groupBy("__shard", "__block").agg(F.count(F.lit(1)).alias("__n")).select("__shard", "__block", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"))
-    more = [c for c in docs.columns if c not in out] if carry else []
+    more: dict[str, str] = {}
+    for c in docs.columns if carry else []:
+        if c != id_col:
+            name = c
+            while name in out or name in more.values() or (name != c and name in docs.columns):
+                name += "_in"
+            more[c] = name
     full = docs.select(*named, packed(docs)) if carry else light
     inside = Window.partitionBy("__shard", "__block").orderBy(id_col, "text_crc32", "size")
     return (
@@ -160,6 +166,6 @@ def assign_shards(
         .join(starts, ["__shard", "__block"])
         .select(
             id_col, "size", "text_crc32", F.lit("bytes").alias("law"), F.col("__shard").alias("shard"),
-            (F.col("__start") + F.col("__rn") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *unpacked(more),
+            (F.col("__start") + F.col("__rn") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *(F.col("__row").getField(c).alias(n) for c, n in more.items()),
         )
     )

@@ -92,7 +92,10 @@ def test_shards(docs, rows, options):
 
 def test_shards_carry_and_empty(docs, none):
     got = sharding.assign_shards(docs, 3, carry=True)
-    assert {"text", "lang", "source", "n_chars"} <= set(got.columns) and len(set(got.columns)) == len(got.columns)
+    assert {"text", "lang", "source", "n_chars", "size_in", "shard_in"} <= set(got.columns) and len(set(got.columns)) == len(got.columns)
+    assert {r["size_in"] for r in got.collect()} == {"s"} and {r["shard_in"] for r in got.collect()} == {"h"}
+    twice = sharding.assign_shards(docs.withColumn("size_in", F.lit(1)), 3, carry=True)
+    assert {"size_in", "size_in_in"} <= set(twice.columns)
     assert all(r["text"] is None or len(r["text"].encode()) + 16 == r["size"] for r in got.collect())
     assert sharding.assign_shards(none, 3).count() == 0
 

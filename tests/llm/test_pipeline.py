@@ -58,7 +58,7 @@ def test_stages(spark):
             label = brute_components([brute_fingerprint(r["text"]) for r in before])
             assert ids == sorted(min(before[i]["doc_id"] for i in np.flatnonzero(label == c)) for c in set(label))
         elif name == "decontamination":
-            assert ids == sorted(r["doc_id"] for r, w in zip(before, brute_contamination([r["text"] for r in before], items)) if not w[-1])
+            assert ids == sorted(r["doc_id"] for r, w in zip(before, brute_contamination([r["text"] for r in before], items)) if not w[4])
         elif name == "mixing":
             size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in before}
             source = {r["doc_id"]: r["source"] for r in before}
@@ -73,9 +73,27 @@ def test_stages(spark):
             assert all(taken.get(s, 0) <= t + max(size.values()) for s, t in targets.items())
         else:
             assert ids == sorted(r["doc_id"] for r in before)
-            assert set(columns) - {"size"} <= set(docs.columns)
+            assert set(columns) <= set(docs.columns)
 
 
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.agg(F.max("shard")).first()[0] <= 39
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Null and empty texts and ids, repeated rows, clashing columns, and tables without rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size string, __row string"
+    rows = [(i, f"words of text number {i} that go on for a while {'and on ' * i}", "en", "ab"[i % 2], 1, "s", "r") for i in range(30)]
+    rows += [(30, None, None, None, None, None, None), (31, "", "en", "a", 0, "s", "r"), (None, "without an id, this one", "en", "b", 1, "s", "r"), rows[3], rows[3]]
+    labels, items = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string")
+    for name, own in (("some", rows), ("none", [])):
+        spark.createDataFrame(own, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        items.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert {"doc_id", "text", "size", "size_in", "__row", "shard", "slot"} <= set(out.columns)
+        got = out.collect()
+        assert bool(got) == bool(own) and all(r["size_in"] == "s" and r["__row"] == "r" for r in got if r["text"])
+        slots = sorted((r["shard"], r["slot"]) for r in got)
+        assert all(b == (a[0], a[1] + 1) or (b[0] > a[0] and b[1] == 0) for a, b in zip(slots, slots[1:]))
