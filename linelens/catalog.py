@@ -44,7 +44,7 @@ def index_of(spark: SparkSession, sf_dir: str) -> Index:
     name = "".join(c if c.isalnum() else "_" for c in sf_dir)
     path = f"{shared_dir(spark)}/linelens/index-{spark.sparkContext.applicationId}-{name}"
     if not exists(spark, f"{path}/manifest"):
-        build_index(corpus(spark, sf_dir), path, vestibule=sf_dir, lines_per_shard=LINES_PER_SHARD)
+        build_index(corpus(spark, sf_dir), path, source_root=sf_dir, lines_per_shard=LINES_PER_SHARD)
     return open_index(spark, path)
 
 

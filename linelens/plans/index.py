@@ -94,7 +94,7 @@ def open_index(spark: SparkSession, path: str) -> Index:
     """A built index; one without a manifest isn't complete."""
     if not exists(spark, f"{path}/manifest"):
         raise FileNotFoundError(f"no complete index at {path}")
-    row = spark.read.schema("vestibule string, ngram_size int, state string, n_files long, n_lines long, n_ngrams long, n_shards long, lines_per_shard long").json(f"{path}/manifest").first()
+    row = spark.read.schema("source_root string, ngram_size int, state string, n_files long, n_lines long, n_ngrams long, n_shards long, lines_per_shard long").json(f"{path}/manifest").first()
     return Index(spark, path, Manifest(**row.asDict()))
 
 
@@ -108,14 +108,14 @@ def _prepare(spark: SparkSession, path: str, preserve: bool) -> None:
         delete(spark, path)
 
 
-def build_index(corpus: DataFrame, path: str, *, vestibule: str = "", preserve: bool = False, lines_per_shard: int = P.LINES_PER_SHARD, size: int = SIZE) -> Index:
+def build_index(corpus: DataFrame, path: str, *, source_root: str = "", preserve: bool = False, lines_per_shard: int = P.LINES_PER_SHARD, size: int = SIZE) -> Index:
     """Index a corpus of (file_id, directory, filename, lang, content string).
 
     An index that is there is replaced, unless `preserve` is set.
     """
     _prepare(corpus.sparkSession, path, preserve)
     files = corpus.select("file_id", "directory", "filename", "lang", F.lit(None).cast("timestamp").alias("time_indexed"), F.lit(None).cast("timestamp").alias("time_archive"))
-    return _write(corpus.sparkSession, files, L.with_line_ids(L.lines_of_text(corpus), L.counts_of_text(corpus)), path, vestibule, lines_per_shard, size)
+    return _write(corpus.sparkSession, files, L.with_line_ids(L.lines_of_text(corpus), L.counts_of_text(corpus)), path, source_root, lines_per_shard, size)
 
 
 def build_tree_index(spark: SparkSession, roots: str | list[str], path: str, *, preserve: bool = False, lines_per_shard: int = P.LINES_PER_SHARD, size: int = SIZE) -> Index:
@@ -135,7 +135,7 @@ def build_tree_index(spark: SparkSession, roots: str | list[str], path: str, *,
         delete(spark, scratch)
 
 
-def _write(spark: SparkSession, files: DataFrame, lines: DataFrame, path: str, vestibule: str, lines_per_shard: int, size: int) -> Index:
+def _write(spark: SparkSession, files: DataFrame, lines: DataFrame, path: str, source_root: str, lines_per_shard: int, size: int) -> Index:
     files.write.parquet(f"{path}/files")
     # Folders and files of some shards each, sorted by id, in small row groups: a lookup reads few of them.
     folder = F.floor(F.col("line_id") / (lines_per_shard * FOLDER_SHARDS)).cast("int").alias("folder")
@@ -149,8 +149,8 @@ def _write(spark: SparkSession, files: DataFrame, lines: DataFrame, path: str, v
     L.file_start_lines(lines).write.parquet(f"{path}/file_start_lines")
     sizes = lines.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("line_id"), F.lit(-1)).alias("last")).first()
     manifest = Manifest(
-        vestibule, size, "COMPLETE", spark.read.parquet(f"{path}/files").count(), sizes["n"],
+        source_root, size, "COMPLETE", spark.read.parquet(f"{path}/files").count(), sizes["n"],
         spark.read.parquet(f"{path}/ngram_counts").count(), sizes["last"] // lines_per_shard + 1, lines_per_shard,
     )
-    spark.createDataFrame([tuple(dataclasses.asdict(manifest).values())], "vestibule string, ngram_size int, state string, n_files long, n_lines long, n_ngrams long, n_shards long, lines_per_shard long").coalesce(1).write.json(f"{path}/manifest")
+    spark.createDataFrame([tuple(dataclasses.asdict(manifest).values())], "source_root string, ngram_size int, state string, n_files long, n_lines long, n_ngrams long, n_shards long, lines_per_shard long").coalesce(1).write.json(f"{path}/manifest")
     return Index(spark, path, manifest)

@@ -38,7 +38,7 @@ class SearchRequest:
 class Manifest:
     """What is known of a built index; written last, so that its presence means completeness."""
 
-    vestibule: str
+    source_root: str
     ngram_size: int = 3
     state: str = "COMPLETE"
     n_files: int = 0
