@@ -118,6 +118,13 @@ def build_index(corpus: DataFrame, path: str, *, source_root: str = "", preserve
     return _write(corpus.sparkSession, files, L.with_line_ids(L.lines_of_text(corpus), L.counts_of_text(corpus)), path, source_root, lines_per_shard, size)
 
 
+def build_lines_index(lines: DataFrame, files: DataFrame, path: str, *, source_root: str = "", preserve: bool = False, lines_per_shard: int = P.LINES_PER_SHARD, size: int = SIZE) -> Index:
+    """Index lines (file_id, file_line, phys_line, file_offset, line) that are there already, of files (file_id, directory, filename, lang)."""
+    _prepare(lines.sparkSession, path, preserve)
+    files = files.select("file_id", "directory", "filename", "lang", F.lit(None).cast("timestamp").alias("time_indexed"), F.lit(None).cast("timestamp").alias("time_archive"))
+    return _write(lines.sparkSession, files, L.with_line_ids(lines), path, source_root, lines_per_shard, size)
+
+
 def build_tree_index(spark: SparkSession, roots: str | list[str], path: str, *, preserve: bool = False, lines_per_shard: int = P.LINES_PER_SHARD, size: int = SIZE) -> Index:
     """Index source trees: files are numbered in the order of (canonical path, root, name)."""
     _prepare(spark, path, preserve)

@@ -247,6 +247,12 @@ def test_streaming(spark, tmp_path):
     assert merged_lines(spark, str(tmp_path / "out")).count() == 12
     counts = {bytes(r["ngram"]): r["count"] for r in merged_counts(spark, str(tmp_path / "out")).collect()}
     assert counts[b"foo"] == 6 and counts[b"lin"] == 6
+    from linelens.streaming.ingest import compact
+
+    built = compact(spark, str(tmp_path / "out"), str(tmp_path / "index"), lines_per_shard=5)
+    assert built.manifest.n_lines == 12 and built.manifest.n_files == 6
+    assert [(r["filename"], r["line_num"]) for r in search(built, "line 4").where("is_matched_line").collect()] == [("4", 1)]
+    assert {r["check"]: r["violations"] for r in tools.fsck(built).collect()} == dict.fromkeys([r["check"] for r in tools.fsck(built).collect()], 0)
 
 
 def test_service(index):
