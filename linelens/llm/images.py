@@ -7,13 +7,14 @@ one part for sure, others with a chance that falls with the bits. Two images are
 linked if enough of their matches agree on one turn, scale and shift, which holds for
 cropped, turned, resized and edited copies.
 
-Images with equal pixels count once. Buckets of a table with few images are compared
-pair by pair. In larger ones each class of images that are linked already is stood for
-by one keypoint, and all are compared with that of the class which comes first in the
-order of a seeded hash. This is repeated, each time in another order, until no class
-is linked anew, and pair by pair once few classes are left. So a pass has a few matches
-for each key, however large a group of copies is. What is found this way is measured
-against all pairs in the tests.
+Images with equal pixels count once. Two images of which any two keypoints match in a
+bucket are compared by all their keypoints. In buckets of many classes of linked images
+all first meet one keypoint of the class that comes first in the order of a seeded hash,
+so that a large group of copies becomes one class by a few matches for each key. This is
+repeated, each time in another order, as long as it halves what is left. Then all
+keypoints of different classes in a bucket meet, in buckets of any size: no pair of a
+bucket is left out but those of one class. What the tables find is measured against
+all pairs in the tests.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from .simhash import components
 BITS, PARTS, MOST_BITS, LEAST_MATCHES = 256, 6, 24, 5
 #: Keypoints of a tile at the first scales (the last number holds for all others), a tile's side, the scales' factor, steps of directions, and the reach of a patch.
 STRONGEST, TILE, FACTOR, TURNS, REACH = (12, 9, 7, 5, 4), 42, 1.25, 36, 10
-#: Classes up to which a bucket is compared pair by pair.
-FEW = 8
+#: Classes up to which a bucket is compared pair by pair at once, and keypoints of a block of a bucket.
+FEW, BLOCK = 8, 1000
 #: Cell of the vote on a shift, in pixels.
 SHIFT = 6
 HALVES = ("d0", "d1", "d2", "d3")
@@ -222,51 +223,86 @@ def _tokens(points: DataFrame, scratch: Scratch) -> DataFrame:
     return tokens
 
 
-def _standing(tokens: DataFrame) -> DataFrame:
-    """(__key, __class, p): one keypoint for each bucket and class, in buckets of two classes or more, with their number __n."""
-    one = tokens.groupBy("__key", "__class").agg(F.min("p").alias("p"))
-    counts = tokens.groupBy("__key").agg(F.count_distinct("__class").alias("__n")).where("__n > 1")
-    return one.join(counts, "__key")
+def _side(points: DataFrame, name: str) -> DataFrame:
+    return points.select(F.col("image_id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("point", "x", "y", "level", "turn", *HALVES)))
 
 
-def _side(standing: DataFrame, name: str) -> list[Column]:
-    return [F.col("p.image_id").alias(name), *(F.col(f"p.{c}").alias(f"{name}_{c}") for c in ("point", "x", "y", "level", "turn", *HALVES))]
+def _verified(candidates: DataFrame, points: DataFrame, most: int, least: int) -> DataFrame:
+    """The pairs (a, b) of candidates that are linked, by all keypoints of both images."""
+    matches = candidates.join(_side(points, "a"), "a").join(_side(points, "b"), "b").where(_close(most))
+    return _consensus(matches, least)
 
 
-def image_links(points: DataFrame, scratch: Scratch, *, most: int = MOST_BITS, least: int = LEAST_MATCHES, few: int = FEW) -> DataFrame:
-    """(u, root) of the classes of linked images; images without a link are left out."""
-    point = F.struct("image_id", "point", "x", "y", "level", "turn", *HALVES).alias("p")
-    tokens = _tokens(points, scratch).select("__key", F.col("image_id").alias("__class"), point)
-    found, roots = None, None
-    for seed in count():
-        standing = scratch.keep(_standing(tokens), "standing")
-        small, large = standing.where(F.col("__n") <= few), standing.where(F.col("__n") > few)
-        # Less than `few` pairs for each class.
-        pairs = _met(small.select("__key", F.col("__class").alias("__head"), "p"), small, most).where("__head < __class")
-        # Each class meets the bucket's first one. Votes of two images come from all buckets where either is the first.
-        heads = large.groupBy("__key").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "__class"), "__class", "p")).alias("h")).select("__key", F.col("h.__class").alias("__head"), F.col("h.p").alias("p"))
-        stars = _met(heads, large, most).where("__head != __class")
-        more = scratch.keep(_consensus(_ordered(pairs.unionByName(stars)), least), "links")
-        found = more if found is None else found.union(more)
-        if more.isEmpty():
-            return roots if roots is not None else components(found, scratch)
-        roots = components(found, scratch)
-        marked = large.join(roots.withColumnRenamed("u", "__class"), "__class", "left")
-        # Kept, as it is read twice.
-        tokens = scratch.keep(marked.select("__key", F.coalesce("root", "__class").alias("__class"), "p"), "marked")
+def _matching(met: DataFrame, most: int) -> DataFrame:
+    """Those of (pa, pb), keypoints of a bucket, that match and are of two images."""
+    differ = [F.bit_count(F.col(f"pa.{d}").bitwiseXOR(F.col(f"pb.{d}"))) for d in HALVES]
+    return met.where((F.col("pa.image_id") != F.col("pb.image_id")) & (sum(differ[1:], differ[0]) <= most))
+
+
+def _classed(tokens: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Tokens with the class of their image."""
+    if roots is None:
+        return tokens.withColumn("__class", F.col("p.image_id"))
+    known = tokens.join(roots.select(F.col("u").alias("__u"), F.col("root").alias("__root")), F.col("p.image_id") == F.col("__u"), "left")
+    return known.select("__key", "p", F.coalesce("__root", "p.image_id").alias("__class"))
+
+
+def _mixed(tokens: DataFrame, classes: int) -> DataFrame:
+    """Tokens in buckets of more than so many classes, with the bucket's largest class (__most), its tokens (__n) and those of other classes (__rest)."""
+    runs = tokens.groupBy("__key", "__class").agg(F.count(F.lit(1)).alias("c"))
+    buckets = runs.groupBy("__key").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("__n"), F.max(F.struct("c", "__class")).alias("m")).where(F.col("k") > classes)
+    return tokens.join(buckets.select("__key", "__n", (F.col("__n") - F.col("m.c")).alias("__rest"), F.col("m.__class").alias("__most")), "__key")
+
 
+def _stars(tokens: DataFrame, seed: int, most: int) -> DataFrame:
+    """(a, b): each image with one image of the classes that come first in its buckets, that of the first of them where keypoints match."""
+    first = F.min(F.struct(F.xxhash64(F.lit(seed), "__class").alias("c"), "__class", F.xxhash64(F.lit(seed), "p.image_id").alias("i"), "p")).alias("h")
+    heads = tokens.groupBy("__key").agg(first).select("__key", "h")
+    met = heads.join(tokens.select("__key", "__class", F.col("p").alias("pb")), "__key").where("h.__class != __class").select("h", F.col("h.p").alias("pa"), "pb")
+    order = F.struct("h.c", "h.i", "pa.image_id")
+    one = _matching(met, most).groupBy(F.col("pb.image_id").alias("b")).agg(F.min(order).alias("o"))
+    return one.select(F.least("o.image_id", "b").alias("a"), F.greatest("o.image_id", "b").alias("b")).distinct()
 
-def _met(heads: DataFrame, others: DataFrame, most: int) -> DataFrame:
-    """Matches of keypoints in the same bucket, a_* of heads and b_* of others."""
-    a, b = heads.select("__key", "__head", *_side(heads, "a")), others.select("__key", "__class", *_side(others, "b"))
-    return a.join(b, "__key").where((F.col("a") != F.col("b")) & _close(most))
 
+def _across(tokens: DataFrame, block: int, most: int) -> DataFrame:
+    """(a, b): all pairs of images of different classes of which two keypoints in a bucket match.
 
-def _ordered(matches: DataFrame) -> DataFrame:
-    """Matches with the smaller image as a."""
-    names = ("", "_point", "_x", "_y", "_level", "_turn")
-    swap = F.col("a") > F.col("b")
-    return matches.select(*(F.when(swap, F.col(f"{y}{c}")).otherwise(F.col(f"{x}{c}")).alias(f"{x}{c}") for x, y in ("ab", "ba") for c in names))
+    Those of the bucket's largest class aren't compared with each other, so the work is
+    at most some three times the pairs that there are. Buckets are cut into blocks by a
+    hash, so that no pair of blocks is large.
+    """
+    parts = lambda n: F.ceil(F.col(n) / block)
+    place = F.xxhash64("p.image_id", "p.point")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), parts(n) - 1))
+    a = tokens.where("__class != __most").select("__key", F.pmod(place, parts("__rest")).alias("__i"), every("__n").alias("__j"), F.col("__class").alias("__ca"), F.col("p").alias("pa"))
+    b = tokens.select("__key", every("__rest").alias("__i"), F.pmod(place, parts("__n")).alias("__j"), F.col("__class").alias("__cb"), "__most", F.col("p").alias("pb"))
+    met = a.join(b, ["__key", "__i", "__j"]).where("__ca != __cb AND (__cb = __most OR pa.image_id < pb.image_id)")
+    return _matching(met, most).select(F.least("pa.image_id", "pb.image_id").alias("a"), F.greatest("pa.image_id", "pb.image_id").alias("b")).distinct()
+
+
+def image_links(points: DataFrame, scratch: Scratch, *, most: int = MOST_BITS, least: int = LEAST_MATCHES, few: int = FEW, block: int = BLOCK) -> DataFrame:
+    """(u, root) of the classes of linked images; images without a link are left out."""
+    point = F.struct("image_id", "point", *HALVES).alias("p")
+    tokens = _tokens(points, scratch).select("__key", point)
+    found, roots, before = None, None, None
+    large = tokens
+    for seed in count():
+        large = scratch.keep(_mixed(_classed(large, roots), few).select("__key", "__class", "p", "__n", "__rest"), "large")
+        # Pairs that are left to compare: stars go on as long as each pass halves them.
+        pairs = large.agg(F.sum("__rest")).first()[0]
+        if pairs is None or before is not None and 2 * pairs > before:
+            break
+        before = pairs
+        more = scratch.keep(_verified(scratch.keep(_stars(large, seed, most), "candidates"), points, most, least), "links")
+        if more.isEmpty():
+            break
+        found = more if found is None else found.union(more)
+        roots = components(found, scratch)
+        large = large.select("__key", "p")
+    # Whatever the stars have left: all pairs of images of different classes that meet in a bucket.
+    met = scratch.keep(_across(_mixed(_classed(tokens, roots), 1), block, most), "candidates")
+    rest = scratch.keep(_verified(met, points, most, least), "links")
+    return components(rest if found is None else found.union(rest), scratch)
 
 
 def copies(images: DataFrame, *, id_col: str = "image_id", most: int = MOST_BITS, least: int = LEAST_MATCHES) -> DataFrame:

@@ -953,6 +953,37 @@ def test_image_recall(spark):
     assert recall >= 0.9 and np.mean(list(by_kind.values())) >= 0.9
 
 
+def test_image_links_in_large_buckets(spark, tmp_path):
+    """All links come out of buckets of many unlike images, of several keypoints of an image and of classes of several images."""
+    rng = np.random.RandomState(4)
+    word = lambda: [int(x) for x in rng.randint(-(1 << 63), 1 << 63, 4)]
+    parts = [rng.randint(0, 1 << 41) for _ in range(5)]
+    spots = [(100 * j, 37 * j) for j in range(20)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    meet = lambda w, j: [signed(int(parts[j]) << 22 | w[0] & (1 << 22) - 1), *w[1:]]
+    # One bit of each part but the first.
+    near = lambda w: [w[0] ^ 1, w[1] ^ (1 << 20), w[2] ^ (1 << 40 | 1 << 10), w[3] ^ (1 << 30)]
+    pictures = {i: [(j, spots[j], meet(word(), j)) for j in range(5)] for i in range(40)}
+    for a, b in ((11, 12), (25, 31)):
+        pictures[b] = [(j, at, near(w)) for j, at, w in pictures[a]]
+    # Two keypoints in each bucket, the later ones linked.
+    pictures[50] = [(j, spots[j], meet(word(), j % 5)) for j in range(10)]
+    pictures[51] = [(j, at, near(w)) for j, at, w in pictures[50][5:]]
+    # Linked by rare keypoints to an image that is linked to a third one in large buckets.
+    pictures[60] = [(j, spots[j], meet(word(), j % 5) if j < 5 else word()) for j in range(10)]
+    pictures[61] = [(j, spots[j], meet(word(), j % 5)) for j in range(5)] + pictures[60][5:]
+    pictures[62] = [(j, at, near(w)) for j, at, w in pictures[61][:5]]
+    rows = [(i, j, float(x), float(y), 0, 0, *w) for i, points in pictures.items() for j, (x, y), w in points]
+    scratch = Scratch(spark, "links")
+    columns = [[np.array([p[0] for p in points])] + [np.array([p[1][k] for p in points], np.float32) for k in (0, 1)] + [np.zeros(len(points), np.int64)] * 2 + [np.array([p[2][k] for p in points], np.int64) for k in range(4)] for points in pictures.values()]
+    ids = list(pictures)
+    links = {(ids[i], ids[j]) for i, j in brute_image_links(columns)}
+    assert links == {(11, 12), (25, 31), (50, 51), (60, 61), (61, 62)}
+    for more in ({}, {"block": 7}, {"few": 1000}):
+        got = images.image_links(scratch.keep(spark.createDataFrame(rows, images.POINTS), "points"), scratch, **more).collect()
+        assert {(r["root"], r["u"]) for r in got} == {(11, 12), (25, 31), (50, 51), (60, 61), (60, 62)}, more
+
+
 def test_small_crops_of_large_images(spark):
     """A crop of a twelfth of an image is linked with it, turned or not; other images aren't."""
     rng = np.random.RandomState(8)
