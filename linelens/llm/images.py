@@ -8,13 +8,14 @@ linked if enough of their matches agree on one turn, scale and shift, which hold
 cropped, turned, resized and edited copies.
 
 Images with equal pixels count once. Two images of which any two keypoints match in a
-bucket are compared by all their keypoints. In buckets of many classes of linked images
-all first meet one keypoint of the class that comes first in the order of a seeded hash,
-so that a large group of copies becomes one class by a few matches for each key. This is
-repeated, each time in another order, as long as it halves what is left. Then all
-keypoints of different classes in a bucket meet, in buckets of any size: no pair of a
-bucket is left out but those of one class. What the tables find is measured against
-all pairs in the tests.
+bucket are compared by all their keypoints. In large buckets of different classes of linked
+images all first meet one keypoint of the class that leads there, the largest or else the
+last in the order of a seeded hash, and each image is compared with one image of a leading
+class, so that a large group of copies becomes one class, and images linked to some of it
+come into it, by a few comparisons for each. This is repeated, each time in another order,
+until two passes in a row take less than a quarter of what is left. Then all keypoints of
+different classes in a bucket meet, in buckets of any size: no pair of a bucket is left out
+but those of one class. What the tables find is measured against all pairs in the tests.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from .simhash import components
 BITS, PARTS, MOST_BITS, LEAST_MATCHES = 256, 6, 24, 5
 #: Keypoints of a tile at the first scales (the last number holds for all others), a tile's side, the scales' factor, steps of directions, and the reach of a patch.
 STRONGEST, TILE, FACTOR, TURNS, REACH = (12, 9, 7, 5, 4), 42, 1.25, 36, 10
-#: Classes up to which a bucket is compared pair by pair at once, and keypoints of a block of a bucket.
+#: Keypoints up to which a bucket is compared pair by pair at once, and those of a block of a bucket.
 FEW, BLOCK = 8, 1000
 #: Cell of the vote on a shift, in pixels.
 SHIFT = 6
@@ -247,21 +248,29 @@ def _classed(tokens: DataFrame, roots: DataFrame | None) -> DataFrame:
     return known.select("__key", "p", F.coalesce("__root", "p.image_id").alias("__class"))
 
 
-def _mixed(tokens: DataFrame, classes: int) -> DataFrame:
-    """Tokens in buckets of more than so many classes, with the bucket's largest class (__most), its tokens (__n) and those of other classes (__rest)."""
-    runs = tokens.groupBy("__key", "__class").agg(F.count(F.lit(1)).alias("c"))
-    buckets = runs.groupBy("__key").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("__n"), F.max(F.struct("c", "__class")).alias("m")).where(F.col("k") > classes)
-    return tokens.join(buckets.select("__key", "__n", (F.col("__n") - F.col("m.c")).alias("__rest"), F.col("m.__class").alias("__most")), "__key")
+def _mixed(tokens: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """Tokens of buckets of two classes and more, and of more than `most` tokens.
+
+    With the bucket's largest class (__most), its tokens (__n) and those of other classes
+    (__rest), and the class that leads (__lead) by its weight (__weight): a class of several
+    images weighs as much as it has tokens there, others one, and a seeded hash decides.
+    """
+    image = F.col("p.image_id")
+    runs = tokens.groupBy("__key", "__class").agg(F.count(F.lit(1)).alias("c"), F.when(F.min(image) < F.max(image), F.count(F.lit(1))).otherwise(1).alias("w"))
+    lead = F.max(F.struct("w", F.xxhash64(F.lit(seed), "__class").alias("h"), "__class")).alias("l")
+    buckets = runs.groupBy("__key").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("__n"), F.max(F.struct("c", "__class")).alias("m"), lead).where((F.col("k") > 1) & (F.col("__n") > most))
+    return tokens.join(buckets.select("__key", "__n", (F.col("__n") - F.col("m.c")).alias("__rest"), F.col("m.__class").alias("__most"), F.col("l.__class").alias("__lead"), F.col("l.w").alias("__weight")), "__key")
 
 
 def _stars(tokens: DataFrame, seed: int, most: int) -> DataFrame:
-    """(a, b): each image with one image of the classes that come first in its buckets, that of the first of them where keypoints match."""
-    first = F.min(F.struct(F.xxhash64(F.lit(seed), "__class").alias("c"), "__class", F.xxhash64(F.lit(seed), "p.image_id").alias("i"), "p")).alias("h")
-    heads = tokens.groupBy("__key").agg(first).select("__key", "h")
-    met = heads.join(tokens.select("__key", "__class", F.col("p").alias("pb")), "__key").where("h.__class != __class").select("h", F.col("h.p").alias("pa"), "pb")
-    order = F.struct("h.c", "h.i", "pa.image_id")
-    one = _matching(met, most).groupBy(F.col("pb.image_id").alias("b")).agg(F.min(order).alias("o"))
-    return one.select(F.least("o.image_id", "b").alias("a"), F.greatest("o.image_id", "b").alias("b")).distinct()
+    """(a, b): each image with one image of the classes that lead its buckets, of the heaviest of them where keypoints match that with the most matches."""
+    image = F.xxhash64(F.lit(seed), "p.image_id").alias("i")
+    heads = tokens.where("__class = __lead").groupBy("__key").agg(F.min(F.struct(image, "p")).alias("h"))
+    met = heads.join(tokens.where("__class != __lead").select("__key", "__weight", "__lead", F.col("p").alias("pb")), "__key").select("__weight", "__lead", F.col("h.i").alias("i"), F.col("h.p").alias("pa"), "pb")
+    ways = _matching(met, most).groupBy(F.col("pb.image_id").alias("b"), F.col("pa.image_id").alias("a"), "__lead", "i").agg(F.max("__weight").alias("w"), F.count(F.lit(1)).alias("n"))
+    order = F.struct("w", "n", F.xxhash64(F.lit(seed), "__lead").alias("c"), "i", "a")
+    one = ways.groupBy("b").agg(F.max(order).alias("o"))
+    return one.select(F.least("o.a", "b").alias("a"), F.greatest("o.a", "b").alias("b")).distinct()
 
 
 def _across(tokens: DataFrame, block: int, most: int) -> DataFrame:
@@ -284,20 +293,20 @@ def image_links(points: DataFrame, scratch: Scratch, *, most: int = MOST_BITS, l
     """(u, root) of the classes of linked images; images without a link are left out."""
     point = F.struct("image_id", "point", *HALVES).alias("p")
     tokens = _tokens(points, scratch).select("__key", point)
-    found, roots, before = None, None, None
+    found, roots, before, idle = None, None, None, 0
     large = tokens
     for seed in count():
-        large = scratch.keep(_mixed(_classed(large, roots), few).select("__key", "__class", "p", "__n", "__rest"), "large")
-        # Pairs that are left to compare: stars go on as long as each pass halves them.
+        large = scratch.keep(_mixed(_classed(large, roots), few, seed).select("__key", "__class", "p", "__rest", "__lead", "__weight"), "large")
+        # Pairs that are left to compare: stars go on until two passes in a row, each with another order, take less than a quarter of them.
         pairs = large.agg(F.sum("__rest")).first()[0]
-        if pairs is None or before is not None and 2 * pairs > before:
+        idle = idle + 1 if before is not None and pairs is not None and 4 * pairs > 3 * before else 0
+        if pairs is None or idle == 2:
             break
         before = pairs
         more = scratch.keep(_verified(scratch.keep(_stars(large, seed, most), "candidates"), points, most, least), "links")
-        if more.isEmpty():
-            break
-        found = more if found is None else found.union(more)
-        roots = components(found, scratch)
+        if not more.isEmpty():
+            found = more if found is None else found.union(more)
+            roots = components(found, scratch)
         large = large.select("__key", "p")
     # Whatever the stars have left: all pairs of images of different classes that meet in a bucket.
     met = scratch.keep(_across(_mixed(_classed(tokens, roots), 1), block, most), "candidates")

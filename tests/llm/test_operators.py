@@ -984,6 +984,30 @@ def test_image_links_in_large_buckets(spark, tmp_path):
         assert {(r["root"], r["u"]) for r in got} == {(11, 12), (25, 31), (50, 51), (60, 61), (60, 62)}, more
 
 
+def test_image_pairs_grow_with_a_group_of_copies(spark, tmp_path, monkeypatch):
+    """Images linked to some of a large class are compared with few of it, not with each; one that isn't linked, with all."""
+    rng = np.random.RandomState(9)
+    word = lambda: [int(x) for x in rng.randint(-(1 << 63), 1 << 63, 4)]
+    spots = [(100 * j, 37 * j) for j in range(60)]
+    common = [(j, spots[j], word()) for j in range(5)]
+    own = [[(j, spots[j], word()) for j in range(5 + 5 * i, 10 + 5 * i)] for i in range(3)]
+    pictures = {i: common + own[i % 3] for i in range(60)}
+    # One keypoint is everyone's, the others are those of a third of the class.
+    pictures |= {100 + i: common[:1] + own[i % 3] for i in range(10)}
+    pictures[200] = common[:4]
+    rows = [(i, j, float(x), float(y), 0, 0, *w) for i, points in pictures.items() for j, (x, y), w in points]
+    columns = [[np.array([p[0] for p in points])] + [np.array([p[1][k] for p in points], np.float32) for k in (0, 1)] + [np.zeros(len(points), np.int64)] * 2 + [np.array([p[2][k] for p in points], np.int64) for k in range(4)] for points in pictures.values()]
+    links = brute_image_links(columns)
+    assert len(links) == 60 * 59 // 2 + 10 * 20 + 12
+    compared, verified = [], images._verified
+    monkeypatch.setattr(images, "_verified", lambda candidates, *more: compared.append({(r["a"], r["b"]) for r in candidates.collect()}) or verified(candidates, *more))
+    scratch = Scratch(spark, "links")
+    got = images.image_links(scratch.keep(spark.createDataFrame(rows, images.POINTS), "points"), scratch).collect()
+    assert {(r["root"], r["u"]) for r in got} == {(0, i) for i in pictures if i not in (0, 200)}
+    assert set(range(60)) <= {a for found in compared for a, b in found if b == 200}
+    assert sum(map(len, compared)) <= 4 * len(pictures), [len(x) for x in compared]
+
+
 def test_small_crops_of_large_images(spark):
     """A crop of a twelfth of an image is linked with it, turned or not; other images aren't."""
     rng = np.random.RandomState(8)
