@@ -170,40 +170,53 @@ def plan(patterns: list[tuple[tuple, int]], weights: tuple[int, ...] = WEIGHTS,
     return Plan(sizes, targets, taken)
 
 
-def _fitted(light: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """(__own, __rounds): the documents that make up the wanted part (__own, __part) of each pattern.
+def _fitted(light: DataFrame, wanted: dict[tuple, int], scratch: Scratch) -> dict[tuple, list[tuple[int, int]]]:
+    """The rounds (rest, cut) of each pattern of which a part is wanted: they say which documents make it up.
 
     In a round the documents that still fit are taken in the order of their draw as long
     as their sum does. The next round has those that fit into the rest, until none does.
     A document is taken if it is no larger than a round's rest and its draw no larger
     than that round's cut; documents of one draw are taken together.
+
+    What is wanted and the rounds are a row for each pattern, and patterns have been at the
+    driver; it leads them, so that a round writes one small table and reads the rest in one query.
     """
-    rounds = F.array().cast("array<struct<rest:bigint,cut:bigint>>")
-    state = wanted.where("__part > 0").select("__own", F.col("__part").alias("__rest"), rounds.alias("__rounds"))
-    done = None
-    while True:
-        state = scratch.keep(state, "state")
-        done = state if done is None else done.unionByName(state)
-        # Patterns are as many as the plan's rows, which have been at the driver.
+    rest = {own: n for own, n in wanted.items() if n > 0}
+    rounds: dict[tuple, list[tuple[int, int]]] = {own: [] for own in rest}
+    while rest:
+        state = _small(scratch, [(list(own), n, rounds[own]) for own, n in rest.items()], f"__own array<string>, __rest long, {_ROUNDS}", "state")
         left = light.join(state, "__own").where((F.col("__size") > 0) & (F.col("__size") <= F.col("__rest")) & ~_taken())
-        sums = scratch.keep(left.groupBy("__own", "__range").agg(F.sum("__size").alias("__sum"), F.max("__rest").alias("__rest")), "sums")
+        sums = left.groupBy("__own", "__range").agg(F.sum("__size").alias("__sum"), F.max("__rest").alias("__rest"))
         before = Window.partitionBy("__own").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
         # The range of draws in which the rest ends; before it all fits.
         ahead = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
         ends = ahead.where(F.col("__before") <= F.col("__rest")).groupBy("__own").agg(F.max(F.struct("__range", "__before")).alias("e")).select("__own", F.col("e.__range").alias("__end"), F.col("e.__before").alias("__before"))
-        # Inside that range documents are summed one by one.
+        # Inside that range, which has a document at least, they are summed one by one.
         upto = Window.partitionBy("__own").orderBy("__draw").rangeBetween(Window.unboundedPreceding, 0)
         edge = left.join(ends, "__own").where("__range = __end").withColumn("__upto", F.col("__before") + F.sum("__size").over(upto))
-        last = edge.where(F.col("__upto") <= F.col("__rest")).groupBy("__own").agg(F.max("__draw").alias("__last"), F.max("__upto").alias("__sum"))
+        fits = F.col("__upto") <= F.col("__rest")
+        last = edge.groupBy("__own").agg(F.max(F.when(fits, F.col("__draw"))).alias("__last"), F.max(F.when(fits, F.col("__upto"))).alias("__sum"), F.max("__end").alias("__end"), F.max("__before").alias("__before"))
         # If not even the first document of the last range fits, the cut lies before that range.
-        cut = ends.join(last, "__own", "left").select("__own", F.coalesce("__last", F.shiftleft(F.col("__end").cast("long"), 40) - 1).alias("__cut"), F.coalesce("__sum", "__before").alias("__sum")).where("__sum > 0")
-        one = F.struct(F.col("__rest").alias("rest"), F.col("__cut").alias("cut"))
-        after = state.join(cut, "__own").select("__own", (F.col("__rest") - F.col("__sum")).alias("__rest"), F.array_append("__rounds", one).alias("__rounds"))
-        after = scratch.keep(after, "rounds")
-        if after.isEmpty():
-            longest = F.max(F.struct(F.size("__rounds").alias("n"), F.col("__rounds").alias("rounds"))).alias("l")
-            return done.groupBy("__own").agg(longest).select("__own", F.col("l.rounds").alias("__rounds"))
-        state = after
+        cut = last.select("__own", F.coalesce("__last", F.shiftleft(F.col("__end").cast("long"), 40) - 1).alias("__cut"), F.coalesce("__sum", "__before").alias("__sum")).where("__sum > 0")
+        after = {}
+        for r in cut.collect():
+            own = tuple(r["__own"])
+            rounds[own].append((rest[own], r["__cut"]))
+            after[own] = rest[own] - r["__sum"]
+        # Nothing fits into a rest of nothing.
+        rest = {own: n for own, n in after.items() if n > 0}
+    return rounds
+
+
+_ROUNDS = "__rounds array<struct<rest:bigint,cut:bigint>>"
+
+
+def _small(scratch: Scratch, rows: list[tuple], schema: str, name: str) -> DataFrame:
+    """A row for each pattern as a table of one file, of which Spark knows the size when it joins.
+
+    A file costs its executor up to three processes for its mode where Hadoop has no native library.
+    """
+    return scratch.keep(scratch.spark.createDataFrame(rows, schema).coalesce(1), name)
 
 
 def _taken() -> Column:
@@ -229,13 +242,11 @@ def _dealt(
     patterns = sorted(((tuple(r["__own"]), int(r["n"])) for r in rows), key=lambda x: [(s is None, s or "") for s in x[0]])
     made = plan(patterns, weights, most)
 
-    # One row for each pattern, max_patterns at most.
-    def line(own: tuple, n: int) -> tuple:
-        got = made.taken.get(own, 0)
-        return list(own), made.sizes[own[0]] if own else 0, made.targets[own[0]] if own else 0.0, got // n if n else 0, got % n if n else 0
-
-    info = spark.createDataFrame([line(own, n) for own, n in patterns], "__own array<string>, __source_size long, __target double, __whole int, __part long")
-    info = scratch.keep(info.join(_fitted(light, info, scratch), "__own", "left"), "plan")
+    # One row for each pattern, max_patterns at most: passes over all of it, and the part that is left.
+    passes = {own: divmod(made.taken.get(own, 0), n) if n else (0, 0) for own, n in patterns}
+    rounds = _fitted(light, {own: part for own, (_, part) in passes.items()}, scratch)
+    lines = [(list(own), made.sizes[own[0]] if own else 0, made.targets[own[0]] if own else 0.0, passes[own][0], rounds.get(own)) for own, _ in patterns]
+    info = _small(scratch, lines, f"__own array<string>, __source_size long, __target double, __whole int, {_ROUNDS}", "plan")
     repeats = F.when(F.col("__size") == 0, F.lit(0)).otherwise(F.col("__whole") + F.coalesce(_taken(), F.lit(False)).cast("int"))
     full = docs.select(packed(docs), *marks) if carry else light
     return full.join(info, "__own").withColumn("__repeats", repeats)

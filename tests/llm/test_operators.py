@@ -439,6 +439,26 @@ def test_mix_fills_until_nothing_fits(spark):
         assert rest >= 0 and all(r["size"] > rest for r in own if r["repeats"] == target // n)
 
 
+def test_mix_writes_one_small_file_a_round(spark, monkeypatch):
+    """Each file costs its executor processes, which for a moment count as much memory as it has itself."""
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, "w " * int(3 ** rng.uniform(0, 6)), rng.choice("abcd")) for i in range(400)], "doc_id long, text string, source string")
+    tables = {}
+    keep = mixing.Scratch.keep
+
+    def kept(self, df, name="t"):
+        tables.setdefault(name, []).append(keep(self, df, name))
+        return tables[name][-1]
+
+    monkeypatch.setattr(mixing.Scratch, "keep", kept)
+    mixing.mix(df).count()
+    # Several rounds, each with a table of what is left, of one file; nothing else but rows and plan.
+    assert set(tables) == {"rows", "state", "plan"} and len(tables["state"]) > 2
+    assert all(len(t.inputFiles()) == 1 for name in ("state", "plan") for t in tables[name])
+    most = tables["plan"][0].selectExpr("max(size(__rounds))").first()[0]
+    assert len(tables["state"]) in (most, most + 1)
+
+
 def test_flow_by_connected_parts():
     patterns = [(("a", "b"), 100), (("b",), 50), (("c",), 70), ((), 5), (("d", None), 10)]
     members = [[0, 1], [1], [2], [], [3, 4]]
